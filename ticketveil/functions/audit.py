@@ -210,32 +210,27 @@ def audit_score(report: Column) -> Column:
     def most(patterns):
         return F.greatest(*(F.regexp_count(report, F.lit(f"(?isu){p}")) for p in patterns))
 
+    def with_percent(pattern):
+        parts = [F.lit("/"), F.lit(" ("), F.lit("%)")]
+        return let(
+            _last_hit(report, pattern),
+            lambda hit: F.concat(
+                *(x for g in (1, 2, 3) for x in (F.regexp_extract(hit, pattern, g), parts[g - 1]))
+            ),
+        )
+
+    def with_fraction(pattern):
+        return let(
+            _last_hit(report, pattern),
+            lambda hit: F.when(hit.isNotNull(), _ratio(hit, pattern, None)),
+        )
+
     def written():
-        first = f"(?iud){SCORE_WITH_PERCENT}"
-        found = [
-            let(
-                _last_hit(report, first),
-                lambda hit: F.concat(
-                    F.regexp_extract(hit, first, 1),
-                    F.lit("/"),
-                    F.regexp_extract(hit, first, 2),
-                    F.lit(" ("),
-                    F.regexp_extract(hit, first, 3),
-                    F.lit("%)"),
-                ),
-            )
-        ]
-        for p in SCORE_PATTERNS:
-            pattern = f"(?iud){p}"
-            found.append(
-                let(
-                    _last_hit(report, pattern),
-                    lambda hit, pattern=pattern: F.when(
-                        hit.isNotNull(), _ratio(hit, pattern, None)
-                    ),
-                )
-            )
-        return F.coalesce(*found, F.lit(NO_SCORE))
+        return F.coalesce(
+            with_percent(f"(?iud){SCORE_WITH_PERCENT}"),
+            *(with_fraction(f"(?iud){p}") for p in SCORE_PATTERNS),
+            F.lit(NO_SCORE),
+        )
 
     def counted(s):
         total = s["p"] + s["f"]

@@ -18,7 +18,7 @@ def epoch_micros(df: DataFrame, name: str) -> Column:
     return F.unix_micros(ts)
 
 
-def age_seconds(df: DataFrame, name: str, now_micros: Column) -> Column:
+def age_seconds(df: DataFrame, name: str, now_micros: int | Column) -> Column:
     return (now_micros - epoch_micros(df, name)) / 1_000_000
 
 

@@ -134,7 +134,7 @@ def file_status(files: DataFrame) -> DataFrame:
 def size_check(files: DataFrame, limit_mb: int = MAX_FILE_MB) -> DataFrame:
     mb = F.col("file_size") / (1024 * 1024)
     return files.select(
-        "filename", F.round(mb, 1).alias("size_mb"), (mb > limit_mb).alias("over_limit")
+        "filename", F.bround(mb, 1).alias("size_mb"), (mb > limit_mb).alias("over_limit")
     )
 
 
@@ -153,7 +153,7 @@ def result_bundle(files: DataFrame) -> DataFrame:
 
 
 def _number(x: Column, digits: int = 1) -> Column:
-    return F.format_string(f"%.{digits}f", x)
+    return F.format_string(f"%.{digits}f", F.bround(x, digits))
 
 
 def file_block(files: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def cache_admit(responses: DataFrame, id: str = "response_id") -> DataFrame:
     )
 
 
-def cache_lookup(requests: DataFrame, cache: DataFrame, now_micros: Column) -> DataFrame:
+def cache_lookup(requests: DataFrame, cache: DataFrame, now_micros: int | Column) -> DataFrame:
     """Requests with ``response`` and ``hit``; an entry of 24 hours or more is no hit."""
     fresh = cache.filter(age_seconds(cache, "ts", now_micros) < MAX_AGE_SECONDS).select(
         "key", "response"
@@ -44,17 +44,17 @@ def cache_lookup(requests: DataFrame, cache: DataFrame, now_micros: Column) -> D
     return requests.join(fresh, "key", "left").withColumn("hit", F.col("response").isNotNull())
 
 
-def cache_misses(requests: DataFrame, cache: DataFrame, now_micros: Column) -> DataFrame:
+def cache_misses(requests: DataFrame, cache: DataFrame, now_micros: int | Column) -> DataFrame:
     fresh = cache.filter(age_seconds(cache, "ts", now_micros) < MAX_AGE_SECONDS).select("key")
     return requests.join(fresh, "key", "left_anti")
 
 
-def cache_expire(cache: DataFrame, now_micros: Column) -> DataFrame:
+def cache_expire(cache: DataFrame, now_micros: int | Column) -> DataFrame:
     """Entries that stay; one of exactly 24 hours still does."""
     return cache.filter(age_seconds(cache, "ts", now_micros) <= MAX_AGE_SECONDS)
 
 
-def file_cache_valid(entries: DataFrame, sources: DataFrame, now_micros: Column) -> DataFrame:
+def file_cache_valid(entries: DataFrame, sources: DataFrame, now_micros: int | Column) -> DataFrame:
     """``(key, content, valid)``: the source, where there is one, is unchanged and the entry is
     not older than a day. ``sources`` is ``(key, content)`` with the present source text."""
     current = sources.select("key", F.md5("content").alias("current_hash"))
