@@ -23,9 +23,9 @@ FIELDS = [
     "ta AS (SELECT ticket_id, string_split(text, '\n') AS a FROM tickets)",
     "tr AS (SELECT ticket_id, unnest(range(0, len(a)))::INTEGER AS line_no, unnest(a) AS raw FROM ta)",
     f"tl AS (SELECT ticket_id, line_no, {S.strip('raw')} AS line FROM tr)",
-    rf"fields AS (SELECT ticket_id, line_no, lower({S.strip(f'''regexp_extract(line, '{T.FIELD_LINE}', 1)''')}) AS field, "
-    rf"{S.strip(f'''regexp_extract(line, '{T.FIELD_LINE}', 2)''')} AS value FROM tl "
-    rf"WHERE regexp_matches(line, '{T.FIELD_LINE}'))",
+    rf"fields AS (SELECT ticket_id, line_no, lower({S.strip(f'''regexp_extract(line, '{T.FIELD_LABEL}', 1)''')}) AS field, "
+    rf"{S.strip(f'''regexp_extract(line, '{T.FIELD_LABEL}(.*)$', 2)''')} AS value FROM tl "
+    rf"WHERE regexp_matches(line, '{T.FIELD_LABEL}'))",
 ]
 
 

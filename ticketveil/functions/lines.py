@@ -84,11 +84,16 @@ def clean_markup(text: Column) -> Column:
 
 
 def break_before_labels(text: Column) -> Column:
-    """Line break between one of a few common words and a known field label."""
+    """Line break between one of a few common words and a known field label.
+
+    The search starts at white space between a word character and a capital, which is rare;
+    only there are the word before and the label after looked at.
+    """
+    word = rf"(?<={P.NO_WORD_BEFORE}(?i:{P.any_of(P.BREAK_WORDS)}){P.SPACE})"
     pattern = (
-        rf"{P.NO_WORD_BEFORE}((?i:{P.any_of(P.BREAK_WORDS)})){P.SPACE}+({P.any_of(P.FIELD_LABELS)})"
+        rf"{P.SPACE}(?<={P.WORD}{P.SPACE})(?={P.SPACE}*[A-Z]){word}{P.SPACE}*({P.any_of(P.FIELD_LABELS)})"
     )
-    return _rewrite(text, ":", pattern, "$1\n$2")
+    return _rewrite(text, ":", pattern, "\n$1")
 
 
 def break_value_label(text: Column) -> Column:
@@ -96,8 +101,8 @@ def break_value_label(text: Column) -> Column:
 
 
     def chain(t: Column) -> Column:
-        for value, label in P.VALUE_LABEL_RULES:
-            t = _rewrite(t, label, rf"({value}){P.SPACE}+({P.any_of([label])})", "$1\n$2")
+        for value, label, first in P.VALUE_LABEL_RULES:
+            t = _rewrite(t, label, rf"(?=[{first}])({value}){P.SPACE}+({label})", "$1\n$2")
         return t
 
     return let(text, lambda t: F.when(t.contains(":"), chain(t)).otherwise(t))

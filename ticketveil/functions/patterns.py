@@ -33,13 +33,13 @@ IP_ADDRESS = (
     rf"{DIGIT}(?<!{WORD}.){DIGIT}{{0,2}}\.(?:{DIGIT}{{1,3}}\.){{2}}{DIGIT}{{1,3}}{NO_WORD_AFTER}"
 )
 PRIVATE_IP = r"^(?:0?10\.|172\.0?(?:1[6-9]|2[0-9]|3[01])\.|192\.168\.)"
-MAC_ADDRESS = r"(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}"
+MAC_ADDRESS = r"[0-9A-Fa-f]{2}[:-](?:[0-9A-Fa-f]{2}[:-]){4}[0-9A-Fa-f]{2}"
 PHONE = (
-    rf"(?:\+?1[-.{SPACE_SET}]?)?\(?[0-9]{{3}}\)?[-.{SPACE_SET}]?[0-9]{{3}}"
+    rf"(?=[+(0-9])(?:\+?1[-.{SPACE_SET}]?)?\(?[0-9]{{3}}\)?[-.{SPACE_SET}]?[0-9]{{3}}"
     rf"[-.{SPACE_SET}]?[0-9]{{4}}{NO_WORD_AFTER}"
 )
 EMAIL = (
-    rf"(?:[A-Za-z0-9_](?<!{WORD}.)|[.%+-](?<={WORD}.))[A-Za-z0-9._%+-]*"
+    rf"(?:[A-Za-z0-9_](?<!{WORD}.)|[.%+-](?<={WORD}.))[A-Za-z0-9._%+-]*+"
     rf"@[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}"
     rf"(?:(?<=[A-Za-z]){NO_WORD_AFTER}|(?<=\|)(?={WORD}))"
 )
@@ -205,14 +205,15 @@ BREAK_WORDS = (
     "high", "medium", "low", "critical", "the", "and", "or", "but", "with", "from", "to",
 )
 
-# (value, label): a line break goes between the two, in this order.
+# (value, label, first characters of a value): a line break goes between value and label, in
+# this order.
 VALUE_LABEL_RULES = (
-    (r"High|Medium|Low|Critical", "Responsible party:"),
-    (r"Presidio|Delaware North[^:]*", "Urgency:"),
-    (rf"{DIGIT}+{SPACE}*-{SPACE}*(?:High|Medium|Low|Critical)", "Assignment group:"),
-    (r"MSC Network Engineer|[A-Z][a-z]+ [A-Z][a-z]+", "Customer Assignment Group:"),
-    (r"true|false", "Service Offering:"),
-    (r"Network Services|[A-Z][a-z]+ [A-Z][a-z]+", "Category:"),
+    (r"High|Medium|Low|Critical", "Responsible party:", "HMLC"),
+    (r"Presidio|Delaware North[^:]*", "Urgency:", "PD"),
+    (rf"{DIGIT}+{SPACE}*-{SPACE}*(?:High|Medium|Low|Critical)", "Assignment group:", r"\p{Nd}"),
+    (r"MSC Network Engineer|[A-Z][a-z]+ [A-Z][a-z]+", "Customer Assignment Group:", "A-Z"),
+    (r"true|false", "Service Offering:", "tf"),
+    (r"Network Services|[A-Z][a-z]+ [A-Z][a-z]+", "Category:", "A-Z"),
 )
 
 CODE_TAG = r"\[/?code\]"

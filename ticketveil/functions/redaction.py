@@ -205,11 +205,19 @@ def name_stage(t: Column, terms: PreserveTerms = DEFAULT_TERMS) -> Column:
 
 
 def plain_stage(t: Column, kind: str) -> Column:
+    """Every match is replaced. With a fixed replacement one split gives text and count."""
     pattern, replacement, hint = P.PLAIN_RULES[kind]
+    if "$" in replacement:
+        return let(
+            F.when(may_match(t, hint), F.regexp_count(t, F.lit(pattern))).otherwise(0),
+            lambda n: _stage(
+                F.when(n > 0, F.regexp_replace(t, pattern, replacement)).otherwise(t), n
+            ),
+        )
     return let(
-        F.when(may_match(t, hint), F.regexp_count(t, F.lit(pattern))).otherwise(0),
-        lambda n: _stage(
-            F.when(n > 0, F.regexp_replace(t, pattern, replacement)).otherwise(t), n
+        F.when(may_match(t, hint), F.split(t, pattern, -1)),
+        lambda pieces: F.when(pieces.isNull(), _stage(t, F.lit(0))).otherwise(
+            _stage(F.array_join(pieces, replacement), F.size(pieces) - 1)
         ),
     )
 

@@ -11,7 +11,7 @@ from .text import let, line_array, strip
 # --- fixed values: rules ------------------------------------------------------------------
 INCIDENT = r"INC[0-9]{7,8}"
 NOT_FOUND = "Not Found"
-FIELD_LINE = r"^([A-Za-z][A-Za-z0-9 #/()-]*):(.*)$"
+FIELD_LABEL = r"^([A-Za-z][A-Za-z0-9 #/()-]*):"
 UPDATE_HEAD = r"(?md)^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2} - [^\n]+"
 FIRST_ACCESS = r"First Access(?:: true| verified)"
 PENDING_CODES = (
@@ -36,20 +36,21 @@ def incident_number(text: Column) -> Column:
 
 def fields(text: Column) -> Column:
     """``array<(line_no, field, value)>`` of the ``Label: value`` lines, label in lower case."""
-    return F.filter(
-        F.transform(
-            line_array(text),
-            lambda line, i: let(
-                strip(line),
-                lambda s: F.struct(
+
+    def parse(line: Column, i: Column) -> Column:
+        return let(
+            strip(line),
+            lambda s: let(
+                F.regexp_extract(s, FIELD_LABEL, 1),
+                lambda label: F.struct(
                     i.alias("line_no"),
-                    F.lower(strip(F.regexp_extract(s, FIELD_LINE, 1))).alias("field"),
-                    strip(F.regexp_extract(s, FIELD_LINE, 2)).alias("value"),
+                    F.lower(strip(label)).alias("field"),
+                    strip(F.substr(s, F.length(label) + 2)).alias("value"),
                 ),
             ),
-        ),
-        lambda f: f["field"] != "",
-    )
+        )
+
+    return F.filter(F.transform(line_array(text), parse), lambda f: f["field"] != "")
 
 
 def values_of(all_fields: Column, *names: str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import audit as A
 from .assemble import joined_in_order
+from .rows import inline_rows, numbered_rows
 
 HISTORY_COLUMNS = (
     "timestamp", "provider", "model", "file", "pass", "fail", "na", "answered", "applicable",
@@ -29,21 +30,23 @@ def question_verdicts(
     reports: DataFrame, id: str = "report_id", report: str = "report", keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """``(id, *keep, q, title, verdict)``, one row per question."""
-    return reports.select(id, *keep, F.inline(A.question_verdicts(F.col(report))))
+    return inline_rows(reports, [id, *keep], A.question_verdicts(F.col(report)), "q")
 
 
 def key_findings(
     reports: DataFrame, k: int = 3, id: str = "report_id", report: str = "report"
 ) -> DataFrame:
     """``(id, rank, finding)``, at most ``k`` per report."""
-    return reports.select(
-        id, F.posexplode(A.key_findings(F.col(report), k)).alias("rank", "finding")
-    ).withColumn("rank", F.col("rank") + 1)
+    found = A.key_findings(F.col(report), k)
+    return numbered_rows(reports, [id], found, "rank", "finding").withColumn(
+        "rank", F.col("rank") + 1
+    )
 
 
 def failed_questions(reports: DataFrame, id: str = "report_id", report: str = "report") -> DataFrame:
     """``(id, question)``, one row per failed question."""
-    return reports.select(id, F.explode(A.failed_questions(F.col(report))).alias("question"))
+    failed = A.failed_questions(F.col(report))
+    return numbered_rows(reports, [id], failed, "n", "question").drop("n")
 
 
 def audit_history(

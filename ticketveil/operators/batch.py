@@ -147,9 +147,8 @@ def result_bundle(files: DataFrame) -> DataFrame:
     entry = lambda prefix, text: F.struct(
         _out_name(prefix).alias("path"), F.col(text).alias("content")
     )
-    return files.filter(_ok()).select(
-        F.inline(F.array(entry("redacted_", "redacted_text"), entry("audit_", "audit_report")))
-    )
+    entries = F.array(entry("redacted_", "redacted_text"), entry("audit_", "audit_report"))
+    return files.filter(_ok()).select(F.inline_outer(entries))
 
 
 def _number(x: Column, digits: int = 1) -> Column:

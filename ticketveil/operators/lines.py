@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import lines as L
 from ..functions.text import line_array, strip
+from .rows import numbered_rows
 
 
 def split_lines(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(id, line_no, line)``, numbered from 0."""
-    return df.select(id, F.posexplode(line_array(F.col(text))).alias("line_no", "line"))
+    return numbered_rows(df, [id], line_array(F.col(text)), "line_no", "line")
 
 
 def classify_lines(lines: DataFrame, line: str = "line") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import errors as E
+from .rows import numbered_rows
 
 
 def performance_summary(calls: DataFrame) -> DataFrame:
@@ -58,6 +59,5 @@ def error_history(errors: DataFrame) -> DataFrame:
 def retry_schedule(errors: DataFrame, retries: int = 2, delay: float = 1.0) -> DataFrame:
     """One row per error and retry: ``attempt`` from 0 and ``wait_seconds``."""
     typed = errors.withColumn("error_type", E.classify_error(F.col("message")))
-    return typed.select(
-        "*", F.posexplode(E.retry_waits(F.col("error_type"), retries, delay)).alias("attempt", "wait_seconds")
-    )
+    waits = E.retry_waits(F.col("error_type"), retries, delay)
+    return numbered_rows(typed, ["*"], waits, "attempt", "wait_seconds")

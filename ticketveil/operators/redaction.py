@@ -24,6 +24,7 @@ from ..functions.redaction import (
     text_before,
 )
 from ..functions.text import let
+from .rows import inline_rows
 
 
 def load_terms(spark: SparkSession, path: str, base: PreserveTerms = DEFAULT_TERMS) -> PreserveTerms:
@@ -105,7 +106,7 @@ def find_pii(
     ]
     for kind, (pattern, _, hint) in P.PLAIN_RULES.items():
         per_kind.append(mentions(kind, find_all(t, pattern, hint), lambda hit, i: F.lit(False)))
-    return df.select(id, F.inline(F.concat(*per_kind)))
+    return inline_rows(df, [id], F.concat(*per_kind), "kind")
 
 
 def redaction_rollup(stats: DataFrame, *by: str) -> DataFrame:

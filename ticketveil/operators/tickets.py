@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import audit as A
 from ..functions import tickets as K
 from ..functions.times import epoch_micros
+from .rows import inline_rows
 
 HOUR_MICROS = 3_600_000_000
 
@@ -18,7 +19,7 @@ def incident_number(tickets: DataFrame, id: str = "ticket_id", text: str = "text
 
 def ticket_fields(tickets: DataFrame, id: str = "ticket_id", text: str = "text") -> DataFrame:
     """``(id, line_no, field, value)``."""
-    return tickets.select(id, F.inline(K.fields(F.col(text))))
+    return inline_rows(tickets, [id], K.fields(F.col(text)), "line_no")
 
 
 def _field_check(tickets, id, text, check, name="verdict"):
@@ -50,7 +51,7 @@ def time_worked_total(tickets: DataFrame, id: str = "ticket_id", text: str = "te
 
 def update_timeline(tickets: DataFrame, id: str = "ticket_id", text: str = "text") -> DataFrame:
     """``(id, update_no, ts, author, body)``."""
-    return tickets.select(id, F.inline(K.updates(F.col(text))))
+    return inline_rows(tickets, [id], K.updates(F.col(text)), "update_no")
 
 
 def longest_gaps(updates: DataFrame, id: str = "ticket_id", ts: str = "ts") -> DataFrame:
@@ -127,7 +128,7 @@ def _rules(tickets: DataFrame, id: str, text: str) -> DataFrame:
 
 def rule_verdicts(tickets: DataFrame, id: str = "ticket_id", text: str = "text") -> DataFrame:
     """``(id, q, verdict)`` of all text rules."""
-    return _rules(tickets, id, text).select(id, F.inline("rules"))
+    return inline_rows(_rules(tickets, id, text), [id], F.col("rules"), "q")
 
 
 def rule_scorecard(tickets: DataFrame, id: str = "ticket_id", text: str = "text") -> DataFrame:

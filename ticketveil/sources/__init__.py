@@ -1,5 +1,19 @@
 """Reading and writing the tables of the engine."""
 
-from .tables import append_history, read_documents, write_bundle, write_ordered, write_redacted
+from .tables import (
+    append_history,
+    read_documents,
+    widen,
+    write_bundle,
+    write_ordered,
+    write_redacted,
+)
 
-__all__ = ["append_history", "read_documents", "write_bundle", "write_ordered", "write_redacted"]
+__all__ = [
+    "append_history",
+    "read_documents",
+    "widen",
+    "write_bundle",
+    "write_ordered",
+    "write_redacted",
+]
