@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from ticketveil.functions.text import strip
 from ticketveil.operators import batch as O
 from ticketveil.operators import documents as P
+from ticketveil.plans import batch_files as plan_batch_files
 from ticketveil.sources import read_documents
 
 from . import derived as D
 from . import sqltext as S
+from .audits import last_hit, ratio
+from .redaction import NORMALIZED
 
 QUERIES, ORACLES = {}, {}
 BASE = f"files AS (SELECT * FROM {D.FILES_SQL})"
@@ -217,3 +220,42 @@ add(
         "UNION ALL SELECT 'audit_' || replace(filename, '.pdf', '.txt'), audit_report FROM files WHERE status = 'success'",
     ),
 )
+
+
+# --- documents and reports to a batch ---------------------------------------------------------
+
+DOCS = {
+    "filename": D.FILES["filename"],
+    "text": f"case when o_orderstatus = 'P' then ' ' else {D.TICKET} end",
+    "processing_time": D.FILES["processing_time"],
+}
+REPORTS_OF = {"filename": D.FILES["filename"], "audit_report": D.REPORT}
+FRACTION = "([0-9]+)/([0-9]+)"
+
+
+def batch_files(spark, d):
+    docs = D.derive_wide(spark, d, "orders", DOCS)
+    reports = D.derive_wide(spark, d, "orders", REPORTS_OF)
+    return plan_batch_files(docs, reports).drop("redaction_details")
+
+
+add(
+    "e2_batch_files",
+    batch_files,
+    S.with_(
+        [
+            f"docs AS (SELECT {D.columns(DOCS)} FROM orders)",
+            f"reports AS (SELECT {D.columns(REPORTS_OF)}, audit_report AS report FROM orders)",
+            "corpus AS (SELECT filename AS doc_id, filename AS kind, text AS t FROM docs)",
+            *NORMALIZED,
+            *S.redaction_ctes("normal"),
+        ],
+        f"SELECT d.filename, CASE WHEN {S.strip('text')} = '' THEN 'error' ELSE 'success' END AS status, "
+        f"CASE WHEN {S.strip('text')} = '' THEN '' ELSE t END AS redacted_text, "
+        f"CASE WHEN {S.strip('text')} = '' THEN 0 ELSE total_redactions END::BIGINT AS redaction_count, "
+        f"CASE WHEN {S.strip('text')} = '' THEN '{P.NO_TEXT}' ELSE '' END AS error_message, processing_time, "
+        f"strlen(text) AS file_size, audit_report, coalesce({ratio(last_hit(FRACTION), FRACTION, repr('Score not available'))}, "
+        f"{last_hit('[0-9]+%')}, 'Score not available') AS audit_score "
+        "FROM docs d JOIN done ON done.doc_id = d.filename JOIN reports r ON r.filename = d.filename",
+    ),
+)

@@ -91,7 +91,7 @@ def break_before_labels(text: Column) -> Column:
     """
     word = rf"(?<={P.NO_WORD_BEFORE}(?i:{P.any_of(P.BREAK_WORDS)}){P.SPACE})"
     pattern = (
-        rf"{P.SPACE}(?<={P.WORD}{P.SPACE})(?={P.SPACE}*[A-Z]){word}{P.SPACE}*({P.any_of(P.FIELD_LABELS)})"
+        rf"(?!\w){P.SPACE}(?<={P.WORD}{P.SPACE})(?={P.SPACE}*[A-Z]){word}{P.SPACE}*({P.any_of(P.FIELD_LABELS)})"
     )
     return _rewrite(text, ":", pattern, "\n$1")
 

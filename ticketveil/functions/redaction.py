@@ -111,13 +111,18 @@ def second_word(name: Column) -> Column:
 
 
 def preserve_term(name: Column, terms: PreserveTerms = DEFAULT_TERMS) -> Column:
-    """True where a capitalised pair is a business or technical term."""
-    lowered = F.lower(name)
+    """True where a capitalised pair is a business or technical term.
+
+    Both words are a capital and small letters, so terms are compared in that form; only the
+    marks, which may lie anywhere, need a search without case.
+    """
+    words = tuple(dict.fromkeys(w.capitalize() for w in terms.words))
+    phrases = tuple(dict.fromkeys(" ".join(map(str.capitalize, p.split(" "))) for p in terms.phrases))
     return (
-        F.lower(first_word(name)).isin(*terms.words)
-        | F.lower(second_word(name)).isin(*terms.words)
-        | lowered.isin(*terms.phrases)
-        | lowered.rlike("|".join(P.TECHNICAL_MARKS))
+        first_word(name).isin(*words)
+        | second_word(name).isin(*words)
+        | name.isin(*phrases)
+        | name.rlike(f"(?i)(?:{'|'.join(P.TECHNICAL_MARKS)})")
         | name.rlike(rf"(?:{'|'.join(P.BUSINESS_ENDINGS)})\z")
     )
 

@@ -86,12 +86,15 @@ def audit_history(
 
 
 def audit_rollup(history: DataFrame, *by: str) -> DataFrame:
-    """Verdict counts and compliance for every prefix of ``by``; only counts are shuffled."""
-    sums = {k: F.sum(F.col(k).cast("long")) for k in ("pass", "fail", "na", "answered")}
-    return history.rollup(*by).agg(
-        F.count(F.lit(1)).alias("reports"),
-        *(c.alias(k) for k, c in sums.items()),
-        F.when(sums["answered"] > 0, sums["pass"] / sums["answered"] * 100).alias("compliance"),
+    """Verdict counts and compliance for every prefix of ``by``, made from one row per group."""
+    counts = ("pass", "fail", "na", "answered")
+    groups = history.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("reports"), *(F.sum(k).alias(k) for k in counts)
+    )
+    total = {k: F.sum(k) for k in ("reports", *counts)}
+    return groups.rollup(*by).agg(
+        *(c.alias(k) for k, c in total.items()),
+        F.when(total["answered"] > 0, total["pass"] / total["answered"] * 100).alias("compliance"),
     )
 
 

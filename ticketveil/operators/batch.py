@@ -50,22 +50,32 @@ def batch_summary(files: DataFrame) -> DataFrame:
     )
 
 
-def has_issue(report: Column, lowered: Column, phrases: tuple[str, ...]) -> Column:
-    def found(phrase):
-        negative = (
-            (report.contains(FAIL_MARK) & lowered.contains(phrase))
-            | contains_any(lowered, (f"no {phrase}", f"not {phrase}", f"{phrase} not"))
-            | (contains_any(lowered, ("**answer:** no", "**answer: no")) & lowered.contains(phrase))
+def issue_flags(report: Column) -> Column:
+    """One flag per issue group, 1 where a phrase is mentioned with a sign of failure.
+
+    Every sign of failure comes with the phrase itself, and a pass mark anywhere or an
+    all-clear rules out every group, so these are tested first and once.
+    """
+    none = F.array(*(F.lit(0) for _ in ISSUES))
+
+    def mentioned(lowered, phrase, failing):
+        return lowered.contains(phrase) & (
+            failing | contains_any(lowered, (f"no {phrase}", f"not {phrase}", f"{phrase} not"))
         )
-        positive = (report.contains(PASS_MARK) & lowered.contains(phrase)) | contains_any(
-            lowered, ("no issues", "no problems")
+
+    def flags(lowered):
+        failing = report.contains(FAIL_MARK) | contains_any(lowered, ("**answer:** no", "**answer: no"))
+        groups = []
+        for _, phrases in ISSUES:
+            hit = F.lit(False)
+            for phrase in phrases:
+                hit = hit | mentioned(lowered, phrase, failing)
+            groups.append(hit.cast("int"))
+        return F.when(contains_any(lowered, ("no issues", "no problems")), none).otherwise(
+            F.array(*groups)
         )
-        return negative & ~positive
 
-    hit = F.lit(False)
-    for phrase in phrases:
-        hit = hit | found(phrase)
-    return hit
+    return F.when(report.contains(PASS_MARK), none).otherwise(let(F.lower(report), flags))
 
 
 def common_issues(files: DataFrame, top: int = 3) -> DataFrame:
@@ -75,15 +85,9 @@ def common_issues(files: DataFrame, top: int = 3) -> DataFrame:
     joined, and what is shuffled is one row of counts per task.
     """
     report = F.col("audit_report")
-    flags = let(
-        F.lower(report),
-        lambda lowered: F.array(
-            *(has_issue(report, lowered, phrases).cast("int") for _, phrases in ISSUES)
-        ),
-    )
     counted = (
         files.filter(_ok() & (report != ""))
-        .select(flags.alias("flags"))
+        .select(issue_flags(report).alias("flags"))
         .agg(
             F.count(F.lit(1)).alias("n"),
             *(F.sum(F.col("flags")[i]).alias(f"c{i}") for i in range(len(ISSUES))),

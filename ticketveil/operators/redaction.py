@@ -112,16 +112,19 @@ def find_pii(
 def redaction_rollup(stats: DataFrame, *by: str) -> DataFrame:
     """Sums per kind, documents without a hit and their share, for every prefix of ``by``.
 
-    Only counts are shuffled, and those after partial aggregation, so a source that holds most
-    of the documents costs no more than a small one.
+    Documents are summed up to one row per group first and subtotals are made from those rows:
+    a rollup over documents would handle each of them once per subtotal. Only partial sums are
+    shuffled, so a source that holds most of the documents costs no more than a small one.
     """
-    sums = [F.sum(k).alias(k) for k in STATS]
-    clean = F.count_if(F.col("total_redactions") == 0)
-    other = sum((F.sum(k) for k in P.OTHER_KINDS[1:]), F.sum(P.OTHER_KINDS[0]))
-    return stats.rollup(*by).agg(
+    groups = stats.groupBy(*by).agg(
         F.count(F.lit(1)).alias("documents"),
-        *sums,
+        F.count_if(F.col("total_redactions") == 0).alias("clean_documents"),
+        *(F.sum(k).alias(k) for k in STATS),
+    )
+    total = {k: F.sum(k) for k in ("documents", *STATS, "clean_documents")}
+    other = sum((total[k] for k in P.OTHER_KINDS[1:]), total[P.OTHER_KINDS[0]])
+    return groups.rollup(*by).agg(
+        *(c.alias(k) for k, c in total.items()),
         other.alias("other_redactions"),
-        clean.alias("clean_documents"),
-        (clean / F.count(F.lit(1))).alias("clean_share"),
+        (total["clean_documents"] / total["documents"]).alias("clean_share"),
     )

@@ -1,0 +1,5 @@
+"""Redaction of a stream of documents."""
+
+from .redact import redact_stream, start_redaction
+
+__all__ = ["redact_stream", "start_redaction"]
