@@ -9,10 +9,15 @@ DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def shared_dir(tmp_path_factory):
+    return str(tmp_path_factory.mktemp("shared"))
+
+
+@pytest.fixture(scope="session")
+def spark(shared_dir):
     from ticketveil.session import local_session
 
-    session = local_session("tests", cpus=4, memory="6g")
+    session = local_session("tests", cpus=4, memory="6g", checkpoint_dir=shared_dir)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

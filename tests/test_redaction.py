@@ -155,5 +155,5 @@ def test_site_terms(spark, tmp_path):
 def test_no_shuffle_and_no_repeated_search(spark, data_dir):
     plan = redact_documents(spark.read.parquet(f"{data_dir}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
-    assert plan.count("regexp_extract_all(") == 10
+    assert plan.count("regexp_extract_all(") == 4
     assert "Python" not in plan

@@ -57,5 +57,8 @@ def write_bundle(bundle: DataFrame, path: str) -> None:
 
 
 def write_ordered(blocks: DataFrame, path: str, *order: str, content: str = "content") -> None:
-    """Text blocks in order: part files are in order, and so are the blocks within each."""
-    blocks.orderBy(*order).select(content).write.mode("overwrite").option("lineSep", "").text(path)
+    """Text blocks in order: part files are in order, and so are the blocks within each.
+
+    A block ends with a line feed, which the writer adds back."""
+    block = F.regexp_replace(content, r"\n\z", "")
+    blocks.orderBy(*order).select(block.alias(content)).write.mode("overwrite").text(path)
