@@ -255,7 +255,7 @@ add(
 add("c3_cache_admit", cache, S.with_([CALLS_SQL, CACHE_SQL], "SELECT * FROM cache"))
 add(
     "c2_cache_lookup",
-    lambda spark, d: C.cache_lookup(wanted(spark, d), cache(spark, d), NOW_MICROS),
+    lambda spark, d: C.cache_lookup(wanted(spark, d), cache(spark, d), NOW_MICROS, "id"),
     S.with_(
         [CALLS_SQL, CACHE_SQL],
         f"SELECT id, key, c.response, c.response IS NOT NULL AS hit FROM (SELECT id, key FROM calls) LEFT JOIN "
@@ -264,7 +264,7 @@ add(
 )
 add(
     "c2_cache_misses",
-    lambda spark, d: C.cache_misses(wanted(spark, d), cache(spark, d), NOW_MICROS),
+    lambda spark, d: C.cache_misses(wanted(spark, d), cache(spark, d), NOW_MICROS, "id"),
     S.with_(
         [CALLS_SQL, CACHE_SQL],
         f"SELECT id, key FROM calls WHERE key NOT IN (SELECT key FROM cache WHERE {FRESH})",

@@ -129,3 +129,18 @@ def test_truncate_middle_and_routes(spark):
     assert cut[2] == [f"{mark}a b c d e", f"{mark}a b c"]
     models = spark.createDataFrame([("gpt-4", 4999), ("gpt-4o-mini", 15001), ("gpt-4", 5000), ("x", 1)], "m string, n int")
     assert [r[0] for r in models.select(P.route_by_length(F.col("n"), F.col("m"))).collect()] == ["gpt-4o-mini", "gpt-4", "gpt-4", "x"]
+
+
+def test_assign_requests_with_hot_keys(spark, monkeypatch):
+    """More distinct keys than are broadcast, one of them with a third of all requests."""
+    from ticketveil.operators import hot
+
+    monkeypatch.setattr(hot, "HOT_KEYS", 2)
+    rng = random.Random(1)
+    rows = [(i, "hot" if i % 3 == 0 else f"k{rng.randint(0, 20)}") for i in range(500)]
+    df = spark.createDataFrame(rows, "request_id long, key string")
+    first = {}
+    for i, key in rows:
+        first.setdefault(key, i)
+    got = {r.request_id: (r.key, r.sent_as, r.is_call) for r in C.assign_requests(df).collect()}
+    assert got == {i: (key, first[key], first[key] == i) for i, key in rows}

@@ -1,0 +1,29 @@
+"""Joins of many rows to a table with one row per key, where some keys are very frequent."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+HOT_KEYS = 1000
+
+
+def attach(rows: DataFrame, lookup: DataFrame, counts: DataFrame, key: str, id: str) -> DataFrame:
+    """Left join of ``rows`` to ``lookup`` (one row per ``key``), safe for hot keys.
+
+    ``counts (key, n)`` tells how frequent keys are. The ``HOT_KEYS`` most frequent ones are
+    looked up by broadcast, which that number bounds. Every other key has at most one
+    ``HOT_KEYS``-th of the rows and is joined by a shuffle. Rows of hot keys pass that join under
+    their own id, so they spread evenly and match nothing there.
+    """
+    values = [c for c in lookup.columns if c != key]
+    hot = counts.orderBy(F.desc("n"), key).limit(HOT_KEYS).select(key)
+    known = hot.join(lookup, key, "left").select(
+        key, F.lit(True).alias("__hot"), *(F.col(v).alias(f"__hot_{v}") for v in values)
+    )
+    tagged = rows.join(F.broadcast(known), key, "left")
+    own = F.concat(F.lit("\x01"), F.col(id).cast("string"))
+    spread = tagged.withColumn("__key", F.when(F.col("__hot"), own).otherwise(F.col(key)))
+    return spread.join(lookup.withColumnRenamed(key, "__key"), "__key", "left").select(
+        *rows.columns, *(F.when(F.col("__hot"), F.col(f"__hot_{v}")).otherwise(F.col(v)).alias(v) for v in values)
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import prompts as P
@@ -122,41 +122,10 @@ def window_usage(
     )
 
 
-def _before_in_instant(requests: DataFrame) -> DataFrame:
-    """Requests and tokens of the same model and instant with a smaller id.
-
-    Summed up per range of ids first, so that an instant with very many requests is ordered in
-    many small groups and one group of range totals.
-    """
-    part = F.floor(F.col("request_id") / ID_RANGE).alias("part")
-    keyed = requests.withColumn("part", part)
-    totals = keyed.groupBy("model", "at", "part").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t")
-    )
-    earlier = Window.partitionBy("model", "at").orderBy("part").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = totals.select(
-        "model",
-        "at",
-        "part",
-        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"),
-        F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("t0"),
-    )
-    inside = Window.partitionBy("model", "at", "part").orderBy("request_id").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    local = keyed.withColumn("n1", F.count(F.lit(1)).over(inside)).withColumn(
-        "t1", F.coalesce(F.sum("tokens").over(inside), F.lit(0))
-    )
-    return local.join(offsets, ["model", "at", "part"]).select(
-        "request_id",
-        "model",
-        "at",
-        "tokens",
-        (F.col("n0") + F.col("n1")).alias("n_before"),
-        (F.col("t0") + F.col("t1")).alias("t_before"),
-    )
+def _slot(model: str = "model", at: str = "at", part: str = "part") -> Column:
+    """One key for model, instant and id range. As one column it is what Spark partitions by;
+    with three it may settle for model and instant, and gather a hot instant in one task."""
+    return F.concat_ws("|", F.col(part).cast("string"), F.col(at).cast("string"), F.col(model))
 
 
 def limit_breaches(
@@ -167,30 +136,57 @@ def limit_breaches(
     ts: str = "ts",
     tokens: str = "tokens",
 ) -> DataFrame:
-    """Requests that would not fit into the requests or tokens per minute of their model."""
+    """Requests that would not fit into the requests or tokens per minute of their model.
+
+    What counts are the requests of the 60 seconds before: those of earlier instants, and those
+    of the same instant with a smaller id. An instant may hold very many requests, so they are
+    ordered within ranges of ids, on top of the totals of the ranges before.
+    """
     base = requests.select(
         F.col(id).alias("request_id"),
         F.col(model).alias("model"),
         epoch_micros(requests, ts).alias("at"),
         F.col(tokens).alias("tokens"),
+        F.floor(F.col(id) / ID_RANGE).alias("part"),
     )
-    instants = base.groupBy("model", "at").agg(
+    ranges = base.groupBy("model", "at", "part").agg(
         F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens")
     )
+    instants = ranges.groupBy("model", "at").agg(
+        F.sum("n").alias("n"), F.sum("tokens").alias("tokens")
+    )
     prior = _trailing(instants, -1).select("model", "at", "used_requests", "used_tokens")
-    rpm, tpm = (P.limit_of(F.col("model"), i, limits) for i in (0, 1))
-    checked = (
-        _before_in_instant(base)
+    earlier = Window.partitionBy("model", "at").orderBy("part").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    before = (
+        ranges.withColumn("n0", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        .withColumn("t0", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)))
         .join(prior, ["model", "at"])
+        .select(
+            _slot().alias("slot"),
+            (F.col("n0") + F.col("used_requests")).alias("n_before"),
+            (F.col("t0") + F.col("used_tokens")).alias("t_before"),
+        )
+    )
+    inside = Window.partitionBy("slot").orderBy("request_id").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    rpm, tpm = (P.limit_of(F.col("model"), i, limits) for i in (0, 1))
+    return (
+        base.withColumn("slot", _slot())
+        .withColumn("n1", F.count(F.lit(1)).over(inside))
+        .withColumn("t1", F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
+        .join(before, "slot")
         .select(
             "request_id",
             "model",
             "tokens",
-            (F.col("used_requests") + F.col("n_before")).alias("prior_requests"),
-            (F.col("used_tokens") + F.col("t_before")).alias("prior_tokens"),
+            (F.col("n_before") + F.col("n1")).alias("prior_requests"),
+            (F.col("t_before") + F.col("t1")).alias("prior_tokens"),
         )
         .withColumn("over_rpm", F.col("prior_requests") >= rpm)
         .withColumn("over_tpm", F.col("prior_tokens") + F.col("tokens") > tpm)
         .withColumn("too_large", F.col("tokens") > tpm)
+        .filter("over_rpm or over_tpm or too_large")
     )
-    return checked.filter("over_rpm or over_tpm or too_large")

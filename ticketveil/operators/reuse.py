@@ -2,8 +2,8 @@
 
 Keys are hashes, so rows spread evenly unless many requests are equal. Equal requests are
 reduced before the shuffle where one row per key is wanted. Where every request keeps its row,
-the other side of the join has one row per key, and a hot key is left to the skew handling of
-adaptive execution.
+the most frequent keys are looked up by a bounded broadcast (``hot.attach``), or, against a stored
+cache with one row per key, split by the skew handling of adaptive execution.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import contains_any
 from ..functions.times import age_seconds
+from .hot import attach
 
 # --- fixed values: key length, age limit, words that keep a response out ---------------------
 KEY_CHARS = 500
@@ -36,17 +37,30 @@ def cache_admit(responses: DataFrame, id: str = "response_id") -> DataFrame:
     )
 
 
-def cache_lookup(requests: DataFrame, cache: DataFrame, now_micros: int | Column) -> DataFrame:
-    """Requests with ``response`` and ``hit``; an entry of 24 hours or more is no hit."""
+def cache_lookup(
+    requests: DataFrame, cache: DataFrame, now_micros: int | Column, id: str | None = None
+) -> DataFrame:
+    """Requests with ``response`` and ``hit``; an entry of 24 hours or more is no hit.
+
+    With ``id``, a column that tells requests apart, hot keys are looked up by broadcast. Leave it
+    out for a stored cache: there adaptive execution splits hot keys without a pass to count them.
+    """
     fresh = cache.filter(age_seconds(cache, "ts", now_micros) < MAX_AGE_SECONDS).select(
         "key", "response"
     )
-    return requests.join(fresh, "key", "left").withColumn("hit", F.col("response").isNotNull())
+    if id is None:
+        found = requests.join(fresh, "key", "left")
+    else:
+        counts = requests.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        found = attach(requests, fresh, counts, "key", id)
+    return found.withColumn("hit", F.col("response").isNotNull())
 
 
-def cache_misses(requests: DataFrame, cache: DataFrame, now_micros: int | Column) -> DataFrame:
-    fresh = cache.filter(age_seconds(cache, "ts", now_micros) < MAX_AGE_SECONDS).select("key")
-    return requests.join(fresh, "key", "left_anti")
+def cache_misses(
+    requests: DataFrame, cache: DataFrame, now_micros: int | Column, id: str | None = None
+) -> DataFrame:
+    """Requests that have to be sent."""
+    return cache_lookup(requests, cache, now_micros, id).filter(~F.col("hit")).drop("response", "hit")
 
 
 def cache_expire(cache: DataFrame, now_micros: int | Column) -> DataFrame:
@@ -78,10 +92,9 @@ def dedupe_requests(requests: DataFrame, id: str = "request_id", key: str = "key
 
 def assign_requests(requests: DataFrame, id: str = "request_id", key: str = "key") -> DataFrame:
     """Every request with the id of the request that is sent for it."""
-    leaders = requests.groupBy(key).agg(F.min(id).alias("sent_as"))
-    return requests.join(leaders, key).select(
-        id, key, "sent_as", (F.col(id) == F.col("sent_as")).alias("is_call")
-    )
+    keys = requests.groupBy(key).agg(F.min(id).alias("sent_as"), F.count(F.lit(1)).alias("n"))
+    joined = attach(requests.select(id, key), keys.select(key, "sent_as"), keys, key, id)
+    return joined.withColumn("is_call", F.col(id) == F.col("sent_as"))
 
 
 def changed_files(files: DataFrame, seen: DataFrame) -> DataFrame:

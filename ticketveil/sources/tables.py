@@ -12,11 +12,11 @@ def widen(df: DataFrame) -> DataFrame:
     """Spread a freshly read table over all cores when its files give too few tasks.
 
     Text expressions cost far more than moving the text once, so a small table in one row group
-    should not be left to one core. A table with enough tasks of its own is not shuffled.
-    ``df`` has to be a plain scan: the number of tasks is taken from its files.
+    should not be left to one core. A table with tasks for more than half of the cores is not
+    shuffled. ``df`` has to be a plain scan: the number of tasks is taken from its files.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
 
 
 def read_documents(
