@@ -29,6 +29,11 @@ CASES = [
     (JSON + "\ntrailing", ("Score not available", "Score not available", 1, 1, 1, 50.0, True)),
     ("✅ PASS\nJSON_SUMMARY: {bad}", ("1/1 (100%) (1/13)", "Score not available", 1, 0, 0, 100.0, False)),
     ("✅ PASS\nJSON_SUMMARY: {'q2':'FAIL'}", ("1/1 (100%) (1/13)", "Score not available", 1, 0, 0, 100.0, False)),
+    ('JSON_SUMMARY: {"q2":"FAIL","q2":"PASS"}', ("Score not available", "Score not available", 1, 0, 0, 100.0, True)),
+    ('✅ PASS\nJSON_SUMMARY: {"q2":"FAIL"} or {"q3":"FAIL"}', ("1/1 (100%) (1/13)", "Score not available", 1, 0, 0, 100.0, False)),
+    ('✅ PASS\nJSON_SUMMARY: {"q2":"FAIL"},{"q3":"FAIL"}', ("1/1 (100%) (1/13)", "Score not available", 1, 0, 0, 100.0, False)),
+    ('✅ PASS\nJSON_SUMMARY: [1, 2]', ("1/1 (100%) (1/13)", "Score not available", 1, 0, 0, 100.0, False)),
+    ('JSON_SUMMARY: {"q2":null,"Q3":"n/a","x":"FAIL"}', ("Score not available", "Score not available", 0, 0, 1, None, True)),
     (JSON + "\n\nJSON_SUMMARY: nothing", ("Score not available", "Score not available", 0, 0, 0, None, False)),
 ]
 

@@ -74,12 +74,27 @@ def parse_json_summary(report: Column) -> Column:
 
     def parse(raw: Column) -> Column:
         found = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
-        payload = F.when(found == "", raw).otherwise(found)
-        return F.from_json(
-            F.translate(payload, SMART_QUOTES, '""'),
-            "map<string,string>",
+        payload = F.translate(F.when(found == "", raw).otherwise(found), SMART_QUOTES, '""')
+        # Read as the only item of a list: alone, text after the object would go unnoticed.
+        items = F.from_json(
+            F.concat(F.lit("["), payload, F.lit("]")),
+            "array<map<string,string>>",
             {"allowSingleQuotes": "false"},
         )
+        return let(
+            items, lambda a: F.when(F.size(a) == 1, let(F.map_entries(F.get(a, F.lit(0))), unique))
+        )
+
+    def unique(entries: Column) -> Column:
+        """Of equal keys the last one counts."""
+        return F.map_from_entries(
+            F.filter(
+                entries,
+                lambda e, i: ~F.exists(
+                    F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]
+                ),
+            )
+        )
 
     raw = strip(F.substr(let(lines, last), F.lit(len(SUMMARY_PREFIX) + 1)))
     return F.when(report.contains(SUMMARY_PREFIX), let(raw, parse))
