@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, linededup, simhash, toxicity
+from . import bpe, chat, decontaminate, html, licenses, linededup, sharding, simhash, toxicity, vectors
 from .common import table
 
 
@@ -39,6 +39,63 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=24).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def _values(rows) -> str:
+    return ", ".join(f"('{a}', '{b}')" for a, b in rows)
+
+
+OP4_SQL = f"""
+WITH phrases(phrase, label) AS (VALUES {_values(licenses.PHRASES)}),
+templates(phrase, label) AS (VALUES {_values(licenses.TEMPLATES)}),
+docs AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents
+), words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM docs
+), starts AS (
+  SELECT p.phrase, p.label, string_split(p.phrase, ' ') AS ps, d.doc_id, d.i
+  FROM words d JOIN phrases p ON d.word = string_split(p.phrase, ' ')[1]
+), places AS (
+  SELECT s.doc_id, s.label, s.i FROM starts s JOIN docs d USING (doc_id)
+  WHERE d.w[s.i + 1 : s.i + len(s.ps)] = s.ps
+), found AS (
+  SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word,
+         list(DISTINCT label) AS labels FROM places GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, list_distinct(regexp_extract_all(lower(l), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM docs)
+), shares AS (
+  SELECT l.doc_id, t.label, len(list_intersect(l.w, t.w)) / CAST(len(t.w) AS DOUBLE) AS share
+  FROM lines l, (SELECT label, list_distinct(string_split(phrase, ' ')) AS w FROM templates) t
+  WHERE len(list_intersect(l.w, t.w)) >= ceil(0.8 * len(t.w) - 1e-9)
+), own AS (
+  SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM shares GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(f.n_base, 0) AS n_base, f.first_word, f.last_word,
+       coalesce(array_to_string(list_sort(f.labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(f.labels, []), coalesce(o.labels, [])))), ','), '') AS labels,
+       CASE WHEN f.n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(o.share, 0.0) END AS score
+FROM docs d LEFT JOIN found f USING (doc_id) LEFT JOIN own o USING (doc_id)
+"""
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
@@ -50,6 +107,40 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+OP6_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), fine AS (
+  SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b
+  ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95
+), reach(a, b) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE links.a = v.vec_id) AS n_links, component_id,
+       v.vec_id = component_id AS kept
+FROM v JOIN least USING (vec_id)
+"""
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], turns.schema)
+    return chat.read_back(chat.format_conversations(turns.unionAll(probe)))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -69,9 +160,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_sharding": op3_sharding,
+    "op4_license_scan": op4_license_scan,
     "op5_toxicity": op5_toxicity,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
+    "op7_chat_formatting": op7_chat_formatting,
+    "op8_html_extraction": op8_html_extraction,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLES = {"op1_line_dedup": OP1_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op4_license_scan": OP4_SQL, "op6_embedding_near_dedup": OP6_SQL}
