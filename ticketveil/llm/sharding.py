@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from .common import stored
 
 #: Bundles of small groups per shard; with that many again of large groups they bound what the driver packs.
-BUNDLES = 512
+BUNDLES = 256
 #: Parts that the rows of a shard are numbered in.
 PARTS = 512
 
@@ -79,7 +79,7 @@ def best_fit_decreasing(sizes: list[int], capacity: int, bins: int) -> list[int]
 
 def pack(sizes: list[int], bins: int) -> list[int]:
     """The bin of each size (in decreasing order), at the least capacity that ``bins`` bins of best fit
-    need. A size that alone exceeds a fair share of what is left has a bin of its own."""
+    need, to one part in 20,000. A size that alone exceeds a fair share of what is left has a bin of its own."""
     left, alone = sum(sizes), 0
     while alone < min(bins - 1, len(sizes)) and sizes[alone] * (bins - alone) >= left:
         left -= sizes[alone]
@@ -89,7 +89,7 @@ def pack(sizes: list[int], bins: int) -> list[int]:
     high = low
     while (found := best_fit_decreasing(rest, high, n)) is None:
         low, high = high + 1, high + max(1, high // 64)
-    while low < high:
+    while high - low > low // 20_000:
         middle = (low + high) // 2
         if (better := best_fit_decreasing(rest, middle, n)) is None:
             low = middle + 1

@@ -17,6 +17,8 @@ from .common import stored, utf8, words
 MAX_TOXIC, MAX_CLEAN = 3_000, 9_000
 #: A word or word beginning enters the lexicon if so many toxic rows have it, and so few clean ones.
 MIN_ROWS, MAX_CLEAN_SHARE = 3, 0.02
+#: A term chosen for the lexicon has to explain so large a share of the toxic rows that no term before it does.
+MIN_SHARE = 0.015
 #: Most frequent candidates that the cover is chosen from; bounds what the driver holds.
 MAX_CANDIDATES = 20_000
 #: Lengths of word beginnings, in bytes.
@@ -175,9 +177,10 @@ def _cover(rows: dict, clean: dict[bytes, int]) -> list[bytes]:
         for t in terms:
             by_term.setdefault(t, set()).add(row)
     left, chosen = set(rows), []
+    least = max(MIN_ROWS, MIN_SHARE * len(rows))
     while by_term:
         term, have = max(by_term.items(), key=lambda x: (len(x[1] & left) - clean.get(x[0], 0), len(x[0]), x[0]))
-        if len(have & left) < MIN_ROWS:
+        if len(have & left) < least:
             break
         chosen.append(term)
         left -= have
