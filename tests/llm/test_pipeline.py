@@ -1,0 +1,75 @@
+import hashlib
+
+import corpus_pipeline as C
+import public_tokenizers as P
+from pyspark.sql import functions as F
+
+from ticketveil.llm.common import table
+
+from .helpers import prose
+
+
+def tables(spark, folder):
+    docs = {i: prose(i, 120, 3000) for i in range(120)}
+    for i in range(0, 60):
+        docs[i] += "\nsubscribe to our newsletter"
+    for i in range(20, 40):
+        docs[i] += " glorp you snarf."
+    docs[200], docs[201] = docs[70], docs[70] + " x"
+    item = prose(5000, 30, 3000)
+    docs[300], docs[301] = prose(300, 200, 3000) + " " + item, item
+    rows = [(i, t, "en", "s", len(t)) for i, t in docs.items()]
+    for name, data, schema in (
+        ("documents", rows, "doc_id long, text string, lang string, source string, n_chars long"),
+        ("labels", [(i, 1, int(20 <= i < 40)) for i in range(120)], "doc_id long, quality int, toxic int"),
+        ("benchmark", [(1, item)], "item_id long, text string"),
+    ):
+        spark.createDataFrame(data, schema).write.parquet(f"{folder}/{name}.parquet")
+    return docs, item
+
+
+def test_stages(spark, tmp_path):
+    folder = str(tmp_path)
+    docs, item = tables(spark, folder)
+    frame, kept = table(spark, folder, "documents"), {}
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, frame, folder)
+        assert out.columns == frame.columns
+        out.write.parquet(f"{folder}/{name}")
+        frame = spark.read.parquet(f"{folder}/{name}")
+        kept[name] = {r.doc_id: r for r in frame.collect()}
+    assert kept["toxicity"].keys() == docs.keys() - set(range(20, 40))
+    assert not any("newsletter" in r.text for r in kept["line_dedup"].values())
+    assert kept["line_dedup"].keys() == kept["toxicity"].keys()
+    assert kept["simhash_near_dedup"].keys() == kept["line_dedup"].keys() - {200, 201}
+    last = kept["benchmark_decontamination"]
+    assert last.keys() == kept["simhash_near_dedup"].keys() - {301}
+    assert last[300].text == prose(300, 200, 3000) + " " and last[300].n_chars == len(last[300].text)
+    whole = {r.doc_id: r for r in C.run(spark, folder).collect()}
+    assert whole.keys() == last.keys()
+    for i, r in whole.items():
+        assert r.decoded_sha256 == hashlib.sha256(last[i].text.encode()).hexdigest() and len(r.ids) == r.n_tokens
+
+
+def test_stages_on_nothing(spark, tmp_path):
+    folder = str(tmp_path)
+    tables(spark, folder)
+    frame = table(spark, folder, "documents").limit(0)
+    for _, stage in C.STAGES:
+        out = stage(spark, frame, folder)
+        assert out.count() == 0
+
+
+def test_null_texts_and_ids(spark, tmp_path):
+    folder = str(tmp_path)
+    tables(spark, folder)
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, None, "en", "s", 0), (2, "", "en", "s", 0), (2, "", "en", "s", 0)], table(spark, folder, "documents").schema)
+    for _, stage in C.STAGES:
+        out = stage(spark, odd, folder)
+        out.write.parquet(path := f"{folder}/odd-{_}")
+        odd = spark.read.parquet(path)
+    assert {r.doc_id for r in odd.collect()} == {None, 1}
+
+
+def test_path_is_a_parameter():
+    assert P.path("byte_bpe_50k.tiktoken").endswith(".tiktoken") and F is not None

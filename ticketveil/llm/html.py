@@ -62,6 +62,7 @@ def blocks(html: str) -> list[Block]:
     stack: list[tuple[str, bool, bool]] = []  # open element, not the article, within main
     parts: list[str] = []
     linked = depth = at = 0
+    aside = False  # within a paragraph that is not the article; it ends with any other block
 
     def text(piece: str) -> None:
         nonlocal linked
@@ -75,7 +76,7 @@ def blocks(html: str) -> list[Block]:
         content = " ".join(unescape("".join(parts)).split())
         if content:
             other, main = stack[-1][1:] if stack else (False, False)
-            out.append(Block(content, len(content.split()), linked, other, main))
+            out.append(Block(content, len(content.split()), linked, other or aside, main))
         parts.clear()
         linked = 0
 
@@ -95,14 +96,18 @@ def blocks(html: str) -> list[Block]:
         flush()
         if tag in VOID:
             continue
+        aside = False
         if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
                     break
             depth = 0
-        elif tag != "p":  # paragraphs are often left open and say nothing of their place
-            other, main = stack[-1][1:] if stack else (False, False)
+            continue
+        other, main = stack[-1][1:] if stack else (False, False)
+        if tag == "p":  # paragraphs are often left open, so they are no part of the stack
+            aside = _is_other(tag, token[4] or "", main)
+        else:
             stack.append((tag, other or _is_other(tag, token[4] or "", main), main or tag in MAIN))
     text(html[at:])
     flush()
@@ -147,6 +152,10 @@ LABELLED = (
     (200, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1),
     (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0),
     (2, 1.0, 1, 1.0, 3, 1.0, 0, 0, 0),
+    (2, 1.0, 0, 0.0, 40, 0.0, 0, 0, 0),
+    (3, 1.0, 0, 0.0, 120, 0.0, 0, 0, 0),
+    (1, 1.0, 60, 0.0, 0, 0.0, 0, 0, 0),
+    (6, 1.0, 50, 0.0, 45, 0.0, 0, 0, 0),
     (6, 0.8, 2, 1.0, 2, 1.0, 0, 0, 0),
     (30, 0.7, 5, 1.0, 4, 0.5, 0, 0, 0),
     (50, 0.9, 40, 0.0, 4, 0.5, 0, 0, 0),
