@@ -194,7 +194,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int):
 
 
 @lru_cache
-def tree(depth: int = 5):
+def tree(depth: int = 8):
     """The tree of the labelled table."""
     table = np.array(LABELLED, float)
     return grow(table[:, :-1], table[:, -1], depth)
