@@ -61,7 +61,7 @@ def test_odd_rows(spark):
 
 
 def test_probes_and_bound_lose_nothing():
-    rows = near(3, 40, 10, 24)
+    rows = near(3, 40, 10, 64)
     unit = V._unit(np.array([v for _, v in rows]))
     index = V.train(unit, len(unit), 0.95)
     lists, codes, error = index.encode(unit)

@@ -20,6 +20,9 @@ MAX_LISTS = 4_096
 SUBSPACES, CODES = 8, 32
 #: Members and queries of a list that meet in one group; larger lists are dealt in tiles.
 TILE = 2_048
+#: How far a near vector may lie across the plane between two lists, in standard deviations of a difference in a
+#: random direction. Up to 16 dimensions that is the whole reach, and no link can be lost.
+DEVIATIONS = 4.0
 _EPS = 1e-6
 
 
@@ -64,12 +67,14 @@ class Index:
         return lists, codes, np.sqrt(error)
 
     def probes(self, unit: np.ndarray, lists: np.ndarray) -> np.ndarray:
-        """Which lists can hold a vector within reach. That one lies on the other side of the plane between two
-        centres, so the query is within reach of the plane; no such list is left out."""
+        """Which lists may hold a vector within reach. That one lies on the other side of the plane between two
+        centres, so the query is no farther from the plane than the difference goes across it: its length by
+        the root of the dimensions is one standard deviation, ``DEVIATIONS`` of them are searched."""
+        margin = self.reach * min(1.0, DEVIATIONS / math.sqrt(unit.shape[1]))
         squared = _squared(unit, self.centres)
         gap = np.sqrt(_squared(self.centres, self.centres))[lists]
         nearer = squared - squared[np.arange(len(unit)), lists][:, None]
-        return nearer <= 2 * self.reach * gap + _EPS
+        return nearer <= 2 * margin * gap + _EPS
 
     def approximate(self, queries: np.ndarray, of: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distances from queries to the coded members of a list: a table of squared distances to
@@ -119,9 +124,6 @@ def _forest(linked: np.ndarray, queries: np.ndarray, members: np.ndarray) -> lis
     return edges
 
 
-_ROW = "list int, mt int, qt int, query boolean, id long, m long, v array<double>, code binary, error double"
-
-
 def _index_rows(index) -> object:
     """A member row for each vector in its list, and a query row in each list that it probes."""
 
@@ -142,10 +144,7 @@ def _index_rows(index) -> object:
                         pa.array(query),
                         part.column(0).take(pa.array(rows)),
                         part.column(1).take(pa.array(rows)),
-                        pa.ListArray.from_arrays(
-                            pa.array((np.arange(len(rows) + 1) * unit.shape[1]).astype(np.int32)),
-                            pa.array(unit[rows].ravel()),
-                        ),
+                        part.column(2).take(pa.array(rows)),
                         pa.array([c.tobytes() for c in codes] + empty, pa.binary()),
                         pa.array(np.concatenate((error, np.zeros(len(who))))),
                     ],
@@ -166,13 +165,13 @@ def _compare(index, threshold: float):
         book: Index = index.value
         ids = np.concatenate([b.column("id").to_numpy() for b in members])
         weight = np.concatenate([b.column("m").to_numpy() for b in members])
-        vectors = np.concatenate([_matrix(b.column("v")) for b in members])
+        vectors = _unit(np.concatenate([_matrix(b.column("v")) for b in members]))
         error = np.concatenate([b.column("error").to_numpy() for b in members])
         codes = np.frombuffer(b"".join(x for b in members for x in b.column("code").to_pylist()), np.uint8)
         codes = codes.reshape(len(ids), -1)
         for at in range(0, queries.num_rows, 512):
             part = queries.slice(at, 512)
-            own, asked = part.column("id").to_numpy(), _matrix(part.column("v"))
+            own, asked = part.column("id").to_numpy(), _unit(_matrix(part.column("v")))
             near = book.approximate(asked, of, codes) <= book.reach + error + _EPS
             near &= own[:, None] != ids
             q, m = near.any(1), near.any(0)
@@ -211,11 +210,9 @@ def _links(classes: DataFrame, threshold: float) -> DataFrame:
     picked = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
     index = train(_unit(_matrix(picked.column(0).combine_chunks())), count, threshold)
     shared = spark.sparkContext.broadcast(index)
-    rows = stored(
-        classes.select("id", "m", "v").mapInArrow(
-            _index_rows(shared), "list int, query boolean, id long, m long, v array<double>, code binary, error double"
-        )
-    )
+    vector = classes.schema["v"].dataType.simpleString()
+    schema = f"list int, query boolean, id long, m long, v {vector}, code binary, error double"
+    rows = stored(classes.select("id", "m", "v").mapInArrow(_index_rows(shared), schema))
     # at most MAX_LISTS rows
     sizes = stored(
         rows.groupBy("list").agg(
@@ -251,7 +248,8 @@ def near_duplicates(
     linked directly, ``component_id`` is the least id reachable, ``kept`` says whether it is the row's.
     Null, empty and zero vectors, and those with null or non-finite components, link with nothing, nor
     do vectors of different length. Equal vectors are one class, compared once, whatever their
-    number. The probes and the bound on coded distances lose no link, so the result is whole.
+    number. The bound on coded distances loses no link; the probes lose none up to 16 dimensions, and
+    beyond that only one whose difference lies ``DEVIATIONS`` standard deviations across a plane.
     """
     v, kind = F.col(embedding), vectors.schema[id].dataType
     fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -262,7 +260,7 @@ def near_duplicates(
             F.coalesce(fine, F.lit(False)).alias("fine"),
             F.xxhash64(v).alias("h"),
             F.xxhash64(F.lit(1), v).alias("g"),
-            v.cast("array<double>").alias("v"),
+            v.alias("v"),
         )
     )
     classes = stored(
