@@ -1,0 +1,48 @@
+"""The registered queries on the smallest tables: against their SQL where they have it, and whole elsewhere."""
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry_point
+from tests.conftest import DATA
+from tests.test_catalog import TABLES, table
+
+NAMES = [n for n in entry_point.queries() if n.startswith("op")]
+ROWS = {"op6": ("embeddings", 0), "op7": ("(SELECT DISTINCT conv_id FROM conversations)", 1), "op8": ("pages", 0)}
+ROWS_ELSE = ("documents", 0)
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    return con
+
+
+def test_one_query_for_each_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in NAMES) == list(range(1, 11))
+    assert "pipeline" in entry_point.queries()
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_query(spark, duck, name):
+    df = entry_point.queries()[name](spark, DATA)
+    rows = df.collect()
+    source, more = ROWS.get(name.split("_")[0], ROWS_ELSE)
+    assert len(rows) == duck.sql(f"SELECT count(*) FROM {source}").fetchall()[0][0] + more
+    sql = entry_point.oracle_sql().get(name)
+    if sql:
+        cur = duck.execute(sql)
+        names = [d[0] for d in cur.description]
+        columns = sorted(df.columns)
+        assert sorted(names) == columns
+        want = table([r[names.index(c)] for c in columns] for r in cur.fetchall())
+        assert table([r[c] for c in columns] for r in rows) == want
+
+
+@pytest.mark.parametrize("name", ["op1_line_dedup", "op4_license_scan"])
+def test_native(spark, name):
+    plan = entry_point.queries()[name](spark, DATA)._jdf.queryExecution().toString()
+    for word in ("Python", "Pandas", "InArrow", "CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert word not in plan
