@@ -258,14 +258,15 @@ ANSWERS = {
     "q": "turn + 1",
     "question": "role",
     "standard": "'Standard ' || cast(turn as string)",
-    "response": "case when conv_id % 9 = 0 then null else text end",
+    "response": "text",
 }
+ANSWERS_OF = (ANSWERS, {**ANSWERS, "audit_id": "-1 - conv_id", "response": "cast(null as string)"})  # audits without answers
 add(
     "a13_assemble_question_report",
-    lambda spark, d: O.assemble_question_report(D.derive(spark, d, "conversations", ANSWERS), NOW),
+    lambda spark, d: O.assemble_question_report(D.derive_more(spark, d, "conversations", *ANSWERS_OF), NOW),
     S.with_(
         [
-            f"answers AS (SELECT {D.columns(ANSWERS)} FROM conversations)",
+            f"answers AS ({D.more_sql('conversations', *ANSWERS_OF)})",
             "blocks AS (SELECT audit_id, count(response) AS n, string_agg('\n**QUESTION ' || q::VARCHAR || ': ' || question "
             "|| '**\n**Network Team Standard**: ' || standard || '\n\n' || response || '\n\n' || repeat('-', 50) || '\n', '' "
             "ORDER BY q) AS body FROM answers GROUP BY audit_id)",

@@ -30,13 +30,17 @@ def add(name, query, sql):
 PAGES = {
     "doc_id": "conv_id",
     "page_no": "turn",
-    "text": "case when (conv_id + turn) % 5 = 0 or conv_id % 11 = 0 then '' else text end",
+    "text": "text",
 }
-PAGES_SQL = f"pages_of AS (SELECT {D.columns(PAGES)} FROM conversations)"
+# an empty page after every fifth, and documents of empty pages only
+EMPTY_PAGES = {"doc_id": "conv_id", "page_no": "turn * 2 + 1", "text": "case when (conv_id + turn) % 5 = 0 then '' else ' ' end"}
+EMPTY_DOCS = {"doc_id": "-1 - conv_id", "page_no": "turn", "text": "''"}
+PAGES_OF = ({**PAGES, "page_no": "turn * 2"}, EMPTY_PAGES, EMPTY_DOCS)
+PAGES_SQL = f"pages_of AS ({D.more_sql('conversations', *PAGES_OF)})"
 
 
 def pages(spark, d):
-    return D.derive(spark, d, "conversations", PAGES)
+    return D.derive_more(spark, d, "conversations", *PAGES_OF)
 
 
 add(
@@ -70,13 +74,13 @@ add(
         "FROM pages_of GROUP BY ALL",
     ),
 )
-GATED = {"doc_id": "doc_id", "text": "case when doc_id % 7 = 0 then '  ' || chr(10) else text end"}
+GATED = ({"doc_id": "doc_id", "text": "text"}, {"doc_id": "-1 - doc_id", "text": "'  ' || chr(10)"})
 add(
     "s2_no_text_gate",
-    lambda spark, d: P.no_text_gate(D.derive(spark, d, "documents", GATED)),
+    lambda spark, d: P.no_text_gate(D.derive_more(spark, d, "documents", *GATED)),
     f"SELECT *, CASE WHEN {S.strip('text')} = '' THEN 'error' ELSE 'processing' END AS status, "
     f"CASE WHEN {S.strip('text')} = '' THEN '{P.NO_TEXT}' ELSE '' END AS error_message "
-    f"FROM (SELECT {D.columns(GATED)} FROM documents)",
+    f"FROM ({D.more_sql('documents', *GATED)})",
 )
 add(
     "s3_read_documents",
@@ -85,8 +89,9 @@ add(
     ),
     f"SELECT doc_id, length(text)::INTEGER AS chars, length({S.strip('text')})::INTEGER AS inner_chars FROM documents",
 )
-TURNS = {"conv_id": "conv_id", "turn": "turn", "role": "role", "text": "case when turn = 2 then null else text end"}
-TURNS_SQL = f"turns AS (SELECT {D.columns(TURNS)} FROM conversations)"
+TURNS = {"conv_id": "conv_id", "turn": "turn", "role": "role", "text": "text"}
+TURNS_OF = (TURNS, {**TURNS, "turn": "turn + 10", "text": "cast(null as string)"})  # turns without a text
+TURNS_SQL = f"turns AS ({D.more_sql('conversations', *TURNS_OF)})"
 add(
     "s5_conversation_export",
     lambda spark, d: P.conversation_export(D.table(spark, d, "conversations"), now=NOW),
@@ -97,7 +102,7 @@ add(
 add(
     "s5_conversation_export_parts",
     lambda spark, d: P.conversation_export(
-        D.derive(spark, d, "conversations", TURNS), turns_per_part=2
+        D.derive_more(spark, d, "conversations", *TURNS_OF), turns_per_part=2
     ).drop("export"),
     S.with_(
         [TURNS_SQL],

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ticketveil.sources import widen
+from ticketveil.sources import spread
 
 QUESTIONS = (2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 14, 15)
 NL = "chr(10)"
@@ -189,9 +189,27 @@ def derive(spark: SparkSession, sf_dir: str, name: str, mapping: dict[str, str])
     return table(spark, sf_dir, name).selectExpr(*(f"{e} AS {n}" for n, e in mapping.items()))
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table, over as many tasks as the setting ``ticketveil.partitions`` says. It is unset by default."""
+    partitions = spark.conf.get("ticketveil.partitions", None)
+    return spread(table(spark, sf_dir, name), int(partitions) if partitions else None)
+
+
+def derive_more(spark: SparkSession, sf_dir: str, name: str, *mappings: dict[str, str]) -> DataFrame:
+    """The rows of each mapping, one after the other: given rows and rows added for cases that are not given."""
+    first, *rest = (derive(spark, sf_dir, name, m) for m in mappings)
+    for other in rest:
+        first = first.unionByName(other)
+    return first
+
+
+def more_sql(source: str, *mappings: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT {columns(m)} FROM {source}" for m in mappings)
+
+
 def derive_wide(spark: SparkSession, sf_dir: str, name: str, mapping: dict[str, str]) -> DataFrame:
     """As ``derive``, for queries that spend their time on text."""
-    wide = widen(table(spark, sf_dir, name))
+    wide = spread_table(spark, sf_dir, name)
     return wide.selectExpr(*(f"{e} AS {n}" for n, e in mapping.items()))
 
 

@@ -9,7 +9,6 @@ from ticketveil.functions import redaction as R
 from ticketveil.functions.text import let
 from ticketveil.operators import lines as L
 from ticketveil.operators import redaction as O
-from ticketveil.sources import widen
 
 from . import derived as D
 from . import sqltext as S
@@ -134,7 +133,7 @@ add(
 )
 add(
     "r12_redaction_stats",
-    lambda spark, d: O.redaction_stats(widen(D.table(spark, d, "documents"))),
+    lambda spark, d: O.redaction_stats(D.spread_table(spark, d, "documents")),
     S.with_(
         ["docs AS (SELECT doc_id, text AS t FROM documents)", *S.redaction_ctes("docs")],
         f"SELECT doc_id, {ALL_COUNTS} FROM done",
@@ -143,7 +142,7 @@ add(
 
 
 def redaction_rollup(spark, d):
-    docs = widen(D.table(spark, d, "documents"))
+    docs = D.spread_table(spark, d, "documents")
     return O.redaction_rollup(O.redaction_stats(docs, keep=("lang", "source")), "lang", "source")
 
 

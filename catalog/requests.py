@@ -255,7 +255,7 @@ add(
 add("c3_cache_admit", cache, S.with_([CALLS_SQL, CACHE_SQL], "SELECT * FROM cache"))
 add(
     "c2_cache_lookup",
-    lambda spark, d: C.cache_lookup(wanted(spark, d), cache(spark, d), NOW_MICROS, "id"),
+    lambda spark, d: C.cache_lookup(wanted(spark, d), cache(spark, d), NOW_MICROS),
     S.with_(
         [CALLS_SQL, CACHE_SQL],
         f"SELECT id, key, c.response, c.response IS NOT NULL AS hit FROM (SELECT id, key FROM calls) LEFT JOIN "
@@ -264,7 +264,7 @@ add(
 )
 add(
     "c2_cache_misses",
-    lambda spark, d: C.cache_misses(wanted(spark, d), cache(spark, d), NOW_MICROS, "id"),
+    lambda spark, d: C.cache_misses(wanted(spark, d), cache(spark, d), NOW_MICROS),
     S.with_(
         [CALLS_SQL, CACHE_SQL],
         f"SELECT id, key FROM calls WHERE key NOT IN (SELECT key FROM cache WHERE {FRESH})",
@@ -285,26 +285,28 @@ _FILE_NOW = "2024-01-03 12:00:00"
 _FILE_NOW_MICROS = 1704283200000000
 
 
-def entries(kind: str) -> dict[str, str]:
-    return {**ENTRIES, "ts": ENTRIES["ts"].format(kind)}
+def entries(kind: str) -> tuple[dict[str, str], dict[str, str]]:
+    """An entry for each document, and one more whose source is gone."""
+    given = {**ENTRIES, "ts": ENTRIES["ts"].format(kind)}
+    return given, {**given, "key": "'gone' || cast(doc_id as string)"}
 
 
 def sources(spark, d):
-    docs = D.table(spark, d, "documents").filter("lang <> 'fr'")
+    docs = D.table(spark, d, "documents")
     return docs.select(F.expr(ENTRIES["key"]).alias("key"), F.col("text").alias("content"))
 
 
 add(
     "c5_file_cache_valid",
     lambda spark, d: C.file_cache_valid(
-        D.derive(spark, d, "documents", entries("timestamp_ntz")), sources(spark, d), _FILE_NOW_MICROS
+        D.derive_more(spark, d, "documents", *entries("timestamp_ntz")), sources(spark, d), _FILE_NOW_MICROS
     ),
     S.with_(
         [
-            f"entries AS (SELECT {D.columns(entries('timestamp'))} FROM documents)",
-            "src AS (SELECT 'd' || doc_id::VARCHAR AS key, md5(text) AS h FROM documents WHERE lang <> 'fr')",
+            f"entries AS ({D.more_sql('documents', *entries('timestamp'))})",
+            "src AS (SELECT 'd' || doc_id::VARCHAR AS key, md5(text) AS h FROM documents)",
         ],
-        f"SELECT key, content, (h IS NULL OR h = source_hash) AND ts >= TIMESTAMP '{_FILE_NOW}' - INTERVAL 24 HOUR AS valid "
+        f"SELECT key, (h IS NULL OR h = source_hash) AND ts >= TIMESTAMP '{_FILE_NOW}' - INTERVAL 24 HOUR AS valid "
         "FROM entries LEFT JOIN src USING (key)",
     ),
 )
@@ -339,7 +341,7 @@ add(
     "c7_changed_files",
     lambda spark, d: C.changed_files(
         D.derive(spark, d, "documents", NAMED), D.derive(spark, d, "documents", SEEN)
-    ).select("name", "hash"),
+    ),
     "SELECT doc_id::VARCHAR || '.txt' AS name, md5(text) AS hash FROM documents WHERE lang <> 'en'",
 )
 

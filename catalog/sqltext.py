@@ -7,6 +7,7 @@ copy, where an ASCII boundary is a Unicode boundary, and cut out of the text by
 
 from __future__ import annotations
 
+from catalog import expected as X
 from ticketveil.functions import patterns as P
 
 SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]"
@@ -137,11 +138,11 @@ def email_stage(prev: str, name: str) -> list[str]:
 def name_kept(x: str = "x") -> str:
     first = f"lower(regexp_extract({x}, '^[A-Z][a-z]+'))"
     second = f"lower(regexp_extract({x}, '[A-Z][a-z]+$'))"
-    words = in_list(P.PRESERVE_WORDS)
+    words = in_list([*X.WORDS, *X.NAMES])
     return (
-        f"({first} IN {words} OR {second} IN {words} OR lower({x}) IN {in_list(P.PRESERVE_PHRASES)} "
-        f"OR regexp_matches(lower({x}), '{'|'.join(P.TECHNICAL_MARKS)}') "
-        f"OR regexp_matches({x}, '({'|'.join(P.BUSINESS_ENDINGS)})$'))"
+        f"({first} IN {words} OR {second} IN {words} OR lower({x}) IN {in_list(X.PHRASES)} "
+        f"OR regexp_matches(lower({x}), '{'|'.join(X.TECHNICAL_MARKS)}') "
+        f"OR regexp_matches({x}, '({'|'.join(X.BUSINESS_ENDINGS)})$'))"
     )
 
 

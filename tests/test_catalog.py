@@ -35,11 +35,14 @@ def table(rows):
     )
 
 
+NAMES = [name for name, query in entry_point.queries().items() if query.__module__.startswith("catalog.")]
+
+
 def test_every_query_has_sql():
-    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
+    assert set(NAMES) <= set(entry_point.oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(entry_point.queries()))
+@pytest.mark.parametrize("name", NAMES)
 def test_query(spark, duck, name):
     df = entry_point.queries()[name](spark, DATA)
     columns = sorted(df.columns)

@@ -102,3 +102,15 @@ def test_stream_equals_batch(spark, tmp_path, data_dir):
     streamed = spark.read.parquet(sink)
     assert streamed.count() == docs.count()
     assert streamed.exceptAll(redact_documents(docs)).count() == 0
+
+
+def test_two_streams_share_nothing(spark, tmp_path):
+    for n in (1, 2):
+        source, sink = str(tmp_path / f"in{n}"), str(tmp_path / f"out{n}")
+        spark.range(n * 10).selectExpr("id AS doc_id", "'from 8.8.8.8' AS text").write.parquet(source)
+        start_redaction(spark, source, sink, checkpoint=str(tmp_path / f"cp{n}"), once=True).awaitTermination()
+        assert spark.read.parquet(sink).count() == n * 10
+
+
+def test_stored_needs_a_folder(spark, tmp_path):
+    assert plans.stored(spark.range(3), "own", str(tmp_path)).count() == 3

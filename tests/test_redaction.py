@@ -146,10 +146,10 @@ def test_single_stages_agree_with_pipeline(spark):
 
 def test_site_terms(spark, tmp_path):
     path = str(tmp_path / "terms")
-    spark.createDataFrame([("Tower", "word"), ("blue heron", "phrase")], "term string, kind string").write.parquet(path)
+    spark.createDataFrame([("Kestrel", "word"), ("blue heron", "phrase")], "term string, kind string").write.parquet(path)
     terms = load_terms(spark, path)
-    df = spark.createDataFrame([(1, "Tower Smith, Blue Heron, Caleb Franklin")], "doc_id long, text string")
-    assert redact_documents(df, terms=terms).first().redacted_text == "Tower Smith, Blue Heron, Caleb F."
+    df = spark.createDataFrame([(1, "Kestrel Smith, Blue Heron, Caleb Franklin")], "doc_id long, text string")
+    assert redact_documents(df, terms=terms).first().redacted_text == "Kestrel Smith, Blue Heron, Caleb F."
 
 
 def test_no_shuffle_and_no_repeated_search(spark, data_dir):

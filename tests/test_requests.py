@@ -131,16 +131,24 @@ def test_truncate_middle_and_routes(spark):
     assert [r[0] for r in models.select(P.route_by_length(F.col("n"), F.col("m"))).collect()] == ["gpt-4o-mini", "gpt-4", "gpt-4", "x"]
 
 
-def test_assign_requests_with_hot_keys(spark, monkeypatch):
-    """More distinct keys than are broadcast, one of them with a third of all requests."""
-    from ticketveil.operators import hot
+def test_assign_requests_with_hot_keys(spark, shared_dir):
+    """One key has nine tenths of all requests; plain and with the keys stored."""
+    from ticketveil import plans
 
-    monkeypatch.setattr(hot, "HOT_KEYS", 2)
     rng = random.Random(1)
-    rows = [(i, "hot" if i % 3 == 0 else f"k{rng.randint(0, 20)}") for i in range(500)]
+    rows = [(i, "hot" if i % 10 else f"k{rng.randint(0, 20)}") for i in range(500)]
     df = spark.createDataFrame(rows, "request_id long, key string")
     first = {}
     for i, key in rows:
         first.setdefault(key, i)
-    got = {r.request_id: (r.key, r.sent_as, r.is_call) for r in C.assign_requests(df).collect()}
-    assert got == {i: (key, first[key], first[key] == i) for i, key in rows}
+    for store in (None, lambda t: plans.stored(t, "keys", shared_dir)):
+        got = {r.request_id: (r.key, r.sent_as, r.is_call) for r in C.assign_requests(df, store=store).collect()}
+        assert got == {i: (key, first[key], first[key] == i) for i, key in rows}
+
+
+def test_only_keys_and_hashes_are_joined(spark):
+    docs = spark.createDataFrame([("a", "x", "h", 1), ("b", "y", "h", 1)], "key string, content string, source_hash string, ts int")
+    docs = docs.withColumn("ts", F.timestamp_seconds("ts"))
+    plan = C.file_cache_valid(docs, docs, 1)._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join") :]
+    assert "content" not in plan[: plan.index("Join")] and "Project [key" in join

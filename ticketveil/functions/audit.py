@@ -222,8 +222,9 @@ def _ratio(hit: Column, pattern: str, on_zero: Column | None) -> Column:
 def audit_score(report: Column) -> Column:
     """Passes over passes and fails; without any, the last score written in the text."""
 
-    def most(patterns):
-        return F.greatest(*(F.regexp_count(report, F.lit(f"(?isu){p}")) for p in patterns))
+    def most(patterns, mark):
+        counts = F.greatest(*(F.regexp_count(report, F.lit(f"(?isu){p}")) for p in patterns))
+        return F.when(report.isNull(), F.lit(None)).when(report.contains(mark), counts).otherwise(F.lit(0))
 
     def with_percent(pattern):
         parts = [F.lit("/"), F.lit(" ("), F.lit("%)")]
@@ -256,7 +257,7 @@ def audit_score(report: Column) -> Column:
         partial = F.concat(F.lit(" ("), total.cast("string"), F.lit(f"/{SCOREABLE_QUESTIONS})"))
         return F.when(total == SCOREABLE_QUESTIONS, share).otherwise(F.concat(share, partial))
 
-    counts = F.struct(most(PASS_PATTERNS).alias("p"), most(FAIL_PATTERNS).alias("f"))
+    counts = F.struct(most(PASS_PATTERNS, PASS_MARK).alias("p"), most(FAIL_PATTERNS, FAIL_MARK).alias("f"))
     return let(counts, lambda s: F.when(s["p"] + s["f"] > 0, counted(s)).otherwise(written()))
 
 

@@ -100,8 +100,7 @@ PHONE_PLACEHOLDER = "[REDACTED PHONE]"
 IP_UNCOUNTED_PREFIXES = ("10.", "172.", "192.168.")
 
 # --- fixed values: words that mark a capitalised pair as something other than a person ----
-# General service-desk vocabulary. Names of places, vendors, products and network protocols
-# belong to a site: pass them as ``PreserveTerms`` (see operators.redaction.load_terms).
+# General service-desk vocabulary.
 PRESERVE_WORDS = (
     # places and premises
     "eastern western northern southern central employee human resources "
@@ -135,6 +134,22 @@ PRESERVE_WORDS = (
     "secondary reference"
 ).split()
 
+# Names of places, companies, products and network protocols. Both lists are kept by default; a site adds its
+# own as ``PreserveTerms`` (see operators.redaction.load_terms).
+PRESERVE_NAMES = (
+    # places and premises
+    "niagara delaware melbourne presidio docklands tower wheeling downs gaming falls stadium island hotel casino "
+    "racetrack banquet buffet showroom lounge giftshop sportsbook pointe restaurant "
+    # systems and products
+    "incident switch appliance checkpoint verizon logicmonitor unified unity vmware vcenter vmotion "
+    "gewig gewiggafw gewigga gewigoamt gewigfpclus gewigagysws gewiggavrapp meraki cisco catalyst proliant "
+    "nimble esxi windows linux ubuntu redhat centos microsoft intel amd hp dell itrak everi approved "
+    # companies
+    "companies inc corp ltd llc north comcast segra metro eline etta lopp cfw "
+    # protocols and tools
+    "drs ha dhcp dns ntp snmp ssh rdp vnc bash powershell cmd cpu tcp udp icmp http https ftp sftp smtp imap"
+).split()
+
 # Two-word terms that neither the words above nor the marks and endings below keep.
 PRESERVE_PHRASES = (
     "delaware north",

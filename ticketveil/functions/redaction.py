@@ -25,7 +25,7 @@ MAX_TERMS = 100_000
 class PreserveTerms:
     """Words and two-word phrases (lower case) that are not names of people."""
 
-    words: tuple[str, ...] = field(default=tuple(P.PRESERVE_WORDS))
+    words: tuple[str, ...] = field(default=(*P.PRESERVE_WORDS, *P.PRESERVE_NAMES))
     phrases: tuple[str, ...] = field(default=P.PRESERVE_PHRASES)
 
     def __post_init__(self):

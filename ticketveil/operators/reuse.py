@@ -1,19 +1,19 @@
 """Reuse of responses and of unchanged files.
 
 Keys are hashes, so rows spread evenly unless many requests are equal. Equal requests are
-reduced before the shuffle where one row per key is wanted. Where every request keeps its row,
-the most frequent keys are looked up by a bounded broadcast (``hot.attach``), or, against a stored
-cache with one row per key, split by the skew handling of adaptive execution.
+reduced before the shuffle where one row per key is wanted. Where every request keeps its row, it is
+joined with one row per key; against a stored table adaptive execution splits the requests of a hot key.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_any
 from ..functions.times import age_seconds
-from .hot import attach
 
 # --- fixed values: key length, age limit, words that keep a response out ---------------------
 KEY_CHARS = 500
@@ -37,30 +37,17 @@ def cache_admit(responses: DataFrame, id: str = "response_id") -> DataFrame:
     )
 
 
-def cache_lookup(
-    requests: DataFrame, cache: DataFrame, now_micros: int | Column, id: str | None = None
-) -> DataFrame:
-    """Requests with ``response`` and ``hit``; an entry of 24 hours or more is no hit.
-
-    With ``id``, a column that tells requests apart, hot keys are looked up by broadcast. Leave it
-    out for a stored cache: there adaptive execution splits hot keys without a pass to count them.
-    """
-    fresh = cache.filter(age_seconds(cache, "ts", now_micros) < MAX_AGE_SECONDS).select(
-        "key", "response"
-    )
-    if id is None:
-        found = requests.join(fresh, "key", "left")
-    else:
-        counts = requests.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        found = attach(requests, fresh, counts, "key", id)
-    return found.withColumn("hit", F.col("response").isNotNull())
+def cache_lookup(requests: DataFrame, cache: DataFrame, now_micros: int | Column) -> DataFrame:
+    """Requests with ``response`` and ``hit``; an entry of 24 hours or more is no hit. ``cache`` has a row per key;
+    store it (``plans.stored``) if it is a result and keys may be hot."""
+    fresh = cache.filter(age_seconds(cache, "ts", now_micros) < MAX_AGE_SECONDS).select("key", "response")
+    return requests.join(fresh, "key", "left").withColumn("hit", F.col("response").isNotNull())
 
 
-def cache_misses(
-    requests: DataFrame, cache: DataFrame, now_micros: int | Column, id: str | None = None
-) -> DataFrame:
-    """Requests that have to be sent."""
-    return cache_lookup(requests, cache, now_micros, id).filter(~F.col("hit")).drop("response", "hit")
+def cache_misses(requests: DataFrame, cache: DataFrame, now_micros: int | Column) -> DataFrame:
+    """Requests that have to be sent. No response takes part in the join."""
+    fresh = cache.filter(age_seconds(cache, "ts", now_micros) < MAX_AGE_SECONDS).select("key")
+    return requests.join(fresh, "key", "left_anti")
 
 
 def cache_expire(cache: DataFrame, now_micros: int | Column) -> DataFrame:
@@ -69,15 +56,17 @@ def cache_expire(cache: DataFrame, now_micros: int | Column) -> DataFrame:
 
 
 def file_cache_valid(entries: DataFrame, sources: DataFrame, now_micros: int | Column) -> DataFrame:
-    """``(key, content, valid)``: the source, where there is one, is unchanged and the entry is
-    not older than a day. ``sources`` is ``(key, content)`` with the present source text."""
+    """``(key, valid)``: the source, where there is one, is unchanged and the entry is not older than a day.
+
+    ``sources`` is ``(key, content)`` with the present source text. Only keys and hashes are joined; an entry's
+    content is left where it is."""
     current = sources.select("key", F.md5("content").alias("current_hash"))
     unchanged = F.coalesce(F.col("source_hash") == F.col("current_hash"), F.col("current_hash").isNull())
     young = age_seconds(entries, "ts", now_micros) <= MAX_AGE_SECONDS
     return (
-        entries.withColumn("young", young)
+        entries.select("key", "source_hash", young.alias("young"))
         .join(current, "key", "left")
-        .select("key", "content", (unchanged & F.col("young")).alias("valid"))
+        .select("key", (unchanged & F.col("young")).alias("valid"))
     )
 
 
@@ -90,14 +79,20 @@ def dedupe_requests(requests: DataFrame, id: str = "request_id", key: str = "key
     )
 
 
-def assign_requests(requests: DataFrame, id: str = "request_id", key: str = "key") -> DataFrame:
-    """Every request with the id of the request that is sent for it."""
-    keys = requests.groupBy(key).agg(F.min(id).alias("sent_as"), F.count(F.lit(1)).alias("n"))
-    joined = attach(requests.select(id, key), keys.select(key, "sent_as"), keys, key, id)
-    return joined.withColumn("is_call", F.col(id) == F.col("sent_as"))
+def assign_requests(
+    requests: DataFrame, id: str = "request_id", key: str = "key", store: Callable | None = None
+) -> DataFrame:
+    """Every request with the id of the request that is sent for it.
+
+    ``store`` (such as ``plans.stored`` with its folder) writes the one row per key and reads it back; adaptive
+    execution can then split the requests of a hot key."""
+    first = requests.groupBy(key).agg(F.min(id).alias("sent_as"))
+    joined = requests.select(id, key).join(store(first) if store else first, key)
+    return joined.select(id, key, "sent_as", (F.col(id) == F.col("sent_as")).alias("is_call"))
 
 
 def changed_files(files: DataFrame, seen: DataFrame) -> DataFrame:
-    """Files ``(name, content)`` whose content hash differs from the one in ``seen (name, hash)``."""
-    hashed = files.withColumn("hash", F.md5("content"))
+    """``(name, hash)`` of the files ``(name, content)`` whose content hash differs from the one in
+    ``seen (name, hash)``. The content is hashed where it is read and joins nothing."""
+    hashed = files.select("name", F.md5("content").alias("hash"))
     return hashed.join(seen.select("name", "hash"), ["name", "hash"], "left_anti")

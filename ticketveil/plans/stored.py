@@ -2,26 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder that all executors see, named by ``spark.checkpoint.dir``. Only a local session
-    without that setting gets a folder on this machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="ticketveil-")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and go on with the written table: redaction and parsing are not
-    repeated for each step that follows, nor when an executor is lost."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid4().hex}"
+def stored(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Write ``df`` once and go on with the written table: redaction and parsing are not repeated for each step that
+    follows, nor when an executor is lost. ``folder`` is one that all executors see, by default the
+    one that ``spark.checkpoint.dir`` names; there is no other default."""
+    folder = folder or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("name a folder that all executors share, or set spark.checkpoint.dir")
+    path = f"{folder.rstrip('/')}/{name}-{uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

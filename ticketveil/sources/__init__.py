@@ -3,7 +3,7 @@
 from .tables import (
     append_history,
     read_documents,
-    widen,
+    spread,
     write_bundle,
     write_ordered,
     write_redacted,
@@ -12,7 +12,7 @@ from .tables import (
 __all__ = [
     "append_history",
     "read_documents",
-    "widen",
+    "spread",
     "write_bundle",
     "write_ordered",
     "write_redacted",

@@ -8,15 +8,10 @@ from pyspark.sql import functions as F
 from ..operators.audit import HISTORY_COLUMNS
 
 
-def widen(df: DataFrame) -> DataFrame:
-    """Spread a freshly read table over all cores when its files give too few tasks.
-
-    Text expressions cost far more than moving the text once, so a small table in one row group
-    should not be left to one core. A table with tasks for more than half of the cores is not
-    shuffled. ``df`` has to be a plain scan: the number of tasks is taken from its files.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``df`` dealt over so many tasks, for a small table in few row groups that long text expressions follow; off
+    by default, as the text then moves through a shuffle. Large tables are split when they are read."""
+    return df.repartition(partitions) if partitions else df
 
 
 def read_documents(

@@ -7,7 +7,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.redaction import DEFAULT_TERMS, PreserveTerms
 from ..operators.redaction import redact_documents
-from ..plans.stored import shared_folder
 
 
 def redact_stream(
@@ -21,15 +20,15 @@ def start_redaction(
     spark: SparkSession,
     source: str,
     sink: str,
+    checkpoint: str,
     schema: str = "doc_id long, text string",
-    checkpoint: str | None = None,
     files_per_trigger: int = 1000,
     once: bool = False,
 ) -> StreamingQuery:
     """Redact parquet files as they arrive in ``source`` and append the results to ``sink``.
 
-    File source, file sink and a checkpoint in the shared folder make the result exactly once
-    through restarts. ``once`` works off what is there and stops.
+    File source, file sink and ``checkpoint``, a folder of this stream's own that all executors share, make the
+    result exactly once through restarts. ``once`` works off what is there and stops.
     """
     docs = (
         spark.readStream.schema(schema)
@@ -40,7 +39,7 @@ def start_redaction(
         redact_stream(docs)
         .writeStream.format("parquet")
         .outputMode("append")
-        .option("checkpointLocation", checkpoint or f"{shared_folder(spark)}/redaction-stream")
+        .option("checkpointLocation", checkpoint)
         .option("path", sink)
     )
     return (writer.trigger(availableNow=True) if once else writer).start()
