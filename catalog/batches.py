@@ -183,21 +183,18 @@ _BLOCK = (
     "|| 's\nRedaction Details:\n  - ip_addresses: ' || (redaction_count % 3)::VARCHAR || '\n  - names_truncated: ' "
     "|| (redaction_count % 5)::VARCHAR || '\n' ELSE 'Error: ' || error_message || '\n' END || repeat('-', 30) || '\n'"
 )
-add(
-    "b4_render_batch_summary",
-    lambda spark, d: O.render_batch_summary(detailed_files(spark, d), NOW),
-    S.with_(
-        [BASE, *ISSUES, f"totals AS ({TOTALS})"],
-        f"SELECT 0 AS section, '' AS filename, '\nBATCH PROCESSING SUMMARY\n{'=' * 24}\nGenerated: {NOW}\n\nOVERVIEW:\n"
-        "- Total Files: ' || total_files::VARCHAR || '\n- Successful: ' || successful_files::VARCHAR || '\n- Failed: ' || "
-        "failed_files::VARCHAR || '\n- Total Redactions: ' || total_redactions::VARCHAR || '\n- Average Score: ' || "
-        "printf('%.1f', average_score) || '%\n- Processing Time: ' || printf('%.1f', processing_time) || "
-        "' seconds\n\nCOMMON ISSUES:\n' AS content FROM totals "
-        "UNION ALL SELECT 1, '', coalesce(string_agg('- ' || message || '\n', '' ORDER BY percentage DESC, position), "
-        f"'- No common issues identified\n') || '\nFILE DETAILS:\n{'=' * 50}\n' FROM issues "
-        f"UNION ALL SELECT 2, filename, {_BLOCK} FROM files",
-    ),
+SUMMARY_SQL = S.with_(
+    [BASE, *ISSUES, f"totals AS ({TOTALS})"],
+    f"SELECT 0 AS section, '' AS filename, '\nBATCH PROCESSING SUMMARY\n{'=' * 24}\nGenerated: {NOW}\n\nOVERVIEW:\n"
+    "- Total Files: ' || total_files::VARCHAR || '\n- Successful: ' || successful_files::VARCHAR || '\n- Failed: ' || "
+    "failed_files::VARCHAR || '\n- Total Redactions: ' || total_redactions::VARCHAR || '\n- Average Score: ' || "
+    "printf('%.1f', average_score) || '%\n- Processing Time: ' || printf('%.1f', processing_time) || "
+    "' seconds\n\nCOMMON ISSUES:\n' AS content FROM totals "
+    "UNION ALL SELECT 1, '', coalesce(string_agg('- ' || message || '\n', '' ORDER BY percentage DESC, position), "
+    f"'- No common issues identified\n') || '\nFILE DETAILS:\n{'=' * 50}\n' FROM issues "
+    f"UNION ALL SELECT 2, filename, {_BLOCK} FROM files",
 )
+add("b4_render_batch_summary", lambda spark, d: O.render_batch_summary(detailed_files(spark, d), NOW), SUMMARY_SQL)
 add(
     "b5_file_status",
     lambda spark, d: O.file_status(D.files(spark, d)),
@@ -216,14 +213,17 @@ add(
         "SELECT filename, round_even(file_size / 1048576, 1) AS size_mb, file_size / 1048576 > 50 AS over_limit FROM files",
     ),
 )
+BUNDLE_SQL = S.with_(
+    [BASE],
+    "SELECT 'redacted_' || replace(filename, '.pdf', '.txt') AS path, redacted_text AS content FROM files WHERE status = 'success' "
+    "UNION ALL SELECT 'audit_' || replace(filename, '.pdf', '.txt'), audit_report FROM files WHERE status = 'success'",
+)
+add("s4_result_bundle", lambda spark, d: O.result_bundle(D.files(spark, d)), BUNDLE_SQL)
 add(
-    "s4_result_bundle",
-    lambda spark, d: O.result_bundle(D.files(spark, d)),
-    S.with_(
-        [BASE],
-        "SELECT 'redacted_' || replace(filename, '.pdf', '.txt') AS path, redacted_text AS content FROM files WHERE status = 'success' "
-        "UNION ALL SELECT 'audit_' || replace(filename, '.pdf', '.txt'), audit_report FROM files WHERE status = 'success'",
-    ),
+    "s4_bundle_with_summary",
+    lambda spark, d: O.result_bundle(detailed_files(spark, d), NOW),
+    f"SELECT path, 0 AS section, '' AS filename, content FROM ({BUNDLE_SQL}) "
+    f"UNION ALL SELECT 'batch_summary.txt', section, filename, content FROM ({SUMMARY_SQL})",
 )
 
 

@@ -9,6 +9,7 @@ from ticketveil.functions import redaction as R
 from ticketveil.functions.text import let
 from ticketveil.operators import lines as L
 from ticketveil.operators import redaction as O
+from ticketveil.plans import redact_pages
 
 from . import derived as D
 from . import sqltext as S
@@ -122,7 +123,7 @@ add(
     ),
 )
 add(
-    "e1_pages_to_redacted_text",
+    "e1_corpus_to_redacted_text",
     lambda spark, d: O.redact_documents(D.corpus(spark, d), normalize=True).select(
         "doc_id", "redacted_text", "stats.*"
     ),
@@ -131,6 +132,26 @@ add(
         f"SELECT doc_id, t AS redacted_text, {ALL_COUNTS} FROM done",
     ),
 )
+
+
+def redacted_pages(spark, d):
+    turns = D.derive(spark, d, "conversations", {"doc_id": "conv_id", "page_no": "turn", "text": "text"})
+    return redact_pages(turns).select("doc_id", "redacted_text", "stats.*")
+
+
+add(
+    "e1_pages_to_redacted_text",
+    redacted_pages,
+    S.with_(
+        [
+            "corpus AS (SELECT conv_id AS doc_id, 'page' AS kind, coalesce(string_agg(text, '\n' ORDER BY turn) "
+            "FILTER (text <> ''), '') AS t FROM conversations GROUP BY conv_id)",
+            *NORMALIZED,
+            *S.redaction_ctes("normal"),
+        ],
+        f"SELECT doc_id, t AS redacted_text, {ALL_COUNTS} FROM done",
+    ),
+)
 add(
     "r12_redaction_stats",
     lambda spark, d: O.redaction_stats(D.spread_table(spark, d, "documents")),

@@ -55,6 +55,27 @@ def test_limit_breaches(requests):
     assert got == expected
 
 
+@pytest.mark.parametrize("kind", ["dense", "sparse", "string"])
+def test_limit_breaches_of_a_crowded_instant(spark, kind):
+    """One instant has most rows and is split, whatever the ids are; no window holds it whole."""
+    rng = random.Random(3)
+    ids = rng.sample(range(10**15), 400) if kind == "sparse" else rng.sample(range(400), 400)
+    ids = [f"{hash_:04d}-{i}" for i, hash_ in enumerate(ids)] if kind == "string" else ids
+    rows = [(i, "hot", START if n < 300 else START + timedelta(seconds=rng.randint(1, 90)), rng.randint(1, 9)) for n, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, f"request_id {'string' if kind == 'string' else 'long'}, model string, ts timestamp, tokens long")
+    df = df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got = {r.request_id: (r.prior_requests, r.prior_tokens) for r in O.limit_breaches(df, {"hot": (0, 1)}, rows_per_part=20).collect()}
+    expected = {}
+    for i, _, ts, _ in rows:
+        prior = [r for r in rows if r[2] >= ts - timedelta(seconds=60) and (r[2], r[0]) < (ts, i)]
+        expected[i] = (len(prior), sum(r[3] for r in prior))
+    assert got == expected
+    base = df.select("request_id", "model", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "tokens", O._place(df, "request_id").alias("place"))
+    sizes = O._with_parts(base, 20).groupBy("at", "part").count()
+    # strings cluster where their bytes do; still no part has most of the instant
+    assert sizes.agg(F.max("count")).first()[0] <= (100 if kind == "string" else 60)
+
+
 def test_longest_gaps(spark):
     rng = random.Random(5)
     rows = [(rng.randint(0, 5), START + timedelta(seconds=rng.randint(0, 200_000))) for _ in range(300)]

@@ -146,13 +146,26 @@ def _out_name(prefix: str) -> Column:
     return F.concat(F.lit(prefix), F.replace(F.col("filename"), F.lit(".pdf"), F.lit(".txt")))
 
 
-def result_bundle(files: DataFrame) -> DataFrame:
-    """``(path, content)``: redacted text and audit report of each successful file."""
+SUMMARY_FILE = "batch_summary.txt"
+
+
+def result_bundle(files: DataFrame, summary_at: str | None = None) -> DataFrame:
+    """``(path, content)``: redacted text and audit report of each successful file.
+
+    With ``summary_at``, the time to print, the batch summary is in it too, as ``(path, section, filename,
+    content)``: in order of section and filename its blocks make up the file ``SUMMARY_FILE``, and every other file is
+    one block. ``sources.write_ordered`` writes them in order.
+    """
     entry = lambda prefix, text: F.struct(
         _out_name(prefix).alias("path"), F.col(text).alias("content")
     )
     entries = F.array(entry("redacted_", "redacted_text"), entry("audit_", "audit_report"))
-    return files.filter(_ok()).select(F.inline_outer(entries))
+    bundle = files.filter(_ok()).select(F.inline_outer(entries))
+    if summary_at is None:
+        return bundle
+    summary = render_batch_summary(files, summary_at).withColumn("path", F.lit(SUMMARY_FILE))
+    whole = bundle.withColumns({"section": F.lit(0), "filename": F.lit("")})
+    return whole.unionByName(summary).select("path", "section", "filename", "content")
 
 
 def _number(x: Column, digits: int = 1) -> Column:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import prompts as P
 from ..functions.times import epoch_micros, from_micros
 
 WINDOW_MICROS = 60_000_000
-ID_RANGE = 100_000
+#: Requests of one instant that are ordered together; an instant with more is split by its range of ids.
+ROWS_PER_PART = 100_000
 
 
 def build_prompts(
@@ -128,6 +130,31 @@ def _slot(model: str = "model", at: str = "at", part: str = "part") -> Column:
     return F.concat_ws("|", F.col(part).cast("string"), F.col(at).cast("string"), F.col(model))
 
 
+def _place(requests: DataFrame, id: str) -> Column:
+    """A number in the order of the ids: whole numbers themselves, strings by their first seven bytes."""
+    if isinstance(requests.schema[id].dataType, T.StringType):
+        first = F.hex(F.substring(F.col(id).cast("binary"), 1, 7))
+        return F.conv(F.rpad(first, 14, "0"), 16, 10).cast("decimal(38,0)")
+    return F.col(id).cast("decimal(38,0)")
+
+
+def _with_parts(base: DataFrame, rows_per_part: int) -> DataFrame:
+    """Adds ``part``. An instant of a model with more than ``rows_per_part`` requests is cut into equal ranges
+    between its own least and largest id, however sparse the ids are; all other instants are one part.
+    Only crowded instants are joined, and there is at most one for each ``rows_per_part`` requests."""
+    wide = F.col("n") > rows_per_part
+    crowded = base.groupBy("model", "at").agg(
+        F.count(F.lit(1)).alias("n"), F.min("place").alias("low"), F.max("place").alias("high")
+    )
+    crowded = crowded.filter(wide).select(
+        "model", "at", "low", (F.ceil(F.col("n") / rows_per_part) / (F.col("high") - F.col("low") + 1)).alias("scale")
+    )
+    part = F.floor((F.col("place") - F.col("low")).cast("double") * F.col("scale").cast("double"))
+    return base.join(crowded, ["model", "at"], "left").select(
+        "request_id", "model", "at", "tokens", F.coalesce(part, F.lit(0)).cast("long").alias("part")
+    )
+
+
 def limit_breaches(
     requests: DataFrame,
     limits: dict | None = None,
@@ -135,19 +162,23 @@ def limit_breaches(
     model: str = "model",
     ts: str = "ts",
     tokens: str = "tokens",
+    rows_per_part: int = ROWS_PER_PART,
 ) -> DataFrame:
     """Requests that would not fit into the requests or tokens per minute of their model.
 
     What counts are the requests of the 60 seconds before: those of earlier instants, and those
-    of the same instant with a smaller id. An instant may hold very many requests, so they are
-    ordered within ranges of ids, on top of the totals of the ranges before.
+    of the same instant with a smaller id, a whole number or a string. An instant may hold very many requests,
+    so they are ordered within ranges of ids, on top of the totals of the ranges before.
     """
-    base = requests.select(
-        F.col(id).alias("request_id"),
-        F.col(model).alias("model"),
-        epoch_micros(requests, ts).alias("at"),
-        F.col(tokens).alias("tokens"),
-        F.floor(F.col(id) / ID_RANGE).alias("part"),
+    base = _with_parts(
+        requests.select(
+            F.col(id).alias("request_id"),
+            F.col(model).alias("model"),
+            epoch_micros(requests, ts).alias("at"),
+            F.col(tokens).alias("tokens"),
+            _place(requests, id).alias("place"),
+        ),
+        rows_per_part,
     )
     ranges = base.groupBy("model", "at", "part").agg(
         F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens")
