@@ -15,12 +15,11 @@ from .common import stored, utf8, words
 
 #: Labelled rows that the lexicon and the weights are learned from, at most, by label.
 MAX_TOXIC, MAX_CLEAN = 3_000, 9_000
-#: A word or word beginning enters the lexicon if so many toxic rows have it, and so few clean ones.
-MIN_ROWS, MAX_CLEAN_SHARE = 3, 0.02
-#: A term chosen for the lexicon has to explain so large a share of the toxic rows that no term before it does.
-MIN_SHARE = 0.015
-#: Most frequent candidates that the cover is chosen from; bounds what the driver holds.
-MAX_CANDIDATES = 20_000
+#: A word or word beginning enters the lexicon if so few clean rows have it for each toxic one, and if so many
+#: different toxic rows have it that none of ``TRIED`` words is likely to be that toxic by chance.
+MAX_CLEAN_SHARE, MIN_ROWS, TRIED = 0.06, 3, 1_000_000
+#: Largest lexicon, the most frequent terms first; bounds what the driver holds.
+MAX_TERMS = 20_000
 #: Lengths of word beginnings, in bytes.
 STEMS = (4, 5, 6)
 
@@ -162,38 +161,20 @@ def _sample(labels: DataFrame, id: str, label: str) -> DataFrame:
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words and word beginnings of each row."""
     for batch in batches:
         rows = []
         for text in batch.column(1):
             own = set(words(text.as_py()))
             rows.append([*own, *{b"^" + s for w in own for s in _stems(w)}])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.binary()))], names=["id", "y", "terms"])
-
-
-def _cover(rows: dict, clean: dict[bytes, int]) -> list[bytes]:
-    """Terms chosen one after the other, each the one that most rows without a term so far have."""
-    by_term: dict[bytes, set] = {}
-    for row, terms in rows.items():
-        for t in terms:
-            by_term.setdefault(t, set()).add(row)
-    left, chosen = set(rows), []
-    least = max(MIN_ROWS, MIN_SHARE * len(rows))
-    while by_term:
-        term, have = max(by_term.items(), key=lambda x: (len(x[1] & left) - clean.get(x[0], 0), len(x[0]), x[0]))
-        if len(have & left) < least:
-            break
-        chosen.append(term)
-        left -= have
-        del by_term[term]
-    return chosen
+        terms = pa.array(rows, pa.list_(pa.binary()))
+        yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), terms], names=["y", "bit", "terms"])
 
 
-def _closure(chosen: list[bytes], toxic: dict[bytes, int], clean: dict[bytes, int]) -> list[bytes]:
-    """The cover, and the terms as strong as its weakest: a row that has one insult often has others."""
-    if not chosen:
-        return []
-    least = max(MIN_ROWS, 0.25 * max(toxic[t] for t in chosen))
-    return sorted({*chosen, *(t for t, n in toxic.items() if n >= least and not clean.get(t, 0))})
+def _least(toxic: int, clean: int) -> int:
+    """So many rows in a row are toxic by chance once in ``TRIED`` tries."""
+    chance = (toxic + 1) / (toxic + clean + 2)
+    return max(MIN_ROWS, math.ceil(math.log(TRIED) / -math.log(chance)))
 
 
 def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple:
@@ -204,30 +185,26 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     # the sample has a fixed bound, so it may be broadcast
     rows = texts.join(F.broadcast(sample.select(F.col(id).alias("id"), "y")), "id").select("id", "t", "y")
     kind = docs.schema[id].dataType.simpleString()
-    rows = stored(rows.select("id", "t", F.col("y").cast("int")).dropDuplicates(["id"]))
-    terms = stored(rows.mapInArrow(_vocabulary, f"id {kind}, y int, terms array<binary>"))
-    counts = (
-        terms.select("y", F.explode("terms").alias("term"))
+    # Copies begin alike, so they set the same bit of 64, and a term of theirs alone is no evidence.
+    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(substr(t, 1, 30)), 64) as int))").alias("bit")
+    rows = stored(rows.select("id", "t", F.col("y").cast("int"), bit).dropDuplicates(["id"]))
+    sizes = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    least = _least(sizes.get(1, 0), sizes.get(0, 0))
+    found = (
+        rows.mapInArrow(_vocabulary, "y int, bit long, terms array<binary>")
+        .select("y", "bit", F.explode("terms").alias("term"))
         .groupBy("term")
-        .agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
-        .filter((F.col("toxic") >= MIN_ROWS) & (F.col("clean") <= MAX_CLEAN_SHARE * F.col("toxic")))
+        .agg(
+            F.sum("y").alias("toxic"),
+            F.sum(1 - F.col("y")).alias("clean"),
+            F.bit_count(F.bit_or(F.when(F.col("y") == 1, F.col("bit")))).alias("different"),
+        )
+        .filter((F.col("different") >= least) & (F.col("clean") <= MAX_CLEAN_SHARE * F.col("toxic")))
         .orderBy(F.desc("toxic"), "term")
-        .limit(MAX_CANDIDATES)
-        .collect()
-    )
-    toxic = {bytes(r.term): r.toxic for r in counts}
-    clean = {bytes(r.term): r.clean for r in counts}
-    names = docs.sparkSession.createDataFrame([(t,) for t in toxic] or [(b"",)], "term binary")
-    found = (
-        terms.filter("y = 1")
-        .select("id", F.explode("terms").alias("term"))
-        .join(F.broadcast(names), "term")
-        .groupBy("id")
-        .agg(F.collect_list("term").alias("terms"))
+        .limit(MAX_TERMS)
         .collect()
     )
-    by_row = {r.id: [bytes(t) for t in r.terms] for r in found}
-    lexicon = _closure(_cover(by_row, clean), toxic, clean)
+    lexicon = sorted(bytes(r.term) for r in found)
     own = [t for t in lexicon if not t.startswith(b"^")]
     stems = [t[1:] for t in lexicon if t.startswith(b"^")]
     counted = rows.mapInArrow(_counter(Grammar(own, stems), 2), f"id {kind}, y int, n array<double>").collect()
