@@ -66,6 +66,30 @@ def test_tables(spark):
     assert sum(n > 0 for _, n, _ in want.values()) > 5
 
 
+def test_automata_are_built_once_for_all_documents(spark, monkeypatch):
+    docs, items, _, _ = tables(spark)
+    built, made = [], D.Automaton
+    monkeypatch.setattr(D, "Automaton", lambda block, window: built.append(1) or made(block, window))
+    monkeypatch.setattr(D, "_built", {})
+
+    class Block:
+        def __init__(self, i, item):
+            self.value = (i, [(str(item[0]), words((item[1] or "").encode()))])
+
+    blocks = [Block(i, item) for i, item in enumerate(items)]
+    found = D._hits([words(t.encode()) for _, t in docs], blocks, 10)
+    assert len(built) == len(blocks)
+    assert [(sum(b - a for a, b in spans), sorted(n)) for spans, n in found] == [brute(t, items, 10)[1:] for _, t in docs]
+
+
+def test_groups_hold_all_texts(monkeypatch):
+    monkeypatch.setattr(D, "HELD_BYTES", 10)
+    texts = [b"", b"12345678", b"123", b"x" * 50, b"", b"1"]
+    groups = list(D._held(texts))
+    assert [t for g in groups for t in g] == texts and len(groups) == 4
+    assert list(D._held([])) == []
+
+
 def test_cut_out(spark):
     docs, items, left, right = tables(spark)
     out = D.decontaminate(left, right.filter("item_id is not null")).collect()

@@ -16,6 +16,8 @@ WINDOW = 10
 #: Words of the items in one automaton. Items beyond it go into further automata, which a task
 #: builds one after the other; its memory is bounded whatever the number of items.
 BLOCK_WORDS = 50_000
+#: Bytes of text that a task holds as words while it goes through the blocks, if no single text is longer.
+HELD_BYTES = 8 << 20
 _KEPT_AUTOMATA = 2
 
 
@@ -128,23 +130,24 @@ class Automaton:
                     p = link[p]
 
 
-def _blocks(items: DataFrame, id: str, text: str, window: int, block_words: int) -> list[list]:
+def _blocks(items: DataFrame, id: str, text: str, window: int, block_words: int) -> Iterator[list]:
     """Items in blocks of bounded size, read row by row; an item longer than a block is cut into
     pieces that overlap by a window less one word, so that no window is lost."""
-    blocks, block, size = [], [], 0
+    block, size = [], 0
     for name, content in items.select(F.col(id).cast("string"), utf8(text)).toLocalIterator():
         tokens = words(bytes(content))
         step = max(1, block_words - window + 1)
         for at in range(0, max(1, len(tokens) - window + 1), step):
             piece = tokens[at : at + block_words] if len(tokens) > block_words else tokens
             if block and size + len(piece) > block_words:
-                blocks.append(block)
+                yield block
                 block, size = [], 0
             block.append((name, piece))
             size += len(piece)
             if len(tokens) <= block_words:
                 break
-    return [*blocks, block] if block else blocks
+    if block:
+        yield block
 
 
 _built: dict[tuple, Automaton] = {}
@@ -160,42 +163,72 @@ def _automaton(block, window: int) -> Automaton:
     return _built[key]
 
 
-def _hits(tokens: list[bytes], blocks: list, window: int) -> tuple[list[tuple[int, int]], set[str]]:
-    """Merged ranges of hit words, and the items."""
-    edges = np.zeros(len(tokens) + 1, np.int64)
-    names: set[str] = set()
+def _held(contents: list[bytes]) -> Iterator[list[bytes]]:
+    """The texts in order, in groups of about ``HELD_BYTES``."""
+    group, size = [], 0
+    for content in contents:
+        if group and size + len(content) > HELD_BYTES:
+            yield group
+            group, size = [], 0
+        group.append(content)
+        size += len(content)
+    if group:
+        yield group
+
+
+def _hits(documents: list[list[bytes]], blocks: list, window: int) -> list[tuple[list[tuple[int, int]], set[str]]]:
+    """For the words of each document the merged ranges of hit words, and the items. All documents
+    go through a block before the next one is built."""
+    names: list[set[str]] = [set() for _ in documents]
+    edges: dict[int, np.ndarray] = {}
     for block in blocks:
-        for start, end, items in _automaton(block, window).matches(tokens):
-            edges[start] += 1
-            edges[end] -= 1
-            names |= items
-    if not names:
-        return [], names
-    hit = np.concatenate(([0], np.cumsum(edges[:-1]) > 0, [0])).astype(np.int8)
-    change = np.diff(hit)
-    return list(zip(np.flatnonzero(change == 1).tolist(), np.flatnonzero(change == -1).tolist())), names
-
-
-def _cleaned(content: bytes, blocks: list, window: int, most: float) -> tuple[bytes, float]:
-    """The text without its hit spans, again until none is left, and the covered share before."""
-    tokens = words(content)
-    spans, _ = _hits(tokens, blocks, window)
-    covered = sum(b - a for a, b in spans) / len(tokens) if spans else 0.0
-    while spans and covered <= most:
-        places, kept, at = word_spans(content), [], 0
-        for a, b in spans:
-            kept.append(content[at : places[a][0]])
-            at = places[b - 1][1]
-        kept.append(content[at:])
-        content = b"".join(kept)
-        spans, _ = _hits(words(content), blocks, window)
-    return content, covered
+        machine = _automaton(block, window)
+        for i, tokens in enumerate(documents):
+            for start, end, items in machine.matches(tokens):
+                if i not in edges:
+                    edges[i] = np.zeros(len(tokens) + 1, np.int64)
+                edges[i][start] += 1
+                edges[i][end] -= 1
+                names[i] |= items
+    return [(_ranges(edges[i]) if i in edges else [], found) for i, found in enumerate(names)]
+
+
+def _ranges(edges: np.ndarray) -> list[tuple[int, int]]:
+    """Where the running sum of ``edges`` is positive."""
+    change = np.diff(np.concatenate(([0], np.cumsum(edges[:-1]) > 0, [0])).astype(np.int8))
+    return list(zip(np.flatnonzero(change == 1).tolist(), np.flatnonzero(change == -1).tolist()))
+
+
+def _without(content: bytes, spans: list[tuple[int, int]]) -> bytes:
+    places, kept, at = word_spans(content), [], 0
+    for a, b in spans:
+        kept.append(content[at : places[a][0]])
+        at = places[b - 1][1]
+    return b"".join([*kept, content[at:]])
+
+
+def _cleaned(contents: list[bytes], blocks: list, window: int, most: float) -> tuple[list[bytes], list[float]]:
+    """The texts without their hit spans, again until none is left, and the covered shares before."""
+    texts, covered, todo = list(contents), [0.0] * len(contents), range(len(contents))
+    first = True
+    while todo:
+        documents, again = [words(texts[i]) for i in todo], []
+        for i, tokens, (spans, _) in zip(todo, documents, _hits(documents, blocks, window)):
+            if spans and first:
+                covered[i] = sum(b - a for a, b in spans) / len(tokens)
+            if spans and covered[i] <= most:
+                texts[i] = _without(texts[i], spans)
+                again.append(i)
+        todo, first = again, False
+    return texts, covered
 
 
 def _broadcast(items: DataFrame, id: str, text: str, window: int, block_words: int) -> list:
-    """Blocks hold ``block_words`` words each; they are broadcast one by one."""
-    sc, found = items.sparkSession.sparkContext, _blocks(items, id, text, window, block_words)
-    return [sc.broadcast((hashlib.sha256(repr(b).encode()).hexdigest(), b)) for b in found]
+    """Blocks hold ``block_words`` words each; the driver reads and broadcasts them one by one."""
+    sc, found = items.sparkSession.sparkContext, []
+    for block in _blocks(items, id, text, window, block_words):
+        found.append(sc.broadcast((hashlib.sha256(repr(block).encode()).hexdigest(), block)))
+    return found
 
 
 def contamination(
@@ -215,13 +248,13 @@ def contamination(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, hit, names, ranges = [], [], [], []
-            for content in batch.column(1):
-                tokens = words(content.as_py())
-                spans, found = _hits(tokens, blocks, window)
-                total.append(len(tokens))
-                hit.append(sum(b - a for a, b in spans))
-                names.append(sorted(found))
-                ranges.append([{"start": a, "end": b} for a, b in spans])
+            for group in _held(batch.column(1).to_pylist()):
+                documents = [words(content) for content in group]
+                for tokens, (spans, found) in zip(documents, _hits(documents, blocks, window)):
+                    total.append(len(tokens))
+                    hit.append(sum(b - a for a, b in spans))
+                    names.append(sorted(found))
+                    ranges.append([{"start": a, "end": b} for a, b in spans])
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             columns = [pa.array(total, pa.int64()), pa.array(hit, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(ranges, span)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "n_words", "n_hit", "items", "spans"])
@@ -247,13 +280,13 @@ def decontaminate(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keep = [], []
-            for content in batch.column(at).cast(pa.binary()):
-                before = content.as_py()
-                after, covered = (None, 0.0) if before is None else _cleaned(before, blocks, window, max_coverage)
-                texts.append(after)
-                keep.append(covered <= max_coverage)
-            columns = [*batch.columns, pa.array([a.as_py() != b for a, b in zip(batch.column(at).cast(pa.binary()), texts)])]
+            before, texts, keep = batch.column(at).cast(pa.binary()).to_pylist(), [], []
+            for group in _held([content or b"" for content in before]):
+                cleaned, covered = _cleaned(group, blocks, window, max_coverage)
+                texts += cleaned
+                keep += [share <= max_coverage for share in covered]
+            texts = [None if a is None else b for a, b in zip(before, texts)]
+            columns = [*batch.columns, pa.array([a != b for a, b in zip(before, texts)], pa.bool_())]
             columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
             out = pa.RecordBatch.from_arrays(columns, names=[*names, "changed"])
             yield out.filter(pa.array(keep, pa.bool_()))
