@@ -27,6 +27,16 @@ def test_inside_the_article():
     assert text(ARTICLE.replace("</article>", "<p hidden>secret</p></article>")) == MAIN
 
 
+def test_headers_and_captions_of_the_article_stay():
+    page = "<div class='site-header'>Some site</div><article><div class='entry-header'><h1>A title</h1></div><figure><img src=x><figcaption>What it shows</figcaption></figure><p>Text.</p><ol class=commentlist><li>Nice!</li></ol></article>"
+    assert text(page) == "A title\n\nWhat it shows\n\nText."
+
+
+def test_open_head():
+    for head in ("<head><title>T</title><meta charset=utf-8><link rel=x>", "<title>T</title>", "<head><style>p{}</style>"):
+        assert text(f"<html>{head}<body>{ARTICLE}") == text(f"<html>{head}{ARTICLE}") == MAIN
+
+
 def test_page_without_an_article():
     words = "many words of plain prose that go on and on for quite a while so that it is clear what this is "
     page = f"<div><a>Home</a> <a>About</a></div><div>{words * 2}</div><div>{words * 3}</div><div><a>Imprint</a></div>"

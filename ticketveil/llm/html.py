@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|iframe|svg|textarea|select|head)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|iframe|svg|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"'<]|\"[^\"<]*\"|'[^'<]*')*+|[^>]*)>"
     r"|<[!?][^>]*>",
     re.S | re.I,
@@ -29,9 +29,9 @@ INLINE = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 MAIN = frozenset(("article", "main"))
 #: Tags and words in class, id and role whose content is not the article.
-OTHER_TAGS = frozenset(("nav", "footer", "aside", "form", "button", "dialog", "menu", "figcaption"))
+OTHER_TAGS = frozenset(("nav", "footer", "aside", "form", "button", "dialog", "menu"))
 OTHER_NAMES = frozenset(
-    "ad ads advert adverts advertisement banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead comment comments disqus reply replies cookie cookies consent notice alert popup modal newsletter subscribe signup share social related login search pagination toolbar widget".split()
+    "ad ads advert adverts advertisement banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead comment comments disqus reply replies cookie cookies consent notice alert popup modal newsletter subscribe signup share social related login search pagination toolbar widget commentlist".split()
 )
 
 
@@ -52,7 +52,9 @@ def _is_other(tag: str, attributes: str, in_main: bool) -> bool:
     if _HIDDEN.search(attributes):
         return True
     names = (x for m in _NAMES.finditer(attributes) for x in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()))
-    return tag not in MAIN and tag not in ("body", "html") and any(n in OTHER_NAMES for n in names)
+    # an article's own header has its title
+    other = OTHER_NAMES - {"header"} if in_main else OTHER_NAMES
+    return tag not in MAIN and tag not in ("body", "html") and any(n in other for n in names)
 
 
 def blocks(html: str) -> list[Block]:
