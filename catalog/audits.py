@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ticketveil.functions import audit as A
 from ticketveil.operators import audit as O
+from ticketveil.sources import append_history, read_history
 
 from . import derived as D
 from . import sqltext as S
@@ -104,17 +105,18 @@ for _p in A.SCORE_PATTERNS:
     _p = "(?i)" + _p.replace(S.P.SPACE, S.SPACE)
     _WRITTEN.append(ratio(last_hit(_p), _p, None))
 _FRACTION = "([0-9]+)/([0-9]+)"
+MARKS_SQL = f"{most(A.PASS_PATTERNS)} AS p, {most(A.FAIL_PATTERNS)} AS f"
+SCORE_SQL = (
+    f"CASE WHEN p + f > 0 THEN p::VARCHAR || '/' || (p + f)::VARCHAR || ' (' || "
+    f"{pct('p', '(p + f)')} || '%)' || CASE WHEN p + f = 13 THEN '' ELSE ' (' || (p + f)::VARCHAR || '/13)' END "
+    f"ELSE coalesce({', '.join(_WRITTEN)}, 'Score not available') END"
+)
 add(
     "a4_a5_audit_scores",
     lambda spark, d: O.audit_scores(D.reports(spark, d)),
     S.with_(
-        [
-            BASE,
-            f"counted AS (SELECT *, {most(A.PASS_PATTERNS)} AS p, {most(A.FAIL_PATTERNS)} AS f FROM reports)",
-        ],
-        f"SELECT report_id, CASE WHEN p + f > 0 THEN p::VARCHAR || '/' || (p + f)::VARCHAR || ' (' || "
-        f"{pct('p', '(p + f)')} || '%)' || CASE WHEN p + f = 13 THEN '' ELSE ' (' || (p + f)::VARCHAR || '/13)' END "
-        f"ELSE coalesce({', '.join(_WRITTEN)}, 'Score not available') END AS score, "
+        [BASE, f"counted AS (SELECT *, {MARKS_SQL} FROM reports)"],
+        f"SELECT report_id, {SCORE_SQL} AS score, "
         f"coalesce({ratio(last_hit(_FRACTION), _FRACTION, repr('Score not available'))}, "
         f"{last_hit('[0-9]+%')}, 'Score not available') AS simple_score FROM counted",
     ),
@@ -210,6 +212,17 @@ def history(spark, d):
 
 
 add("a9_audit_history", history, S.with_([BASE, *HISTORY], "SELECT * FROM history"))
+
+
+def history_round_trip(spark, d):
+    """The history appended in two runs and read again."""
+    rows, path = history(spark, d), D.new_folder(spark, "history")
+    for part in (0, 1):
+        append_history(rows.filter(F.pmod(F.xxhash64("file"), F.lit(2)) == part), path)
+    return read_history(spark, path, rows.schema["timestamp"].dataType.simpleString())
+
+
+add("s3_history_round_trip", history_round_trip, S.with_([BASE, *HISTORY], "SELECT * FROM history"))
 add(
     "a10_failed_questions",
     lambda spark, d: O.failed_questions(D.reports(spark, d)),

@@ -8,11 +8,11 @@ from ticketveil.functions.text import strip
 from ticketveil.operators import batch as O
 from ticketveil.operators import documents as P
 from ticketveil.plans import batch_files as plan_batch_files
-from ticketveil.sources import read_documents
+from ticketveil.sources import read_documents, write_bundle, write_ordered
 
 from . import derived as D
 from . import sqltext as S
-from .audits import last_hit, ratio
+from .audits import MARKS_SQL, SCORE_SQL, last_hit, ratio
 from .redaction import NORMALIZED
 
 QUERIES, ORACLES = {}, {}
@@ -195,6 +195,23 @@ SUMMARY_SQL = S.with_(
     f"UNION ALL SELECT 2, filename, {_BLOCK} FROM files",
 )
 add("b4_render_batch_summary", lambda spark, d: O.render_batch_summary(detailed_files(spark, d), NOW), SUMMARY_SQL)
+_SHORT_BLOCK = (
+    "'\nFile: ' || filename || '\nStatus: ' || upper(status) || '\n' || CASE WHEN status = 'success' THEN 'Redactions: ' "
+    f"|| redaction_count::VARCHAR || '\nAudit Score: ' || {SCORE_SQL} || '\n' ELSE 'Error: ' || error_message || '\n' END "
+    "|| repeat('-', 30) || '\n'"
+)
+add(
+    "b4_render_short_summary",
+    lambda spark, d: O.render_short_summary(D.files(spark, d), NOW),
+    S.with_(
+        [BASE, f"totals AS ({TOTALS})", f"scored AS (SELECT *, {MARKS_SQL} FROM (SELECT *, audit_report AS report FROM files))"],
+        f"SELECT 0 AS section, '' AS filename, 'BATCH PROCESSING SUMMARY\n{'=' * 24}\nGenerated: {NOW}\n\nOVERVIEW:\n"
+        "- Total Files: ' || total_files::VARCHAR || '\n- Successful: ' || successful_files::VARCHAR || '\n- Failed: ' || "
+        "failed_files::VARCHAR || '\n- Total Redactions: ' || total_redactions::VARCHAR || '\n- Processing Time: ' || "
+        f"printf('%.1f', processing_time) || ' seconds\n\nFILE DETAILS:\n{'=' * 13}\n' AS content FROM totals "
+        f"UNION ALL SELECT 1, filename, {_SHORT_BLOCK} FROM scored",
+    ),
+)
 add(
     "b5_file_status",
     lambda spark, d: O.file_status(D.files(spark, d)),
@@ -227,6 +244,29 @@ add(
 )
 
 
+def bundle_round_trip(spark, d):
+    """The result bundle written and read again."""
+    path = D.new_folder(spark, "bundle")
+    write_bundle(O.result_bundle(D.files(spark, d)), path)
+    return spark.read.parquet(path)
+
+
+def ordered_round_trip(spark, d):
+    """The lines of the batch summary, written as ordered text and read again."""
+    path = D.new_folder(spark, "summary")
+    write_ordered(O.render_batch_summary(detailed_files(spark, d), NOW), path, "section", "filename")
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+add("s3_bundle_round_trip", bundle_round_trip, BUNDLE_SQL)
+add(
+    "s3_ordered_round_trip",
+    ordered_round_trip,
+    "SELECT line, count(*) AS n FROM (SELECT unnest(string_split(regexp_replace(content, '\n$', ''), chr(10))) AS line "
+    f"FROM ({SUMMARY_SQL})) GROUP BY line",
+)
+
+
 # --- documents and reports to a batch ---------------------------------------------------------
 
 DOCS = {

@@ -7,6 +7,9 @@ the table.
 
 from __future__ import annotations
 
+from tempfile import mkdtemp
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ticketveil.sources import spread
@@ -207,6 +210,16 @@ def more_sql(source: str, *mappings: dict[str, str]) -> str:
     return " UNION ALL ".join(f"SELECT {columns(m)} FROM {source}" for m in mappings)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of ``spark.checkpoint.dir``; a session on one machine without one gets its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        folder = mkdtemp(prefix="catalog-")
+    return f"{folder.rstrip('/')}/{name}-{uuid4().hex}"
+
+
 def derive_wide(spark: SparkSession, sf_dir: str, name: str, mapping: dict[str, str]) -> DataFrame:
     """As ``derive``, for queries that spend their time on text."""
     wide = spread_table(spark, sf_dir, name)

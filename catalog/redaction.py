@@ -10,6 +10,7 @@ from ticketveil.functions.text import let
 from ticketveil.operators import lines as L
 from ticketveil.operators import redaction as O
 from ticketveil.plans import redact_pages
+from ticketveil.sources import write_redacted
 
 from . import derived as D
 from . import sqltext as S
@@ -250,6 +251,33 @@ add(
 )
 
 
+WORDS_OF = {"term": D.pick("Smith,johnson,FRANKLIN,Other", D.K), "kind": "'word'"}
+PHRASES_OF = {"term": f"'Caleb ' || {D.pick('Wilson,stone,Field', D.K)}", "kind": "'phrase'"}
+TERMS_SQL = f"terms AS (SELECT lower(term) AS term, kind FROM ({D.more_sql('orders', WORDS_OF, PHRASES_OF)}))"
+
+
+def names_in_table(spark, d):
+    """Names of the corpus that a vocabulary kept as a table holds."""
+    vocabulary = D.derive_more(spark, d, "orders", WORDS_OF, PHRASES_OF)
+    return O.in_vocabulary(preserve_term(spark, d), vocabulary)
+
+
+add(
+    "r11_names_in_table",
+    names_in_table,
+    S.with_(
+        [
+            BASE,
+            TERMS_SQL,
+            f"names AS (SELECT DISTINCT x AS name FROM (SELECT unnest(regexp_extract_all({S.mask('t')}, '{S.NAME}')) AS x FROM corpus))",
+        ],
+        "SELECT name FROM names WHERE lower(name) IN (SELECT term FROM terms WHERE kind = 'phrase') "
+        "OR lower(regexp_extract(name, '^[A-Z][a-z]+')) IN (SELECT term FROM terms WHERE kind = 'word') "
+        "OR lower(regexp_extract(name, '[A-Z][a-z]+$')) IN (SELECT term FROM terms WHERE kind = 'word')",
+    ),
+)
+
+
 def fold_replace(spark, d):
     """Numbers of more than three digits become their position, others stay."""
     pattern = "[0-9]+"
@@ -285,3 +313,17 @@ add(
         "SELECT doc_id, t AS text FROM one",
     ),
 )
+
+
+def redacted_round_trip(spark, d):
+    """Redacted documents written by language and read again."""
+    path = D.new_folder(spark, "redacted")
+    write_redacted(O.redact_documents(D.corpus(spark, d), keep=("kind",)), path, partition_by=("kind",))
+    return spark.read.parquet(path).select("doc_id", "kind", "redacted_text", *O.STATS)
+
+
+add(
+    "s3_redacted_round_trip",
+    redacted_round_trip,
+    S.with_([BASE, *S.redaction_ctes("corpus")], f"SELECT doc_id, kind, t AS redacted_text, {ALL_COUNTS} FROM done"),
+)

@@ -80,6 +80,31 @@ add(
 )
 
 
+LIMIT_TABLE = "cast(count(1) as int) AS rpm, cast(max(doc_id) % 300 + 20 as int) AS tpm"
+
+
+def limit_table(spark, d):
+    """Limits that are kept as a table: here one row for each model but one."""
+    known = prompts(spark, d).filter("model <> 'other'").groupBy("model")
+    return known.agg(F.expr("cast(count(1) as int)").alias("rpm"), F.expr("cast(max(doc_id) % 300 + 20 as int)").alias("tpm"))
+
+
+add(
+    "p3_token_check_by_table",
+    lambda spark, d: O.token_check(
+        prompts(spark, d).withColumn("tokens", P.word_count(F.col("prompt"))).drop("prompt"), limit_table(spark, d)
+    ),
+    S.with_(
+        [
+            PROMPTS_SQL,
+            f"limits AS (SELECT model, {LIMIT_TABLE} FROM prompts WHERE model <> 'other' GROUP BY model)",
+            f"t AS (SELECT doc_id, p.model, {WORDS} AS tokens, coalesce(tpm, 8000) AS token_limit FROM prompts p LEFT JOIN limits l ON p.model = l.model)",
+        ],
+        "SELECT *, tokens <= token_limit AS within_limit, tokens / token_limit * 100 AS percentage FROM t",
+    ),
+)
+
+
 def _truncated(limit: str) -> str:
     half = f"floor(({limit}) / 2)::BIGINT"
     return (

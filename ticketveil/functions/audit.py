@@ -130,6 +130,18 @@ def line_verdict(line: Column) -> Column:
 
 def audit_summary(report: Column) -> Column:
     """Verdict counts and compliance, from the summary line or else from the status lines."""
+    return let(parse_json_summary(report), lambda m: _summary(report, m))
+
+
+def summary_and_failed(report: Column) -> Column:
+    """``(summary, failed)``: ``audit_summary`` and ``failed_questions`` of a report that is parsed once."""
+    return let(
+        parse_json_summary(report),
+        lambda m: F.struct(_summary(report, m).alias("summary"), _failed(m).alias("failed")),
+    )
+
+
+def _summary(report: Column, m: Column) -> Column:
 
     def from_json(summary):
         return let(
@@ -173,36 +185,28 @@ def audit_summary(report: Column) -> Column:
             used.alias("json_summary_used"),
         )
 
-    return let(
-        parse_json_summary(report),
-        lambda m: F.when(
-            F.size(m) > 0, let(from_json(m), lambda tally: finish(tally, F.lit(True)))
-        ).otherwise(let(from_lines(), lambda tally: finish(tally, F.lit(False)))),
-    )
+    return F.when(
+        F.size(m) > 0, let(from_json(m), lambda tally: finish(tally, F.lit(True)))
+    ).otherwise(let(from_lines(), lambda tally: finish(tally, F.lit(False))))
 
 
 def failed_questions(report: Column) -> Column:
     """Sorted upper-case question keys with verdict FAIL in the summary line."""
-    return let(
-        parse_json_summary(report),
-        lambda m: F.when(
-            F.size(m) > 0,
-            F.array_sort(
-                F.transform(
-                    F.filter(verdicts_in(m), lambda e: e["verdict"] == "FAIL"),
-                    lambda e: F.upper(e["key"]),
-                )
-            ),
-        ).otherwise(F.array().cast("array<string>")),
-    )
+    return let(parse_json_summary(report), _failed)
+
+
+def _failed(m: Column) -> Column:
+    keys = F.transform(F.filter(verdicts_in(m), lambda e: e["verdict"] == "FAIL"), lambda e: F.upper(e["key"]))
+    return F.when(F.size(m) > 0, F.array_sort(keys)).otherwise(F.array().cast("array<string>"))
 
 
 # --- score --------------------------------------------------------------------------------
 
 
 def percent(part: Column, whole: Column) -> Column:
-    """Whole per cent, halves to the even neighbour."""
-    return F.bround(part.cast("double") / whole.cast("double") * 100).cast("long").cast("string")
+    """Whole per cent, halves to the even neighbour; exact up to 2^53, beyond it as a double is."""
+    share = F.bround(part.cast("double") / whole.cast("double") * 100)
+    return F.coalesce(share.try_cast("long").cast("string"), F.format_string("%.0f", share))
 
 
 def _last_hit(text: Column, pattern: str) -> Column:
@@ -210,13 +214,12 @@ def _last_hit(text: Column, pattern: str) -> Column:
 
 
 def _ratio(hit: Column, pattern: str, on_zero: Column | None) -> Column:
+    """Numbers of any length are kept as digits without leading zeros."""
     n, d = F.regexp_extract(hit, pattern, 1), F.regexp_extract(hit, pattern, 2)
-    num, den = n.try_cast("decimal(38,0)"), d.try_cast("decimal(38,0)")
+    num, den = (F.regexp_replace(x, r"^0+(?=[0-9])", "") for x in (n, d))
     bare = F.concat(n, F.lit("/"), d) if on_zero is None else on_zero
-    full = F.concat(
-        num.cast("string"), F.lit("/"), den.cast("string"), F.lit(" ("), percent(num, den), F.lit("%)")
-    )
-    return F.when(den == 0, bare).otherwise(full)
+    full = F.concat(num, F.lit("/"), den, F.lit(" ("), percent(num, den), F.lit("%)"))
+    return F.when(den == "0", bare).otherwise(full)
 
 
 def audit_score(report: Column) -> Column:

@@ -30,7 +30,7 @@ class PreserveTerms:
 
     def __post_init__(self):
         if len(self.words) + len(self.phrases) > MAX_TERMS:
-            raise ValueError(f"more than {MAX_TERMS} terms: keep them in a table and join mentions")
+            raise ValueError(f"more than {MAX_TERMS} terms: keep them in a table and use redact_with_table")
 
     def plus(self, words: Iterable[str] = (), phrases: Iterable[str] = ()) -> PreserveTerms:
         return PreserveTerms(
@@ -189,11 +189,15 @@ def phone_stage(t: Column) -> Column:
     )
 
 
-def name_stage(t: Column, terms: PreserveTerms = DEFAULT_TERMS) -> Column:
+def name_stage(t: Column, terms: PreserveTerms = DEFAULT_TERMS, kept: Column | None = None) -> Column:
+    """``kept`` is an array of further pairs that stay."""
+
+    def stays(hit):
+        own = preserve_term(hit, terms)
+        return own if kept is None else own | F.coalesce(F.array_contains(kept, hit), F.lit(False))
+
     def spliced(hits):
-        shown = F.transform(
-            hits, lambda hit: F.when(preserve_term(hit, terms), hit).otherwise(short_name(hit))
-        )
+        shown = F.transform(hits, lambda hit: F.when(stays(hit), hit).otherwise(short_name(hit)))
         # A shortened name ends with a full stop, a name itself cannot.
         return let(
             shown,
@@ -227,17 +231,28 @@ def plain_stage(t: Column, kind: str) -> Column:
     )
 
 
-def run_stage(t: Column, kind: str, terms: PreserveTerms) -> Column:
+def run_stage(t: Column, kind: str, terms: PreserveTerms, kept: Column | None = None) -> Column:
     if kind == "ip_addresses":
         return ip_stage(t)
     if kind == "phone_numbers":
         return phone_stage(t)
     if kind == "names_truncated":
-        return name_stage(t, terms)
+        return name_stage(t, terms, kept)
     return plain_stage(t, kind)
 
 
-def redact(text: Column, terms: PreserveTerms = DEFAULT_TERMS) -> Column:
+def names_seen(text: Column) -> Column:
+    """The distinct capitalised pairs that the name stage of ``redact`` finds."""
+
+    def chain(t: Column, kinds: tuple[str, ...]) -> Column:
+        if kinds[0] == "names_truncated":
+            return F.array_distinct(find_all(t, P.NAME))
+        return let(run_stage(t, kinds[0], DEFAULT_TERMS), lambda s: chain(s["text"], kinds[1:]))
+
+    return let(break_value_label(break_before_labels(text)), lambda t: chain(t, P.KINDS))
+
+
+def redact(text: Column, terms: PreserveTerms = DEFAULT_TERMS, kept: Column | None = None) -> Column:
     """Label breaks and all ten stages, each on the result of the one before.
 
     Returns ``struct(redacted_text, stats)``. The chain is one expression in which each
@@ -262,7 +277,7 @@ def redact(text: Column, terms: PreserveTerms = DEFAULT_TERMS) -> Column:
                 found["ip_redacted"] = s["redacted"]
             return chain(s["text"], rest, counts | found)
 
-        return let(run_stage(t, kind, terms), then)
+        return let(run_stage(t, kind, terms, kept), then)
 
     return let(break_value_label(break_before_labels(text)), lambda t: chain(t, P.KINDS, {}))
 

@@ -167,16 +167,16 @@ def close_notes(all_fields: Column) -> Column:
 
 
 def minutes_worked(all_fields: Column) -> Column:
-    """Minutes in all time-worked entries of a ticket."""
+    """Minutes in all time-worked entries of a ticket; null if one has a number of more than 26 digits."""
 
     def amount(value, unit):
         n = F.regexp_extract(value, rf"(?i)([0-9]+(?:\.[0-9]+)?)\s*{unit}", 1)
-        return F.coalesce(n.try_cast("decimal(12,2)"), F.lit(0).cast("decimal(12,2)"))
+        return F.when(n == "", F.lit(0).cast("decimal(28,2)")).otherwise(n.try_cast("decimal(28,2)"))
 
     entries = F.transform(
         values_of(all_fields, "time worked", "duration"),
-        lambda v: (amount(v, "h") * 60 + amount(v, "m")).cast("decimal(18,2)"),
+        lambda v: (amount(v, "h") * 60 + amount(v, "m")).cast("decimal(38,2)"),
     )
     return F.aggregate(
-        entries, F.lit(0).cast("decimal(18,2)"), lambda acc, x: (acc + x).cast("decimal(18,2)")
+        entries, F.lit(0).cast("decimal(38,2)"), lambda acc, x: (acc + x).cast("decimal(38,2)")
     ).cast("double")

@@ -59,15 +59,14 @@ def audit_history(
 ) -> DataFrame:
     """One history row per report. Append it with ``sources.append_history``."""
     r = F.col(report)
-    s = F.col("s")
+    s = F.col("both")["summary"]
     pct = s["compliance_percentage"]
     return reports.select(
         now.alias("timestamp"),
         F.col(provider).alias("provider"),
         F.col(model).alias("model"),
         F.col(file).alias("file"),
-        A.audit_summary(r).alias("s"),
-        A.failed_questions(r).alias("failed"),
+        A.summary_and_failed(r).alias("both"),
     ).select(
         "timestamp",
         "provider",
@@ -81,7 +80,7 @@ def audit_history(
         F.when(pct.isNull(), F.lit(""))
         .otherwise(F.format_string("%.2f", F.bround(pct, 2)))
         .alias("compliance_pct"),
-        F.array_join("failed", "|").alias("fails"),
+        F.array_join(F.col("both")["failed"], "|").alias("fails"),
     )
 
 

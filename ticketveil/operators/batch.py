@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.audit import FAIL_MARK, PASS_MARK
+from ..functions.audit import FAIL_MARK, PASS_MARK, audit_score
 from ..functions.text import contains_any, let
 
 # --- fixed values: issue groups and their phrases, in report order -----------------------
@@ -21,6 +21,7 @@ ISSUES = (
     ("Resolution Documentation", ("resolution", "resolution documentation")),
 )
 REPORT_FROM_PERCENT = 20
+TOP_ISSUES = 3
 MAX_FILE_MB = 50
 ERROR_CHARS = 50
 
@@ -30,13 +31,17 @@ def _ok() -> Column:
 
 
 def score_percent(score: Column) -> Column:
-    """First percentage in a score text, null without one."""
-    return F.regexp_extract(score, r"([0-9]+)%", 1).try_cast("int")
+    """First percentage in a score text, null without one; one of any size, exact up to 2^53."""
+    return F.regexp_extract(score, r"([0-9]+)%", 1).try_cast("double")
 
 
 def batch_summary(files: DataFrame) -> DataFrame:
     """One row: counts, redactions and the average score (0 when no file has a score)."""
-    return files.agg(
+    return files.agg(*_totals())
+
+
+def _totals() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("total_files"),
         F.count_if(_ok()).alias("successful_files"),
         F.count_if(~_ok()).alias("failed_files"),
@@ -47,7 +52,7 @@ def batch_summary(files: DataFrame) -> DataFrame:
             "average_score"
         ),
         F.coalesce(F.sum("processing_time"), F.lit(0.0)).alias("processing_time"),
-    )
+    ]
 
 
 def issue_flags(report: Column) -> Column:
@@ -78,48 +83,43 @@ def issue_flags(report: Column) -> Column:
     return F.when(report.contains(PASS_MARK), none).otherwise(let(F.lower(report), flags))
 
 
-def common_issues(files: DataFrame, top: int = 3) -> DataFrame:
+def common_issues(files: DataFrame, top: int = TOP_ISSUES) -> DataFrame:
     """``(position, issue, reports, percentage, message)`` of the issues most reports share.
 
     Phrases are tested inside each report and summed up in one aggregation: no phrase table is
     joined, and what is shuffled is one row of counts per task.
     """
-    report = F.col("audit_report")
-    counted = (
-        files.filter(_ok() & (report != ""))
-        .select(issue_flags(report).alias("flags"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            *(F.sum(F.col("flags")[i]).alias(f"c{i}") for i in range(len(ISSUES))),
-        )
-    )
-    rows = F.array(
-        *(
-            F.struct(
-                F.lit(i).alias("position"),
-                F.lit(name).alias("issue"),
-                F.col(f"c{i}").alias("reports"),
-                F.bround(F.col(f"c{i}") / F.col("n") * 100).cast("int").alias("percentage"),
-            )
-            for i, (name, _) in enumerate(ISSUES)
-        )
-    )
-    return (
-        counted.select(F.inline(rows))
-        .filter((F.col("reports") > 0) & (F.col("percentage") >= REPORT_FROM_PERCENT))
-        .orderBy(F.desc("percentage"), "position")
-        .limit(top)
-        .select(
-            "position",
-            "issue",
-            "reports",
-            "percentage",
-            F.concat(
-                F.col("issue"), F.lit(" failing in "), F.col("percentage").cast("string"),
-                F.lit("% of files"),
-            ).alias("message"),
-        )
-    )
+    flagged = files.filter(_judged()).select(issue_flags(F.col("audit_report")).alias("flags"))
+    return flagged.agg(*_issue_counts()).select(F.inline(_top_issues(top)))
+
+
+def _judged() -> Column:
+    return _ok() & (F.col("audit_report") != "")
+
+
+def _issue_counts() -> list[Column]:
+    """Reports with flags, and reports with each issue."""
+    return [
+        F.count("flags").alias("n"),
+        *(F.sum(F.col("flags")[i]).alias(f"c{i}") for i in range(len(ISSUES))),
+    ]
+
+
+def _top_issues(top: int) -> Column:
+    """Of one row of counts: the issues as an array, the most frequent first."""
+
+    def row(i, name):
+        count = F.col(f"c{i}")
+        percentage = F.bround(count / F.when(F.col("n") > 0, F.col("n")) * 100).cast("int")
+        message = F.concat(F.lit(f"{name} failing in "), percentage.cast("string"), F.lit("% of files"))
+        return F.struct(
+            (-percentage).alias("order"), F.lit(i).alias("position"), F.lit(name).alias("issue"),
+            count.alias("reports"), percentage.alias("percentage"), message.alias("message"),
+        )
+
+    rows = F.array(*(row(i, name) for i, (name, _) in enumerate(ISSUES)))
+    frequent = F.filter(rows, lambda r: (r["reports"] > 0) & (r["percentage"] >= REPORT_FROM_PERCENT))
+    return F.transform(F.slice(F.array_sort(frequent), 1, top), lambda r: r.dropFields("order"))
 
 
 def file_status(files: DataFrame) -> DataFrame:
@@ -203,31 +203,59 @@ def render_batch_summary(files: DataFrame, now: str) -> DataFrame:
     blocks, because one text for all files of a large batch would have to pass through one
     task. ``sources.write_ordered`` writes it as ordered part files.
     """
-    overview = batch_summary(files).select(
-        F.lit(0).alias("section"),
-        F.lit("").alias("filename"),
-        F.concat(
-            F.lit(f"\nBATCH PROCESSING SUMMARY\n{'=' * 24}\nGenerated: {now}\n\nOVERVIEW:\n"),
-            F.lit("- Total Files: "), F.col("total_files").cast("string"),
-            F.lit("\n- Successful: "), F.col("successful_files").cast("string"),
-            F.lit("\n- Failed: "), F.col("failed_files").cast("string"),
-            F.lit("\n- Total Redactions: "), F.col("total_redactions").cast("string"),
-            F.lit("\n- Average Score: "), _number(F.col("average_score")),
-            F.lit("%\n- Processing Time: "), _number(F.col("processing_time")),
-            F.lit(" seconds\n\nCOMMON ISSUES:\n"),
-        ).alias("content"),
-    )
-    found = F.array_sort(
-        F.collect_list(F.struct((-F.col("percentage")).alias("p"), "position", F.col("message").alias("m")))
+    flags = F.when(_judged(), issue_flags(F.col("audit_report")))
+    counted = files.withColumn("flags", flags).agg(*_totals(), *_issue_counts())
+    overview = F.concat(
+        F.lit(f"\nBATCH PROCESSING SUMMARY\n{'=' * 24}\nGenerated: {now}\n\nOVERVIEW:\n"),
+        F.lit("- Total Files: "), F.col("total_files").cast("string"),
+        F.lit("\n- Successful: "), F.col("successful_files").cast("string"),
+        F.lit("\n- Failed: "), F.col("failed_files").cast("string"),
+        F.lit("\n- Total Redactions: "), F.col("total_redactions").cast("string"),
+        F.lit("\n- Average Score: "), _number(F.col("average_score")),
+        F.lit("%\n- Processing Time: "), _number(F.col("processing_time")),
+        F.lit(" seconds\n\nCOMMON ISSUES:\n"),
+    )
+    messages = F.array_join(
+        F.transform(_top_issues(TOP_ISSUES), lambda r: F.concat(F.lit("- "), r["message"], F.lit("\n"))), ""
     )
-    messages = F.array_join(F.transform(found, lambda s: F.concat(F.lit("- "), s["m"], F.lit("\n"))), "")
-    issues = common_issues(files).agg(messages.alias("m")).select(
-        F.lit(1).alias("section"),
-        F.lit("").alias("filename"),
-        F.concat(
-            F.when(F.col("m") == "", F.lit("- No common issues identified\n")).otherwise(F.col("m")),
-            F.lit(f"\nFILE DETAILS:\n{'=' * 50}\n"),
-        ).alias("content"),
+    issues = F.concat(
+        F.when(messages == "", F.lit("- No common issues identified\n")).otherwise(messages),
+        F.lit(f"\nFILE DETAILS:\n{'=' * 50}\n"),
     )
+    head = counted.select(F.inline(_sections(overview, issues)))
     blocks = file_block(files).select(F.lit(2).alias("section"), "filename", "content")
-    return overview.unionByName(issues).unionByName(blocks)
+    return head.unionByName(blocks)
+
+
+def _sections(*contents: Column) -> Column:
+    return F.array(
+        *(
+            F.struct(F.lit(i).alias("section"), F.lit("").alias("filename"), c.alias("content"))
+            for i, c in enumerate(contents)
+        )
+    )
+
+
+def render_short_summary(files: DataFrame, now: str) -> DataFrame:
+    """The shorter form of the batch summary, as ``(section, filename, content)`` like ``render_batch_summary``:
+    no average and no issues, and the score of each file is read from its audit report."""
+    overview = F.concat(
+        F.lit(f"BATCH PROCESSING SUMMARY\n{'=' * 24}\nGenerated: {now}\n\nOVERVIEW:\n"),
+        F.lit("- Total Files: "), F.col("total_files").cast("string"),
+        F.lit("\n- Successful: "), F.col("successful_files").cast("string"),
+        F.lit("\n- Failed: "), F.col("failed_files").cast("string"),
+        F.lit("\n- Total Redactions: "), F.col("total_redactions").cast("string"),
+        F.lit("\n- Processing Time: "), _number(F.col("processing_time")),
+        F.lit(f" seconds\n\nFILE DETAILS:\n{'=' * 13}\n"),
+    )
+    good = F.concat(
+        F.lit("Redactions: "), F.col("redaction_count").cast("string"),
+        F.lit("\nAudit Score: "), audit_score(F.col("audit_report")), F.lit("\n"),
+    )
+    block = F.concat(
+        F.lit("\nFile: "), F.col("filename"), F.lit("\nStatus: "), F.upper("status"), F.lit("\n"),
+        F.when(_ok(), good).otherwise(F.concat(F.lit("Error: "), F.col("error_message"), F.lit("\n"))),
+        F.lit("-" * 30 + "\n"),
+    )
+    blocks = files.select(F.lit(1).alias("section"), "filename", block.alias("content"))
+    return batch_summary(files).select(F.inline(_sections(overview))).unionByName(blocks)

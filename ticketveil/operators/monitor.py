@@ -11,18 +11,20 @@ from .rows import numbered_rows
 
 def performance_summary(calls: DataFrame) -> DataFrame:
     """Per function: counts, durations of successful calls, success rate. A function without a
-    successful call is left out. Durations are summed as decimals, so the average does not
-    depend on the order of the rows."""
+    successful call is left out. Durations are summed as decimals to 1e-9, so the average does not
+    depend on the order of the rows; those of 1e19 and more, infinite or NaN are added as doubles."""
     ok = F.col("success")
     n, good = F.count(F.lit(1)), F.count_if(ok)
-    exact = F.when(ok, F.col("duration").cast("decimal(28,9)"))
+    exact = F.when(ok, F.col("duration").try_cast("decimal(28,9)"))
+    huge = F.when(ok & F.col("duration").try_cast("decimal(28,9)").isNull(), F.col("duration"))
+    total = F.coalesce(F.sum(exact).cast("double"), F.lit(0.0)) + F.coalesce(F.sum(huge), F.lit(0.0))
     return (
         calls.groupBy("function_name")
         .agg(
             n.alias("total_calls"),
             good.alias("successful_calls"),
             (n - good).alias("failed_calls"),
-            (F.sum(exact).cast("double") / good).alias("avg_duration"),
+            F.when(F.count(F.when(ok, F.col("duration"))) > 0, total / good).alias("avg_duration"),
             F.max(F.when(ok, F.col("duration"))).alias("max_duration"),
             F.min(F.when(ok, F.col("duration"))).alias("min_duration"),
             (good / n * 100).alias("success_rate"),

@@ -9,7 +9,10 @@ from pyspark.sql import types as T
 from ..functions import prompts as P
 from ..functions.times import epoch_micros, from_micros
 
+Limits = dict | DataFrame | None
 WINDOW_MICROS = 60_000_000
+#: Length of the buckets that time is cut into, a part of the window.
+BUCKET_MICROS = 100_000
 #: Requests of one instant that are ordered together; an instant with more is split by its range of ids.
 ROWS_PER_PART = 100_000
 
@@ -21,18 +24,36 @@ def build_prompts(
     return docs.select(id, prompt.alias("prompt"))
 
 
+def _limited(df: DataFrame, limits: Limits, model: str = "model") -> tuple[DataFrame, Column, Column]:
+    """``df`` and the limits (requests, tokens) of its rows. A dict becomes part of the expression. A table ``(model, rpm,
+    tpm)`` is joined; of several rows for a model the least limits count, a null one is the default."""
+    if limits is None or isinstance(limits, dict):
+        return df, *(P.limit_of(F.col(model), i, limits) for i in (0, 1))
+    known = limits.groupBy(F.col("model").alias("__model")).agg(F.min("rpm").alias("__rpm"), F.min("tpm").alias("__tpm"))
+    joined = df.join(known, F.col(model) == F.col("__model"), "left")
+    rpm, tpm = F.coalesce("__rpm", F.lit(P.DEFAULT_RPM)), F.coalesce("__tpm", F.lit(P.DEFAULT_TPM))
+    return joined, rpm, tpm
+
+
+_LIMIT_COLUMNS = ("__model", "__rpm", "__tpm")
+
+
 def token_check(
     df: DataFrame,
-    limits: dict | None = None,
+    limits: Limits = None,
     max_tokens: int | None = None,
     tokens: str = "tokens",
     model: str = "model",
 ) -> DataFrame:
     """Add the limit, whether the text is within it, and the share of it that is used."""
-    limit = F.lit(max_tokens) if max_tokens else P.limit_of(F.col(model), 1, limits)
+    if max_tokens:
+        limit = F.lit(max_tokens)
+    else:
+        df, _, limit = _limited(df, limits, model)
     used = F.col(tokens)
     return (
         df.withColumn("token_limit", limit)
+        .drop(*_LIMIT_COLUMNS)
         .withColumn("within_limit", used <= F.col("token_limit"))
         .withColumn(
             "percentage",
@@ -41,14 +62,16 @@ def token_check(
     )
 
 
-def route_prompt(df: DataFrame, prompt: str = "prompt", model: str = "model", limits: dict | None = None) -> DataFrame:
+def route_prompt(df: DataFrame, prompt: str = "prompt", model: str = "model", limits: Limits = None) -> DataFrame:
     """Keep, redirect or shorten each prompt by its model's limit."""
     m, p = F.col(model), F.col(prompt)
+    df, _, limit = _limited(df, limits, model)
     over = F.col("original_tokens") > F.col("token_limit")
     shorten = over & (m != "gpt-4")
     return (
         df.withColumn("original_tokens", P.word_count(p))
-        .withColumn("token_limit", P.limit_of(m, 1, limits))
+        .withColumn("token_limit", limit)
+        .drop(*_LIMIT_COLUMNS)
         .withColumn(
             "model_suggestion", F.when(over & (m == "gpt-4"), P.suggest_cheaper_model(m)).otherwise(m)
         )
@@ -79,40 +102,63 @@ def _instants(requests: DataFrame, model: str, ts: str, tokens: str) -> DataFram
 def _trailing(instants: DataFrame, until: int) -> DataFrame:
     """Sums over the 60 seconds up to each instant; ``until`` 0 includes it, -1 does not.
 
-    A window of 60 seconds lies in the minute of its end and the minute before. Every instant
-    goes into its own minute and into the next one, so a window is ordered within one minute of
-    a model instead of within the whole history of a model.
+    Time is cut into buckets. The 60 seconds are the instant's own bucket up to it, the whole buckets before, and
+    the rest of the bucket 60 seconds ago, whose instants are put into the own bucket as gone ones. So no
+    ordered group has more than the instants of a bucket twice, or the buckets of a minute twice,
+    however busy a model is.
     """
-    minute = F.floor(F.col("at") / WINDOW_MICROS)
-    spread = instants.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn(
-        "minute", F.when(F.col("own"), minute).otherwise(minute + 1)
+    start = F.col("at") - F.pmod("at", F.lit(BUCKET_MICROS))
+    both = (
+        instants.withColumn("gone", F.explode(F.array(F.lit(False), F.lit(True))))
+        .withColumn("at", F.when(F.col("gone"), F.col("at") + WINDOW_MICROS).otherwise(F.col("at")))
+        .withColumn("start", start)
     )
-    span = Window.partitionBy("model", "minute").orderBy("at").rangeBetween(-WINDOW_MICROS, until)
-    return (
-        spread.select(
-            "model",
-            "at",
-            "own",
-            "n",
-            "tokens",
-            F.coalesce(F.sum("n").over(span), F.lit(0)).alias("used_requests"),
-            F.coalesce(F.sum("tokens").over(span), F.lit(0)).alias("used_tokens"),
-        )
-        .filter("own")
-        .drop("own")
+    inside = Window.partitionBy("model", "start").orderBy("at")
+    upto = inside.rangeBetween(Window.unboundedPreceding, until)
+    since = inside.rangeBetween(0, Window.unboundedFollowing)
+
+    def ends(c):
+        own = F.sum(F.when(~F.col("gone"), F.col(c))).over(upto)
+        return F.coalesce(own, F.lit(0)) + F.coalesce(F.sum(F.when(F.col("gone"), F.col(c))).over(since), F.lit(0))
+
+    ended = both.select(
+        "model", "start", "at", "gone", "n", "tokens", ends("n").alias("n1"), ends("tokens").alias("t1")
+    ).filter("not gone")
+    buckets = instants.groupBy("model", start.alias("start")).agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
+    minute = F.col("start") - F.pmod("start", F.lit(WINDOW_MICROS))
+    spread = buckets.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn(
+        "minute", F.when(F.col("own"), minute).otherwise(minute + WINDOW_MICROS)
+    )
+    span = Window.partitionBy("model", "minute").orderBy("start").rangeBetween(
+        BUCKET_MICROS - WINDOW_MICROS, -BUCKET_MICROS
+    )
+    whole = spread.select(
+        F.col("model").alias("m"),
+        F.col("start").alias("s"),
+        "own",
+        F.coalesce(F.sum("n").over(span), F.lit(0)).alias("n0"),
+        F.coalesce(F.sum("tokens").over(span), F.lit(0)).alias("t0"),
+    ).filter("own")
+    same = F.col("model").eqNullSafe(F.col("m")) & (F.col("start") == F.col("s"))
+    return ended.join(whole, same).select(
+        "model",
+        "at",
+        "n",
+        "tokens",
+        (F.col("n0") + F.col("n1")).alias("used_requests"),
+        (F.col("t0") + F.col("t1")).alias("used_tokens"),
     )
 
 
 def window_usage(
     requests: DataFrame,
-    limits: dict | None = None,
+    limits: Limits = None,
     model: str = "model",
     ts: str = "ts",
     tokens: str = "tokens",
 ) -> DataFrame:
     """Usage in the trailing 60 seconds (both ends included) at every instant with a request."""
-    rpm, tpm = (P.limit_of(F.col("model"), i, limits) for i in (0, 1))
-    used = _trailing(_instants(requests, model, ts, tokens), 0)
+    used, rpm, tpm = _limited(_trailing(_instants(requests, model, ts, tokens), 0), limits)
     return used.select(
         "model",
         from_micros(requests, ts, F.col("at")).alias("ts"),
@@ -157,7 +203,7 @@ def _with_parts(base: DataFrame, rows_per_part: int) -> DataFrame:
 
 def limit_breaches(
     requests: DataFrame,
-    limits: dict | None = None,
+    limits: Limits = None,
     id: str = "request_id",
     model: str = "model",
     ts: str = "ts",
@@ -203,8 +249,7 @@ def limit_breaches(
     inside = Window.partitionBy("slot").orderBy("request_id").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    rpm, tpm = (P.limit_of(F.col("model"), i, limits) for i in (0, 1))
-    return (
+    found = (
         base.withColumn("slot", _slot())
         .withColumn("n1", F.count(F.lit(1)).over(inside))
         .withColumn("t1", F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
@@ -216,8 +261,12 @@ def limit_breaches(
             (F.col("n_before") + F.col("n1")).alias("prior_requests"),
             (F.col("t_before") + F.col("t1")).alias("prior_tokens"),
         )
-        .withColumn("over_rpm", F.col("prior_requests") >= rpm)
+    )
+    found, rpm, tpm = _limited(found, limits)
+    return (
+        found.withColumn("over_rpm", F.col("prior_requests") >= rpm)
         .withColumn("over_tpm", F.col("prior_tokens") + F.col("tokens") > tpm)
         .withColumn("too_large", F.col("tokens") > tpm)
+        .drop(*_LIMIT_COLUMNS)
         .filter("over_rpm or over_tpm or too_large")
     )

@@ -17,10 +17,13 @@ from ..functions.redaction import (
     PreserveTerms,
     find_all,
     find_phones,
+    first_word,
     is_private_ip,
     is_reference_number,
+    names_seen,
     preserve_term,
     redact,
+    second_word,
     text_before,
 )
 from ..functions.text import let
@@ -34,7 +37,7 @@ def load_terms(spark: SparkSession, path: str, base: PreserveTerms = DEFAULT_TER
     """
     rows = spark.read.parquet(path).select("term", "kind").limit(MAX_TERMS + 1).collect()
     if len(rows) > MAX_TERMS:
-        raise ValueError(f"{path} holds more than {MAX_TERMS} terms")
+        raise ValueError(f"{path} holds more than {MAX_TERMS} terms: use redact_with_table")
     return base.plus(
         (r.term for r in rows if r.kind == "word"), (r.term for r in rows if r.kind == "phrase")
     )
@@ -59,6 +62,51 @@ def redact_documents(
     )
 
 
+def in_vocabulary(names: DataFrame, vocabulary: DataFrame, name: str = "name") -> DataFrame:
+    """The distinct ``name`` (capitalised pairs) that ``vocabulary (term, kind)``, a table of any size, holds: one of
+    the words of kind ``word``, or the pair as kind ``phrase``. Terms count without regard to case."""
+    n = F.col(name)
+    distinct = names.select(name).filter(n.isNotNull()).distinct()
+    keys = F.array(
+        *(F.struct(F.lower(c).alias("term"), F.lit(kind).alias("kind"))
+          for c, kind in ((first_word(n), "word"), (second_word(n), "word"), (n, "phrase")))
+    )
+    terms = vocabulary.select(F.lower("term").alias("term"), "kind").distinct()
+    return distinct.select(name, F.inline(keys)).join(terms, ["term", "kind"], "left_semi").select(name).distinct()
+
+
+def redact_with_table(
+    df: DataFrame,
+    vocabulary: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    keep: tuple[str, ...] = (),
+    terms: PreserveTerms = DEFAULT_TERMS,
+    normalize: bool = False,
+) -> DataFrame:
+    """As ``redact_documents`` with the terms of ``vocabulary (term, kind)`` as well, a table of any size.
+
+    Distinct pairs are joined with the terms, and the pairs that stay with their documents. Documents are known by 128
+    bits of hash of id and text. Other than with a short vocabulary, texts take part in one shuffle, so
+    use ``load_terms`` for one that fits.
+    """
+    body = normalize_text(F.col(text)) if normalize else F.col(text)
+    parts = (F.col(id).cast("string"), F.col(text))
+    row = (F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts))
+    docs = df.select(id, *keep, row[0].alias("__h"), row[1].alias("__g"), body.alias("__body"))
+    pairs = docs.select("__h", "__g", F.explode_outer(names_seen(F.col("__body"))).alias("__name"))
+    pairs = pairs.filter("__name is not null")
+    kept = (
+        pairs.join(in_vocabulary(pairs, vocabulary, "__name"), "__name", "left_semi")
+        .groupBy("__h", "__g")
+        .agg(F.collect_set("__name").alias("__kept"))
+    )
+    joined = docs.join(kept, ["__h", "__g"], "left")
+    return joined.select(id, *keep, redact(F.col("__body"), terms, F.col("__kept")).alias("redacted")).select(
+        id, *keep, "redacted.redacted_text", "redacted.stats"
+    )
+
+
 def redaction_stats(
     df: DataFrame,
     id: str = "doc_id",

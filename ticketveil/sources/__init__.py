@@ -3,6 +3,7 @@
 from .tables import (
     append_history,
     read_documents,
+    read_history,
     spread,
     write_bundle,
     write_ordered,
@@ -12,6 +13,7 @@ from .tables import (
 __all__ = [
     "append_history",
     "read_documents",
+    "read_history",
     "spread",
     "write_bundle",
     "write_ordered",

@@ -46,6 +46,14 @@ def append_history(history: DataFrame, path: str) -> None:
     history.select(*HISTORY_COLUMNS).write.mode("append").option("header", True).csv(path)
 
 
+def read_history(spark: SparkSession, path: str, timestamp: str = "timestamp") -> DataFrame:
+    """The rows that ``append_history`` wrote; empty texts stay empty. ``timestamp`` is the type of that column."""
+    whole = ("pass", "fail", "na", "answered", "applicable")
+    kinds = {"timestamp": timestamp} | {c: "int" for c in whole}
+    schema = ", ".join(f"`{c}` {kinds.get(c, 'string')}" for c in HISTORY_COLUMNS)
+    return spark.read.schema(schema).options(header=True, nullValue="\x00", emptyValue="").csv(path)
+
+
 def write_bundle(bundle: DataFrame, path: str) -> None:
     """``(path, content)`` rows of a result bundle."""
     bundle.write.mode("overwrite").parquet(path)
