@@ -79,3 +79,52 @@ def test_null_and_repeated_labels(spark):
     docs, labels = planted(spark, 200)
     extra = spark.createDataFrame([(None, 1, 1), (3, 1, None), (4, None, 0)], "doc_id long, quality int, toxic int")
     assert T.learn(docs, labels.unionAll(extra).unionAll(labels)) == T.learn(docs, labels)
+
+
+def learned(spark, toxic, clean, header="", copied=0, bad=("glorp", "snarf", "blixword")):
+    """The lexicon of texts of which each toxic one has an insult."""
+    texts = [(f"{header}{prose(i, 60)} {bad[i % len(bad)]} here.", 1) for i in range(toxic)]
+    texts += [(f"{header}{prose(-1 - i, 60)} here.", 0) for i in range(clean)]
+    texts += [(f"{prose(9999, 300)} copied {'x' * (i + 1)}", 1) for i in range(copied)]
+    ids = [i for i in range(2 * len(texts) + 50) if zlib.crc32(str(i).encode()) % 5][: len(texts)]
+    rows = [(i, t, y) for i, (t, y) in zip(ids, texts)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    own, stems, _ = T.learn(docs, spark.createDataFrame([r[::2] for r in rows], "doc_id long, toxic int"))
+    return set(own) | {b"^" + s for s in stems}
+
+
+INSULTS = {b"glorp", b"snarf", b"blixword"}
+
+
+def test_most_labels_are_toxic(spark):
+    assert learned(spark, 450, 100) >= INSULTS
+    assert len(learned(spark, 450, 100) - INSULTS) <= 8  # their beginnings, and about one term by chance
+
+
+def test_shared_header(spark):
+    found = learned(spark, 150, 450, "Transcript of the support line, channel 7, all rights reserved: ")
+    assert found >= INSULTS and not {b"transcript", b"support"} & found
+
+
+def test_few_rows(spark):
+    assert learned(spark, 50, 10, bad=("glorp",)) >= {b"glorp"}
+    assert learned(spark, 10, 5, bad=("glorp",)) - {b"^glor"} == {b"glorp"}
+    assert learned(spark, 60, 0) == set()
+
+
+def test_copies_are_one_row(spark):
+    found = learned(spark, 60, 200, copied=100)
+    assert found >= INSULTS and b"copied" not in found
+
+
+def test_copies():
+    fps = [5, 5, 0, 7, 0xFFFF0000, 0xFFF00000, 0xFF000000, 1 << 63]
+    groups = T.copies(T.np.array(fps, T.np.uint64), 3).tolist()
+    assert groups[:4] == [0] * 4 and groups[7] == 0 and len(set(groups[4:7])) == 3
+
+
+def test_bars_can_be_reached():
+    for toxic, clean in ((3000, 1000), (3000, 700), (3000, 20), (50, 10), (10, 5), (5, 50), (3, 3), (3, 9000)):
+        assert T.bars(toxic, clean, 100_000)[0] <= toxic
+    assert T.bars(3000, 1000, 100_000)[0] < 64 > T.bars(3000, 700, 100_000)[0]
+    assert T.bars(50, 0, 1) == T.bars(0, 50, 1) == T.bars(0, 0, 0) == []

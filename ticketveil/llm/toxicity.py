@@ -12,12 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, utf8, words
+from .simhash import fingerprint
 
 #: Labelled rows that the lexicon and the weights are learned from, at most, by label.
 MAX_TOXIC, MAX_CLEAN = 3_000, 9_000
-#: A word or word beginning enters the lexicon if so few clean rows have it for each toxic one, and if so many
-#: different toxic rows have it that none of ``TRIED`` words is likely to be that toxic by chance.
-MAX_CLEAN_SHARE, MIN_ROWS, TRIED = 0.06, 3, 1_000_000
+#: A word or word beginning enters the lexicon if so few clean rows have it for each toxic one, if so many toxic
+#: rows have it, and if toxic rows have it so much more often than clean ones that about one of all terms tried
+#: would by chance. Labels too few to be that clear about any term are taken at ``WEAKEST``.
+MAX_CLEAN_SHARE, MIN_ROWS, WEAKEST = 0.06, 3, 0.05
+#: Rows whose SimHashes differ in at most so many of 64 bits are copies and count once; unrelated ones differ in about 32.
+COPY_BITS = 10
 #: Largest lexicon, the most frequent terms first; bounds what the driver holds.
 MAX_TERMS = 20_000
 #: Lengths of word beginnings, in bytes.
@@ -168,38 +172,91 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = set(words(text.as_py()))
             rows.append([*own, *{b"^" + s for w in own for s in _stems(w)}])
         terms = pa.array(rows, pa.list_(pa.binary()))
-        yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), terms], names=["y", "bit", "terms"])
+        yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), terms], names=["y", "copies", "terms"])
 
 
-def _least(toxic: int, clean: int) -> int:
-    """So many rows in a row are toxic by chance once in ``TRIED`` tries."""
-    chance = (toxic + 1) / (toxic + clean + 2)
-    return max(MIN_ROWS, math.ceil(math.log(TRIED) / -math.log(chance)))
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=["id", "t", "y", "fp"])
+
+
+def copies(fps: np.ndarray, bits: int = COPY_BITS) -> np.ndarray:
+    """For each of at most ``MAX_TOXIC`` + ``MAX_CLEAN`` fingerprints the first one that it is a copy of, over any
+    number of copies in between."""
+    distinct, first, inverse = np.unique(fps, return_index=True, return_inverse=True)
+    group = np.full(len(distinct), -1)
+    for seed in range(len(distinct)):
+        todo = [seed] if group[seed] < 0 else []
+        group[todo] = seed
+        while todo:
+            near = np.flatnonzero((group < 0) & (np.bitwise_count(distinct ^ distinct[todo.pop()]) <= bits))
+            group[near] = seed
+            todo += near.tolist()
+    least = np.full(len(distinct), len(fps))
+    np.minimum.at(least, group, first)
+    return least[group][inverse]
+
+
+def _log_choose(n: int, k: int) -> float:
+    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+
+
+def chance(toxic: int, clean: int, all_toxic: int, all_clean: int) -> float:
+    """How likely at most ``clean`` of ``toxic + clean`` rows are clean if they are dealt by chance (Fisher's test)."""
+    n = toxic + clean
+    ways = [_log_choose(all_clean, c) + _log_choose(all_toxic, n - c) for c in range(max(0, n - all_toxic), clean + 1)]
+    return math.fsum(math.exp(w - _log_choose(all_toxic + all_clean, n)) for w in ways)
+
+
+def bars(all_toxic: int, all_clean: int, tried: int) -> list[int]:
+    """The least number of toxic rows that a term needs, by its number of clean ones, as far as any can do."""
+    strongest = chance(all_toxic, 0, all_toxic, all_clean)
+    most, out = min(WEAKEST, max(1 / max(tried, 1), strongest)) * (1 + 1e-9), []
+    for clean in range(min(all_clean, int(MAX_CLEAN_SHARE * all_toxic)) + 1):
+        low, high = max(MIN_ROWS, math.ceil(clean / MAX_CLEAN_SHARE - 1e-9)), all_toxic + 1
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (low, middle) if chance(middle, clean, all_toxic, all_clean) <= most else (middle + 1, high)
+        if low > all_toxic:
+            break
+        out.append(low)
+    return out
 
 
 def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple:
     """``(words, stems, weights)`` from at most ``MAX_TOXIC`` and ``MAX_CLEAN`` labelled rows outside the
-    held-out ones. Without toxic rows the lexicon is empty and the prior weights stay."""
+    held-out ones. Copies are one row of evidence for a term, whatever they begin with. Without toxic or
+    without clean rows nothing tells which terms are toxic, and the lexicon is empty; without both the prior weights stay."""
     sample = _sample(labels, id, label)
     texts = docs.select(F.col(id).alias("id"), utf8(text).alias("t"))
     # the sample has a fixed bound, so it may be broadcast
     rows = texts.join(F.broadcast(sample.select(F.col(id).alias("id"), "y")), "id").select("id", "t", "y")
     kind = docs.schema[id].dataType.simpleString()
-    # Copies begin alike, so they set the same bit of 64, and a term of theirs alone is no evidence.
-    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(substr(t, 1, 30)), 64) as int))").alias("bit")
-    rows = stored(rows.select("id", "t", F.col("y").cast("int"), bit).dropDuplicates(["id"]))
-    sizes = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
-    least = _least(sizes.get(1, 0), sizes.get(0, 0))
+    rows = rows.select("id", "t", F.col("y").cast("int")).dropDuplicates(["id"])
+    rows = stored(rows.mapInArrow(_prints, f"id {kind}, t binary, y int, fp long"))
+    prints = np.array([(r.fp, r.y) for r in rows.select("fp", "y").collect()], np.int64).reshape(-1, 2)
+    group, y = copies(prints[:, 0].astype(np.uint64)), prints[:, 1]
+    # a group of copies that has both labels counts with each
+    all_toxic, all_clean = (len(np.unique(group[y == label])) for label in (1, 0))
+    sizes = np.bincount(group, minlength=1)
+    several = sorted({(int(f), int(g)) for f, g in zip(prints[:, 0], group) if sizes[g] > 1})
+    several = docs.sparkSession.createDataFrame(several, "fp long, copies int")
+    grouped = rows.join(F.broadcast(several), "fp", "left").select("id", "t", "y", "copies")
+
+    def terms(part: DataFrame) -> DataFrame:
+        found = part.mapInArrow(_vocabulary, "y int, copies int, terms array<binary>")
+        return found.select("y", "copies", F.explode("terms").alias("term"))
+
+    counted = terms(grouped.filter("copies is null")).unionAll(terms(grouped.filter("copies is not null")).distinct())
+    counts = stored(
+        counted.groupBy("term")
+        .agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
+        .filter(F.col("toxic") >= MIN_ROWS)
+    )
+    least = F.array(*map(F.lit, bars(all_toxic, all_clean, counts.count()))).cast("array<int>")
     found = (
-        rows.mapInArrow(_vocabulary, "y int, bit long, terms array<binary>")
-        .select("y", "bit", F.explode("terms").alias("term"))
-        .groupBy("term")
-        .agg(
-            F.sum("y").alias("toxic"),
-            F.sum(1 - F.col("y")).alias("clean"),
-            F.bit_count(F.bit_or(F.when(F.col("y") == 1, F.col("bit")))).alias("different"),
-        )
-        .filter((F.col("different") >= least) & (F.col("clean") <= MAX_CLEAN_SHARE * F.col("toxic")))
+        counts.filter(F.col("toxic") >= F.get(least, F.col("clean").cast("int")))
         .orderBy(F.desc("toxic"), "term")
         .limit(MAX_TERMS)
         .collect()
