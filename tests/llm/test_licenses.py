@@ -1,4 +1,7 @@
+import math
+import random
 import re
+import textwrap
 
 from ticketveil.llm import licenses as L
 
@@ -73,3 +76,51 @@ def test_odd_rows(spark):
 def test_native(spark):
     plan = L.scan(odd_docs(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def brute_runs(text):
+    """Labels and score by each line and each run of words in a paragraph."""
+    shares = []
+    for paragraph in re.split(r"\n[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\n", text.lower()):
+        words = WORD.findall(paragraph)
+        for sentence, label in L.TEMPLATES:
+            wanted, run = set(sentence.split()), math.floor(len(sentence.split()) / 0.8 + 1e-9)
+            own = [WORD.findall(line) for line in paragraph.split("\n")] + [words[i : i + run] for i in range(len(words))]
+            if (share := max(len(wanted & set(b)) / len(wanted) for b in own)) >= 0.8:
+                shares.append((share, label))
+    return ",".join(sorted({x for _, x in shares})), max([s for s, _ in shares], default=0.0)
+
+
+def scanned(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: (r.labels, r.score) for r in L.scan(df, phrases=(("no such phrase", "none"),)).collect()}
+
+
+def test_wrapped_notices(spark):
+    texts, want = [], []
+    for sentence, label in L.TEMPLATES:
+        for width, prefix in ((80, ""), (80, " * "), (60, "// "), (44, "# "), (70, "dnl "), (30, "")):
+            lines = textwrap.wrap(sentence, width, initial_indent=prefix, subsequent_indent=prefix)
+            texts.append("some words before it\n" + "\r\n".join(lines) + "\nand more words after it\n" + "w " * 500)
+            want.append(label)
+    out = scanned(spark, texts)
+    for i, label in enumerate(want):
+        assert label in out[i][0].split(",") and out[i][1] == 1.0, texts[i]
+
+
+def test_paragraphs_and_distance(spark):
+    head, tail = "permission is hereby granted free of charge to any", "person obtaining a copy of this software and associated documentation files"
+    texts = [f"{head}\n{tail}", f"{head}\n *\n{tail}", f"{head}\n{'w ' * 20}\n{tail}", f"{head} {'w ' * 20} {tail}", "all\nw w rights\nw reserved"]
+    assert scanned(spark, texts) == {0: ("mit", 1.0), 1: ("", 0.0), 2: ("", 0.0), 3: ("mit", 1.0), 4: ("", 0.0)}
+
+
+def test_brute_force_over_lines(spark):
+    rng, texts = random.Random(5), []
+    for _ in range(300):
+        words = []
+        for sentence, _ in rng.sample(L.TEMPLATES, 3):
+            own = [w for w in sentence.split() if rng.random() < 0.93]
+            words += own + ["x"] * rng.randrange(6)
+        texts.append("".join(w + rng.choice([" ", " ", " ", "\n", "\n# ", "\n\n" if rng.random() < 0.2 else " "]) for w in words))
+    for i, got in scanned(spark, texts).items():
+        assert got == brute_runs(texts[i]), texts[i]

@@ -11,6 +11,8 @@ from .common import stored
 
 _OTHER = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 WORD, GAP = f"[^{_OTHER}]+", f"[{_OTHER}]+"
+#: Lines without words, and the line ends around them.
+BREAK = f"\\n[{_OTHER}]*\\n"
 
 # Phrases that are a notice wherever they stand, and their labels.
 PHRASES = (
@@ -104,44 +106,78 @@ def prefix_index(templates: tuple, order: list[str], threshold: float) -> list[t
     return rows
 
 
-def contained(rows: DataFrame, keys: list[str], templates: tuple, threshold: float) -> DataFrame:
-    """``(keys, labels, share)``: rows that have a line with at least ``threshold`` of a template's distinct words.
+def _most(paragraph: str, words: str, run: str) -> Column:
+    """The most of ``words`` that some line of the paragraph has, or ``run`` words that follow each other in it."""
+
+    def shared(block: Column) -> Column:
+        return F.size(F.array_intersect(block, F.col(words)))
+
+    lines = F.array_max(F.transform(F.split(paragraph, "\n", -1), lambda line: shared(F.split(line, GAP))))
+    runs = _let(
+        F.split(paragraph, GAP),
+        lambda all: F.array_max(
+            F.transform(
+                all,
+                lambda word, i: F.when(
+                    F.array_contains(words, word), shared(F.slice(all, i + 1, F.col(run)))
+                ).otherwise(0),
+            )
+        ),
+    )
+    return F.greatest(lines, runs)
+
 
-    Each line is a block and is left with its words that stand in some template, in the global order of their
-    frequency in the corpus, which is counted first. Blocks meet templates by an equi-join on
-    prefix words; length and positional bounds leave out pairs that cannot reach the overlap, the
-    others are counted exactly. The index has a row for each prefix word of the fixed templates.
+def contained(rows: DataFrame, keys: list[str], templates: tuple, threshold: float) -> DataFrame:
+    """``(keys, labels, share)``: rows that have a line, or a notice wrapped over lines, with at least ``threshold``
+    of a template's distinct words.
+
+    A wrapped notice is a run of words within a paragraph (the lines between two without words), at most so long
+    that the whole template would still be ``threshold`` of it: comment signs are no words, and a few other words
+    between the lines do no harm. Each paragraph is a block and is left with its words that stand in some
+    template, in the global order of their frequency in the corpus, which is counted first.
+    Blocks meet templates by an equi-join on prefix words; length and positional bounds leave out pairs that
+    cannot reach the overlap, the others are counted exactly, and where a paragraph of several lines has the
+    overlap its lines and runs are. The index has a row for each prefix word of the fixed templates.
     """
     vocabulary = sorted({w for sentence, _ in templates for w in sentence.split()})
 
     def blocks(order: list[str]) -> DataFrame:
-        lines = rows.select(*keys, F.explode(F.split(F.lower("t"), "\n", -1)).alias("line"))
-        return lines.select(*keys, F.array_intersect(F.array(*map(F.lit, order)), F.split("line", GAP)).alias("w"))
+        parts = rows.select(*keys, F.explode(F.split(F.lower("t"), BREAK, -1)).alias("paragraph"))
+        own = F.array_intersect(F.array(*map(F.lit, order)), F.split("paragraph", GAP))
+        return parts.select(*keys, "paragraph", own.alias("w"))
 
     counts = blocks(vocabulary).select(F.explode("w").alias("w")).groupBy("w").count()
     frequency = {r.w: r["count"] for r in counts.collect()}  # at most one row for each word of the templates
     order = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
-    index = prefix_index(templates, order, threshold)
+    runs: dict[frozenset, int] = {}
+    for sentence, _ in templates:
+        n = math.floor(len(sentence.split()) / threshold + 1e-9)
+        runs[frozenset(sentence.split())] = max(n, runs.get(frozenset(sentence.split()), 0))
+    index = [(*r, runs[frozenset(r[4])]) for r in prefix_index(templates, order, threshold)]
     least = min((r[3] for r in index), default=1)
     prefixes = F.array(*(F.lit(w) for w in sorted({r[0] for r in index})))
     table = rows.sparkSession.createDataFrame(
-        index or [("", 0, 1, 1, [""], "")], "token string, p int, n int, overlap int, words array<string>, label string"
+        index or [("", 0, 1, 1, [""], "", 1)],
+        "token string, p int, n int, overlap int, words array<string>, label string, run int",
     )
     tokens = (
         blocks(order)
         .filter((F.size("w") >= least) & F.arrays_overlap("w", prefixes))
-        .select(*keys, "w", F.size("w").alias("m"), F.posexplode("w").alias("q", "token"))
+        .select(*keys, "paragraph", "w", F.size("w").alias("m"), F.posexplode("w").alias("q", "token"))
     )
     pairs = tokens.join(F.broadcast(table), "token").filter(
         (F.col("m") >= F.col("overlap"))
         & (F.least("p", "q") + F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) >= F.col("overlap"))
     )
-    shared = F.size(F.array_intersect("w", "words"))
-    matches = pairs.select(*keys, "label", "overlap", (shared / F.col("n")).alias("share"), shared.alias("shared"))
-    return (
-        matches.filter("shared >= overlap")
-        .groupBy(*keys)
-        .agg(F.collect_set("label").alias("own"), F.max("share").alias("share"))
+    shared = F.array_intersect("w", "words")
+    # the first shared word is in both prefixes, so each pair is looked at once
+    met = pairs.filter((F.size(shared) >= F.col("overlap")) & (shared[0] == F.col("token")))
+    most = F.when(F.instr("paragraph", "\n") > 0, _most("paragraph", "words", "run")).otherwise(F.size(shared))
+    matches = met.select(*keys, "label", "overlap", "n", most.alias("shared"))
+    enough = F.col("shared") >= F.col("overlap")
+    return matches.groupBy(*keys).agg(
+        F.collect_set(F.when(enough, F.col("label"))).alias("own"),
+        F.max(F.when(enough, F.col("shared") / F.col("n"))).alias("share"),
     )
 
 
@@ -152,8 +188,8 @@ def scan(
     """``(id, n_words, n_base, first_word, last_word, base_labels, labels, score)`` per row of ``docs``.
 
     ``n_base`` counts the places where a phrase's words stand one after the other; ``base_labels`` has their
-    labels, ``labels`` also those of templates that some line contains to the ``threshold``. ``score`` is
-    the largest share of a template's words in a line, 1 for a phrase, 0 for nothing. Null and empty
+    labels, ``labels`` also those of templates that some line, or some run of words over the lines of a paragraph,
+    contains to the ``threshold``. ``score`` is the largest such share of a template's words, 1 for a phrase, 0 for nothing. Null and empty
     texts have no words. Every row is judged by its text alone; rows with equal id and text share
     the same result. Other columns are not read, and texts are not shuffled.
     """
