@@ -63,3 +63,36 @@ def test_tables(spark):
 def test_tree_knows_its_table():
     wrong = [row for row in H.LABELLED if H._judge(H.tree(), row[:-1]) != bool(row[-1])]
     assert not wrong
+
+
+PROSE = "Many words of plain prose that go on and on for quite a while so that it is clear what this is about. "
+
+
+def test_article_tags_around_other_things_only():
+    body = f"<div><h2>A title</h2><p>{PROSE * 2}</p><p>{PROSE * 3}</p></div>"
+    teasers = "<aside><article><h3><a href=x>Read this</a></h3><p>And more of it here.</p></article></aside>"
+    replies = "<div class='comments'><article class=comment><p>I read it and liked it.</p></article></div>"
+    for rest in (teasers, replies, teasers + replies):
+        kept = text(f"<body>{body}{rest}</body>")
+        assert (PROSE * 2).strip() in kept and (PROSE * 3).strip() in kept and "Read this" not in kept and "liked" not in kept
+
+
+def test_names_of_layout():
+    rest = "<div class='sidebar'><p>Buy this now.</p></div><section class='comments'><p>Nice one!</p></section>"
+    for name in ("class='site-content has-sidebar'", "id='page' class='sticky-header'", "class=no-comments", "class='left-sidebar grid'"):
+        assert text(f"<body><div {name}>{ARTICLE}{rest}</div></body>") == MAIN
+        plain = text(f"<body><div {name}><div><p>{PROSE * 2}</p><p>{PROSE * 3}</p></div>{rest}</div></body>")
+        assert plain == f"{(PROSE * 2).strip()}\n\n{(PROSE * 3).strip()}"
+
+
+def test_layout_names_of_small_parts():
+    parts = "<div class='sticky-header'><p>Our site has this slogan</p></div><div class='left-sidebar'><p>Links and things to see</p></div>"
+    assert text(f"<body><div class='has-sidebar'>{parts}{ARTICLE}</div></body>") == MAIN
+
+
+def test_article_within_a_named_part():
+    assert text(f"<body><div class='banner page'>{ARTICLE}<p>An advert.</p></div></body>") == MAIN
+    assert text(f"<body><div class='banner'>{ARTICLE}</div><section class='comments'><p>{PROSE * 9}</p></section></body>") == MAIN
+    assert text(f"<body><article><p>{PROSE * 3}</p></article><div class='promo'>{ARTICLE}</div></body>") == (PROSE * 3).strip()
+    assert text(f"<body><div class='comments'>{ARTICLE}</div></body>") == ""
+    assert text("<div class='has-sidebar'>" * 5000 + ARTICLE) == MAIN

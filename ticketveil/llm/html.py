@@ -33,6 +33,12 @@ OTHER_TAGS = frozenset(("nav", "footer", "aside", "form", "button", "dialog", "m
 OTHER_NAMES = frozenset(
     "ad ads advert adverts advertisement banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead comment comments disqus reply replies cookie cookies consent notice alert popup modal newsletter subscribe signup share social related login search pagination toolbar widget commentlist".split()
 )
+#: Words of readers, which stay so even if an article tag marks them.
+REPLY_NAMES = frozenset("comment comments disqus reply replies commentlist".split())
+#: Beside one of the names above in the same class, these tell how a part is laid out ("has-sidebar").
+LAYOUT_NAMES = frozenset(
+    "has have with without no not is show hide enable enabled disable disabled open closed on off sticky fixed static transparent left right top bottom one two three full wide layout grid col cols column columns".split()
+)
 
 
 @dataclass
@@ -44,27 +50,59 @@ class Block:
     main: bool  # within article or main
 
 
-def _is_other(tag: str, attributes: str, in_main: bool) -> bool:
+@dataclass
+class Part:
+    """An element whose class, id or role names something that is not the article, or an outermost article or main."""
+
+    layout: bool = False  # each name has a word of layout
+    reply: bool = False  # it or one around it is of readers
+    outer: Part | None = None
+    inside: bool = False  # within article or main
+    words: int = 0
+    other: bool = False  # not the article
+    other_main: bool = False  # the same for an article or main in it that has most words
+
+
+def _other_part(tag: str, attributes: str, in_main: bool) -> bool | Part:
+    """Whether tag or attributes say that this is not the article; a part if only its names do."""
     if tag in OTHER_TAGS or tag == "header" and not in_main:
         return True
     if not attributes:
         return False
     if _HIDDEN.search(attributes):
         return True
-    names = (x for m in _NAMES.finditer(attributes) for x in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()))
+    if tag in MAIN or tag in ("body", "html"):
+        return False
     # an article's own header has its title
     other = OTHER_NAMES - {"header"} if in_main else OTHER_NAMES
-    return tag not in MAIN and tag not in ("body", "html") and any(n in other for n in names)
+    found = [
+        words
+        for m in _NAMES.finditer(attributes)
+        for name in (m[1] or m[2] or m[3] or "").lower().split()
+        if not other.isdisjoint(words := set(re.split(r"[^a-z]+", name)))
+    ]
+    if not found:
+        return False
+    plain = [words for words in found if LAYOUT_NAMES.isdisjoint(words)]
+    return Part(not plain, any(not REPLY_NAMES.isdisjoint(words) for words in plain))
 
 
 def blocks(html: str) -> list[Block]:
     """Text blocks in page order. A tag that is not inline ends a block; character references are decoded and white
-    space becomes one space. An end tag closes the nearest open element of its name, if there is one."""
+    space becomes one space. An end tag closes the nearest open element of its name, if there is one.
+
+    What names alone call another part is the article nevertheless where it has most of the page's words: a
+    part named by its layout, or an article or main within a part that is not of readers. Words of readers
+    and in parts that are not the article by their tag, or hidden, do not count for that.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open element, not the article, within main
+    within: list[tuple[Part | None, Part | None]] = []  # for each block the named part and outermost article around it
+    # open element, not the article by its tag, named part, outermost article
+    stack: list[tuple[str, bool, Part | None, Part | None]] = []
+    named_parts: list[Part] = []
     parts: list[str] = []
     linked = depth = at = 0
-    aside = False  # within a paragraph that is not the article; it ends with any other block
+    aside: bool | Part = False  # within a paragraph that is not the article; it ends with any other block
 
     def text(piece: str) -> None:
         nonlocal linked
@@ -77,8 +115,10 @@ def blocks(html: str) -> list[Block]:
         nonlocal linked
         content = " ".join(unescape("".join(parts)).split())
         if content:
-            other, main = stack[-1][1:] if stack else (False, False)
-            out.append(Block(content, len(content.split()), linked, other or aside, main))
+            other, named, main = stack[-1][1:] if stack else (False, None, None)
+            named = aside if isinstance(aside, Part) else named
+            out.append(Block(content, len(content.split()), linked, other or aside is True, main is not None))
+            within.append((named, main))
         parts.clear()
         linked = 0
 
@@ -106,13 +146,36 @@ def blocks(html: str) -> list[Block]:
                     break
             depth = 0
             continue
-        other, main = stack[-1][1:] if stack else (False, False)
+        other, named, main = stack[-1][1:] if stack else (False, None, None)
+        found = _other_part(tag, token[4] or "", main is not None)
+        if isinstance(found, Part):
+            found.outer, found.inside = named, main is not None
+            found.reply |= named is not None and named.reply
+            named_parts.append(found)
         if tag == "p":  # paragraphs are often left open, so they are no part of the stack
-            aside = _is_other(tag, token[4] or "", main)
+            aside = found
         else:
-            stack.append((tag, other or _is_other(tag, token[4] or "", main), main or tag in MAIN))
+            part = found if isinstance(found, Part) else named
+            stack.append((tag, other or found is True, part, main or (Part() if tag in MAIN else None)))
     text(html[at:])
     flush()
+    total = 0
+    for block, (named, main) in zip(out, within):
+        if not block.other and not (named and named.reply):
+            total += block.words
+            for part in (named, main):
+                if part:
+                    part.words += block.words
+    for part in reversed(named_parts):
+        if part.outer:
+            part.outer.words += part.words
+    for part in named_parts:
+        other = not (part.layout and 2 * part.words > total)
+        part.other = other or part.outer is not None and part.outer.other
+        part.other_main = other and (part.inside or part.reply) or part.outer is not None and part.outer.other_main
+    for block, (named, main) in zip(out, within):
+        if named:
+            block.other |= named.other_main if main and 2 * main.words > total else named.other
     return out
 
 
@@ -212,7 +275,7 @@ def _judge(node, row: tuple) -> bool:
 def main_text(html: str, node) -> str:
     """The blocks that the tree takes for the article, joined by an empty line."""
     found = blocks(html)
-    marked = any(b.main for b in found)
+    marked = any(b.main and not b.other for b in found)
     shape = [(0, 0.0), *((b.words, b.linked / b.words) for b in found), (0, 0.0)]
     kept = []
     for i, b in enumerate(found):
