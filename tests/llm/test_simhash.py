@@ -104,3 +104,14 @@ def test_one_of_each_group_stays(spark):
     rows = [(5, text), (3, text), (9, text + " tail"), (1, prose(12, 300)), (None, text)]
     out = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.doc_id for r in out.collect()} == {1, 3, None}
+
+
+def test_one_row_of_repeated_ids_stays(spark):
+    text, other = prose(11, 300), prose(12, 300)
+    rows = [(3, text, "a"), (3, text, "b"), (5, text, "c"), (5, other, "d"), (3, text + " tail", "e"), (7, None, "f"), (7, "", "g"), (8, "", "h")]
+    out = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string, k string")).collect()
+    # one of id 3, the other text of id 5, one of the empty texts
+    assert sorted(r.doc_id for r in out) == [3, 5, 7]
+    assert {r.text for r in out if r.doc_id == 5} == {other}
+    assert S.keep_one(odd_docs(spark)).columns == odd_docs(spark).columns
+    assert S.keep_one(empty_docs(spark)).count() == 0

@@ -203,7 +203,26 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", rad
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its group; rows without an id stay."""
-    found = near_duplicates(docs, id, text, radius)
-    dropped = found.filter(F.col(id) != F.col("component_id")).select(id).distinct()
-    return docs.join(dropped, id, "left_anti").select(*docs.columns)
+    """One row of ``docs`` for each group, of the least id in it; rows without an id stay.
+
+    An id may stand at several texts, and a text several times at one id: rows are known by id and a 128-bit
+    hash of the text, and of equal ones any stays.
+    """
+    rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    parts = [F.col("id"), F.xxhash64("t"), F.xxhash64(F.lit(1), "t")]
+    named = F.struct(*(c.alias(n) for c, n in zip(parts, "irs")))
+    keyed = rows.select(F.when(F.col("id").isNotNull(), named).alias("k"), "t")
+    found = stored(near_duplicates(keyed, "k", "t", radius).filter("k is not null").groupBy("k", "component_id").count())
+    least = F.col("k") == F.col("component_id")
+    several = found.filter(least & (F.col("count") > 1)).select("k.*")
+    gone = found.filter(~least | (F.col("count") > 1)).select("k.*")
+
+    free = "k" * (1 + max(map(len, docs.columns)))  # no column has this name
+    names = [f"{free}{n}" for n in "irs"]
+    content = F.coalesce(F.col(text), F.lit(""))
+    marked = docs.withColumns(dict(zip(names, [F.col(id), F.xxhash64(content), F.xxhash64(F.lit(1), content)])))
+    stay = marked.join(gone.toDF(*names), names, "left_anti")
+    if several.isEmpty():
+        return stay.select(*docs.columns)
+    again = marked.join(several.toDF(*names), names, "left_semi").dropDuplicates(names)
+    return stay.unionByName(again).select(*docs.columns)
