@@ -70,3 +70,13 @@ def test_probes_and_bound_lose_nothing():
     for q, m in zip(*np.nonzero(linked)):
         assert probes[q, lists[m]]
         assert index.approximate(unit[q : q + 1], lists[m], codes[m : m + 1])[0, 0] <= index.reach + error[m] + V._EPS
+
+
+def test_probes_at_few_effective_dimensions():
+    for rank in (3, 4, 8):
+        rng = np.random.default_rng(rank)
+        x = V._unit(rng.normal(size=(3000, rank)) @ rng.normal(size=(rank, 64)))
+        index = V.train(x, 12_000, 0.95)
+        lists = V._nearest(x, index.centres)
+        a, b = np.nonzero(x @ x.T >= 0.95)
+        assert index.probes(x, lists)[a, lists[b]].mean() > 0.999, rank

@@ -54,6 +54,7 @@ class Index:
     books: list[np.ndarray]
     cuts: list[tuple[int, int]]
     reach: float  # distance of unit vectors at the threshold
+    shapes: list[np.ndarray]  # covariances of trace one that a difference may have
 
     def encode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """List, codes, and how far the decoded vector is from the vector."""
@@ -68,11 +69,18 @@ class Index:
 
     def probes(self, unit: np.ndarray, lists: np.ndarray) -> np.ndarray:
         """Which lists may hold a vector within reach. That one lies on the other side of the plane between two
-        centres, so the query is no farther from the plane than the difference goes across it: its length by
-        the root of the dimensions is one standard deviation, ``DEVIATIONS`` of them are searched."""
-        margin = self.reach * min(1.0, DEVIATIONS / math.sqrt(unit.shape[1]))
+        centres, so the query is no farther from the plane than the difference goes across it: ``DEVIATIONS``
+        times its standard deviation there are searched."""
         squared = _squared(unit, self.centres)
-        gap = np.sqrt(_squared(self.centres, self.centres))[lists]
+        apart = _squared(self.centres[lists], self.centres)
+        gap = np.sqrt(apart)
+        # at least that of a random direction; vectors of few effective dimensions have few directions to go
+        spread = np.full_like(apart, 1 / unit.shape[1])
+        for shape in self.shapes:
+            own = ((self.centres @ shape) * self.centres).sum(1)
+            across = own[lists][:, None] - 2 * (self.centres[lists] @ shape) @ self.centres.T + own
+            spread = np.maximum(spread, np.divide(across, apart, out=np.zeros_like(apart), where=apart > _EPS))
+        margin = self.reach * np.minimum(1.0, DEVIATIONS * np.sqrt(spread))
         nearer = squared - squared[np.arange(len(unit)), lists][:, None]
         return nearer <= 2 * margin * gap + _EPS
 
@@ -86,6 +94,11 @@ class Index:
         return np.sqrt(total)
 
 
+def _shapes(*tables: np.ndarray) -> list[np.ndarray]:
+    found = [x.T @ x for x in (t - t.mean(0) for t in tables)]
+    return [c / np.trace(c) for c in found if np.trace(c) > _EPS]
+
+
 def train(sample: np.ndarray, count: int, threshold: float) -> Index:
     """An index of as many lists as the square root of the ``count`` of vectors, up to ``MAX_LISTS``."""
     lists = max(1, min(MAX_LISTS, round(math.sqrt(count)), len(sample)))
@@ -94,7 +107,8 @@ def train(sample: np.ndarray, count: int, threshold: float) -> Index:
     bounds = np.linspace(0, sample.shape[1], min(SUBSPACES, sample.shape[1]) + 1).astype(int).tolist()
     cuts = list(zip(bounds, bounds[1:]))
     books = [_kmeans(rest[:, a:b], CODES) for a, b in cuts]
-    return Index(centres, books, cuts, math.sqrt(max(0.0, 2 - 2 * threshold)))
+    reach = math.sqrt(max(0.0, 2 - 2 * threshold))
+    return Index(centres, books, cuts, reach, _shapes(sample, rest))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
