@@ -8,7 +8,7 @@ from tests.conftest import DATA
 from tests.test_catalog import TABLES, table
 
 NAMES = [n for n in entry_point.queries() if n.startswith("op")]
-ROWS = {"op6": ("embeddings", 0), "op7": ("(SELECT DISTINCT conv_id FROM conversations)", 1), "op8": ("pages", 0)}
+ROWS = {"op6": ("embeddings", 0), "op7": ("(SELECT DISTINCT conv_id FROM conversations)", 1), "op8": ("pages", 0), "op13": ("embeddings, range(16)", 0)}
 ROWS_ELSE = ("documents", 0)
 
 

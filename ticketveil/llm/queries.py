@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html, infill, licenses, linededup, sharding, simhash, toxicity, vectors
+from . import bpe, chat, decontaminate, html, infill, licenses, linededup, sharding, simhash, toxicity, vectors, whitening
 from .common import table
 
 
@@ -189,6 +189,10 @@ FROM parts
 """
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -201,6 +205,7 @@ QUERIES = {
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_decontamination": op10_decontamination,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLES = {
