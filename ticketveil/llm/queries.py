@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html, infill, licenses, linededup, sharding, simhash, toxicity, vectors, whitening
+from . import bpe, chat, decontaminate, html, infill, licenses, linededup, sharding, simhash, substrings, toxicity, vectors, whitening
 from .common import table
 
 
@@ -157,6 +157,44 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"), length=50)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP11_SQL = """
+WITH docs AS (
+  SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x, strlen(coalesce(text, '')) AS n_bytes FROM documents
+), cut AS (
+  SELECT doc_id, c * 512 AS base, substr(x, c * 1024 + 1, 1024 + 98) AS part
+  FROM (SELECT doc_id, x, unnest(range(0, n_bytes // 512 + 1)) AS c FROM docs)
+), windows AS (
+  SELECT doc_id, base + i AS p, substr(part, 2 * i + 1, 100) AS w
+  FROM (SELECT *, unnest(range(0, least(512, len(part) // 2 - 49))) AS i FROM cut WHERE len(part) >= 100)
+), least AS (
+  SELECT w, min(doc_id) AS d FROM windows GROUP BY w HAVING min(doc_id) < max(doc_id)
+), hits AS (
+  SELECT DISTINCT windows.doc_id, p FROM windows JOIN least ON windows.w = least.w AND windows.doc_id > least.d
+), islands AS (
+  SELECT doc_id, p, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS k
+  FROM (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS opens FROM hits)
+), spans AS (
+  SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM islands GROUP BY doc_id, k
+), gaps AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM spans
+  UNION ALL SELECT doc_id, max(b), NULL FROM spans GROUP BY doc_id
+), kept AS (
+  SELECT g.doc_id, string_agg(substr(x, 2 * a + 1, 2 * (coalesce(b, n_bytes) - a)), '' ORDER BY a) AS x
+  FROM gaps g JOIN docs USING (doc_id) GROUP BY g.doc_id
+), removed AS (
+  SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id
+)
+SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept.x, docs.x))) AS kept_sha256
+FROM docs LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(table(spark, sf_dir, "documents"))
 
@@ -204,6 +242,7 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
@@ -212,5 +251,6 @@ ORACLES = {
     "op1_line_dedup": OP1_SQL,
     "op4_license_scan": OP4_SQL,
     "op6_embedding_near_dedup": OP6_SQL,
+    "op11_suffix_dedup": OP11_SQL,
     "op12_fill_in_middle": OP12_SQL,
 }
