@@ -68,7 +68,7 @@ def test_other_lengths(spark):
     rows = [(i % 10**6, t) for i, t in passages(3, 60)]
     df = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
     assert S.remove_repeats(df).schema["doc_id"].dataType == df.schema["doc_id"].dataType
-    for length in (24, 100):
+    for length in (32, 100):
         check(df, length)
     with pytest.raises(ValueError):
         S.remove_repeats(df, length=10)

@@ -1,7 +1,7 @@
 """Long byte strings that repeat across documents are removed, found by two-stage suffix sorting.
 
 Suffixes are sorted in groups that no match can straddle. In every window of ``length`` bytes the least hash of its
-16-byte strings is the window's anchor, so equal windows have equal anchors. Windows next to each other with one anchor
+24-byte strings is the window's anchor, so equal windows have equal anchors. Windows next to each other with one anchor
 are one stretch of text. Only stretches whose anchor stands in several documents are sorted; sorting brings equal
 windows together, and each learns the least document that has it.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import fits, stored, utf8
 
 #: Bytes of an anchor; bytes of texts in a block; positions that are hashed together.
-GRAM, BLOCK, SLICE = 16, 4 << 20, 1 << 18
+GRAM, BLOCK, SLICE = 24, 4 << 20, 1 << 18
 #: Anchors of a bucket that are compared together, on average.
 BUCKET = 500_000
 #: Bytes of stretches with one anchor that are sorted together; with more, each window is a group of its own.
@@ -458,7 +458,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
 
     Texts are put into blocks, which are stored compressed. Blocks send anchors (8 bytes or less) and the stretches of
     shared ones, each distinct one once, so copies and hot passages are merged before they are shuffled; they get
-    back which windows are repeated. ``length`` is at least 24.
+    back which windows are repeated. ``length`` is at least 32.
     """
     if length < GRAM + 8:
         raise ValueError(f"length has to be {GRAM + 8} at least")
