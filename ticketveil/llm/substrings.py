@@ -27,6 +27,8 @@ GRAM, BLOCK, SLICE = 24, 4 << 20, 1 << 18
 BUCKET = 500_000
 #: Bytes of stretches with one anchor that are sorted together; with more, each window is a group of its own.
 CROWD = 1 << 20
+#: Rows of stretches whose suffixes are sorted together, in whole anchors.
+TOGETHER = 2500
 #: Crowded anchors that may be broadcast, 8 bytes each. More are joined by a shuffle.
 BROADCAST_ANCHORS = 100_000
 #: Symbols in a word of the suffix sort: bytes from 1 on, 0 ends a stretch; nine bits each.
@@ -404,8 +406,8 @@ def _sorted_windows(length: int):
             if held:
                 new = {n: held[n] + new[n] if n == "content" else np.concatenate((held[n], new[n])) for n in new}
             whole = int(np.searchsorted(new["key"], new["key"][-1])) if len(new["key"]) else 0
-            if whole:
-                yield from solve({n: c[:whole] for n, c in new.items()})
+            for a, b in _whole_keys(new["key"][:whole]):
+                yield from solve({n: c[a:b] for n, c in new.items()})
             held = {n: c[whole:] for n, c in new.items()} if len(new["key"]) else None
         if held:
             yield from solve(held)
@@ -413,6 +415,15 @@ def _sorted_windows(length: int):
     return run
 
 
+def _whole_keys(keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of ``TOGETHER`` rows or more that end with a key's last row."""
+    a, ends = 0, np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys))
+    while a < len(keys):
+        b = int(ends[min(np.searchsorted(ends, a + TOGETHER), len(ends) - 1)])
+        yield a, b
+        a = b
+
+
 def _adjacent_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same for single windows in the order of content and least id: the first of equal ones has the least id."""
     before, least = None, 0
