@@ -8,8 +8,11 @@ from ticketveil.functions import patterns as P
 from ticketveil.functions import redaction as R
 from ticketveil.functions.text import let
 from ticketveil.operators import lines as L
+from ticketveil.operators import parts as T
 from ticketveil.operators import redaction as O
-from ticketveil.plans import redact_pages
+from ticketveil.operators.assemble import joined_in_order
+from ticketveil.operators.documents import assemble_pages
+from ticketveil.plans import redact_page_parts, redact_pages, stored
 from ticketveil.sources import write_redacted
 
 from . import derived as D
@@ -140,19 +143,92 @@ def redacted_pages(spark, d):
     return redact_pages(turns).select("doc_id", "redacted_text", "stats.*")
 
 
+PAGES_BASE = (
+    "corpus AS (SELECT conv_id AS doc_id, 'page' AS kind, coalesce(string_agg(text, '\n' ORDER BY turn) "
+    "FILTER (text <> ''), '') AS t FROM conversations GROUP BY conv_id)"
+)
 add(
     "e1_pages_to_redacted_text",
     redacted_pages,
     S.with_(
-        [
-            "corpus AS (SELECT conv_id AS doc_id, 'page' AS kind, coalesce(string_agg(text, '\n' ORDER BY turn) "
-            "FILTER (text <> ''), '') AS t FROM conversations GROUP BY conv_id)",
-            *NORMALIZED,
-            *S.redaction_ctes("normal"),
-        ],
+        [PAGES_BASE, *NORMALIZED, *S.redaction_ctes("normal")],
         f"SELECT doc_id, t AS redacted_text, {ALL_COUNTS} FROM done",
     ),
 )
+
+
+# --- documents in parts -------------------------------------------------------------------
+
+PIECE_CHARS = 700
+PART_SIZES = (1, 2, 7)
+
+
+def whole(parts, text):
+    """The parts of each document one after the other."""
+    return joined_in_order(parts, "doc_id", "part", text, "").drop("n")
+
+
+def _store(spark, name):
+    return lambda df: stored(df, name, D.new_folder(spark, name))
+
+
+def normalized_parts(spark, d):
+    """The corpus cut into pieces at any character."""
+    pieces = T.cut_text(D.corpus(spark, d), PIECE_CHARS)
+    return whole(T.normalize_parts(pieces, store=_store(spark, "joined")), "text")
+
+
+add(
+    "l9_normalize_parts",
+    normalized_parts,
+    S.with_([BASE, *NORMALIZED], "SELECT doc_id, t AS text FROM normal"),
+)
+
+
+def normalized_page_parts(spark, d):
+    """Documents of pages in parts of one, two and seven pages."""
+    pages = D.derive(spark, d, "conversations", {"doc_id": "conv_id", "page_no": "turn", "text": "text"})
+    found = None
+    for size in PART_SIZES:
+        parts = T.normalize_parts(assemble_pages(pages, pages_per_part=size), sep="\n")
+        one = whole(parts, "text").withColumn("pages_per_part", F.lit(size))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+add(
+    "l9_normalize_page_parts",
+    normalized_page_parts,
+    S.with_(
+        [PAGES_BASE, *NORMALIZED],
+        f"SELECT doc_id, t AS text, unnest({list(PART_SIZES)})::INTEGER AS pages_per_part FROM normal",
+    ),
+)
+
+
+def _whole_with_counts(parts):
+    return whole(parts, "redacted_text").join(T.part_stats(parts), "doc_id")
+
+
+def redacted_parts(spark, d):
+    """The corpus cut into pieces at any character, redacted piece by piece."""
+    return _whole_with_counts(_store(spark, "parts")(T.redact_parts(T.cut_text(D.corpus(spark, d), PIECE_CHARS))))
+
+
+add(
+    "r13_redact_parts",
+    redacted_parts,
+    S.with_([BASE, *S.redaction_ctes("corpus")], f"SELECT doc_id, t AS redacted_text, {ALL_COUNTS} FROM done"),
+)
+
+
+def redacted_page_parts(spark, d):
+    turns = D.derive(spark, d, "conversations", {"doc_id": "conv_id", "page_no": "turn", "text": "text"})
+    parts = redact_page_parts(turns, pages_per_part=2, store=_store(spark, "parts"))
+    return _whole_with_counts(_store(spark, "parts")(parts))
+
+
+add("e1_page_parts_to_redacted_text", redacted_page_parts, ORACLES["e1_pages_to_redacted_text"])
 add(
     "r12_redaction_stats",
     lambda spark, d: O.redaction_stats(D.spread_table(spark, d, "documents")),

@@ -58,14 +58,15 @@ def join_wrapped_lines(text: Column) -> Column:
     return let(rows, lambda r: F.array_join(F.transform(r, piece(r)), ""))
 
 
-def field_group_breaks(joined: Column) -> Column:
+def field_group_breaks(joined: Column, last: Column | None = None) -> Column:
     """Empty line after each line that starts with one of the listed labels, unless the next
-    line is blank."""
-    pattern = (
-        rf"(?md)^({P.INLINE_SPACE}*(?:{P.any_of(P.BREAK_AFTER_LABELS)})[^\n]*)"
-        rf"(?=\n{P.INLINE_SPACE}*{P.NOT_SPACE}|\z)"
-    )
-    return F.regexp_replace(joined, pattern, "$1\n")
+    line is blank. Where ``last`` is false more text follows, and the last line is left as it is."""
+    line = rf"(?md)^({P.INLINE_SPACE}*(?:{P.any_of(P.BREAK_AFTER_LABELS)})[^\n]*)"
+    before = rf"\n{P.INLINE_SPACE}*{P.NOT_SPACE}"
+    whole = F.regexp_replace(joined, rf"{line}(?={before}|\z)", "$1\n")
+    if last is None:
+        return whole
+    return F.when(last, whole).otherwise(F.regexp_replace(joined, rf"{line}(?={before})", "$1\n"))
 
 
 def _rewrite(text: Column, hint: str, pattern: str, replacement: str) -> Column:
@@ -96,13 +97,22 @@ def break_before_labels(text: Column) -> Column:
     return _rewrite(text, ":", pattern, "\n$1")
 
 
-def break_value_label(text: Column) -> Column:
-    """Line break between some known values and the label that follows; six ordered rules."""
+def break_value_label(text: Column, open_value: Column | None = None) -> Column:
+    """Line break between some known values and the label that follows; six ordered rules.
 
+    One of the values reaches up to the next colon. ``open_value`` tells, for a text that is the continuation of
+    another, that this value stands in the other one after its last colon."""
 
     def chain(t: Column) -> Column:
         for value, label, first in P.VALUE_LABEL_RULES:
-            t = _rewrite(t, label, rf"(?=[{first}])({value}){P.SPACE}+({label})", "$1\n$2")
+            pattern = rf"(?=[{first}])({value}){P.SPACE}+({label})"
+            plain = _rewrite(t, label, pattern, "$1\n$2")
+            if open_value is None or label != P.OPEN_VALUE_LABEL:
+                t = plain
+            else:
+                before = P.OPEN_VALUE + " "
+                full = _rewrite(F.concat(F.lit(before), t), label, pattern, "$1\n$2")
+                t = F.when(open_value, F.substr(full, F.lit(len(before) + 1))).otherwise(plain)
         return t
 
     return let(text, lambda t: F.when(t.contains(":"), chain(t)).otherwise(t))

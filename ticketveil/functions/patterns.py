@@ -232,6 +232,9 @@ VALUE_LABEL_RULES = (
     (r"Network Services|[A-Z][a-z]+ [A-Z][a-z]+", "Category:", "A-Z"),
 )
 
+# The value that reaches over any text up to the next colon, and its label.
+OPEN_VALUE, OPEN_VALUE_LABEL = "Delaware North", "Urgency:"
+
 CODE_TAG = r"\[/?code\]"
 BOLD_TAG = r"</?b>"
 BREAK_TAG = rf"(?i)<br{SPACE}*/?>"

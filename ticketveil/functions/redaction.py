@@ -252,7 +252,12 @@ def names_seen(text: Column) -> Column:
     return let(break_value_label(break_before_labels(text)), lambda t: chain(t, P.KINDS))
 
 
-def redact(text: Column, terms: PreserveTerms = DEFAULT_TERMS, kept: Column | None = None) -> Column:
+def redact(
+    text: Column,
+    terms: PreserveTerms = DEFAULT_TERMS,
+    kept: Column | None = None,
+    open_value: Column | None = None,
+) -> Column:
     """Label breaks and all ten stages, each on the result of the one before.
 
     Returns ``struct(redacted_text, stats)``. The chain is one expression in which each
@@ -279,7 +284,8 @@ def redact(text: Column, terms: PreserveTerms = DEFAULT_TERMS, kept: Column | No
 
         return let(run_stage(t, kind, terms, kept), then)
 
-    return let(break_value_label(break_before_labels(text)), lambda t: chain(t, P.KINDS, {}))
+    broken = break_value_label(break_before_labels(text), open_value)
+    return let(broken, lambda t: chain(t, P.KINDS, {}))
 
 
 # --- single stages: text in, text out ----------------------------------------------------
