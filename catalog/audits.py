@@ -215,10 +215,12 @@ add("a9_audit_history", history, S.with_([BASE, *HISTORY], "SELECT * FROM histor
 
 
 def history_round_trip(spark, d):
-    """The history appended in two runs and read again."""
+    """The history appended in two runs, the second one once more after a part of it, and read again."""
     rows, path = history(spark, d), D.new_folder(spark, "history")
-    for part in (0, 1):
-        append_history(rows.filter(F.pmod(F.xxhash64("file"), F.lit(2)) == part), path)
+    half = F.pmod(F.xxhash64("file"), F.lit(2))
+    append_history(rows.filter(half == 0), path, "run-0")
+    append_history(rows.filter((half == 1) & (F.col("pass") > 5)), path, "run-1")
+    append_history(rows.filter(half == 1), path, "run-1")
     return read_history(spark, path, rows.schema["timestamp"].dataType.simpleString())
 
 

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from ticketveil.functions import errors as E
 from ticketveil.functions import prompts as P
 from ticketveil.functions.text import clip
+from ticketveil.functions.times import epoch_micros
 from ticketveil.operators import monitor as M
 from ticketveil.operators import prompts as O
 from ticketveil.operators import reuse as C
+from ticketveil.sources import merge_cache, read_cache
 
 from . import derived as D
 from . import sqltext as S
@@ -300,6 +302,36 @@ add(
     lambda spark, d: C.cache_expire(cache(spark, d), NOW_MICROS),
     S.with_([CALLS_SQL, CACHE_SQL], f"SELECT * FROM cache WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 24 HOUR"),
 )
+
+
+KEPT_TS = (
+    "cast('2001-07-' || cast(28 + o_orderkey % 4 as string) || ' ' || lpad(cast(o_orderkey * 7 % 24 as string), 2, '0') "
+    "|| ':00:00' as {})"
+)
+KEPT_NOW, KEPT_NOW_MICROS, DAY_MICROS = "2001-07-31 12:00:00", 996580800000000, 86_400_000_000
+
+
+def kept_cache(spark, d):
+    """The cache kept over three runs, a day apart, the last of which is made twice."""
+    path = D.new_folder(spark, "cache")
+    found = D.derive(spark, d, "orders", {**CALLS, "ts": KEPT_TS.format("timestamp_ntz")})
+    found = found.withColumn("key", C.cache_key(F.col("text"), F.col("audit_type"), F.col("model")))
+    before = KEPT_NOW_MICROS - epoch_micros(found, "ts")
+    for days in (2, 1, 0, 0):
+        come = before >= days * DAY_MICROS if days else F.lit(True)
+        run = found.filter(come & (before < (days + 1) * DAY_MICROS if days < 2 else F.lit(True)))
+        merge_cache(run, path, KEPT_NOW_MICROS - days * DAY_MICROS, "id")
+    return read_cache(spark, path, KEPT_NOW_MICROS, "timestamp_ntz")
+
+
+add(
+    "c4_kept_cache",
+    kept_cache,
+    S.with_(
+        [CALLS_SQL.replace(CALLS["ts"], KEPT_TS.format("timestamp")), CACHE_SQL],
+        f"SELECT * FROM cache WHERE ts >= TIMESTAMP '{KEPT_NOW}' - INTERVAL 24 HOUR",
+    ),
+)
 ENTRIES = {
     "key": "'d' || cast(doc_id as string)",
     "content": "text",

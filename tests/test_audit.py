@@ -73,7 +73,7 @@ def test_findings(spark):
 
 
 def test_history_row(spark, tmp_path):
-    from ticketveil.sources import append_history
+    from ticketveil.sources import append_history, read_history
 
     df = spark.createDataFrame(
         [(JSON.replace("q12", "q9").replace("N/A", "FAIL"), "a", "m", "f.pdf")],
@@ -84,9 +84,16 @@ def test_history_row(spark, tmp_path):
     assert (row["pass"], row.fail, row.na, row.answered, row.applicable) == (1, 2, 0, 3, 13)
     assert (row.compliance_pct, row.fails) == ("33.33", "Q3|Q9")
     path = str(tmp_path / "history")
-    append_history(history, path)
-    append_history(history, path)
-    assert spark.read.option("header", True).csv(path).count() == 2
+    append_history(history, path, "a")
+    append_history(history, path, "2024-01-01")
+    append_history(history, path, "a")  # once more
+    rows = read_history(spark, path, "string", run=True).collect()
+    assert sorted(r.run for r in rows) == ["2024-01-01", "a"] and {r["pass"] for r in rows} == {1}
+    assert read_history(spark, path, "string").schema.names == history.schema.names
+    append_history(history.limit(0), path, "a")
+    assert [r.run for r in read_history(spark, path, "string", run=True).collect()] == ["2024-01-01"]
+    with pytest.raises(ValueError):
+        append_history(history, path, "a/b")
 
 
 def test_strip_summary_line(spark):

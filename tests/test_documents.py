@@ -114,3 +114,16 @@ def test_two_streams_share_nothing(spark, tmp_path):
 
 def test_stored_needs_a_folder(spark, tmp_path):
     assert plans.stored(spark.range(3), "own", str(tmp_path)).count() == 3
+
+
+@pytest.mark.parametrize("format", ["csv", "json"])
+def test_read_documents_keeps_columns(spark, tmp_path, format):
+    from ticketveil.sources import read_documents
+
+    path = str(tmp_path / format)
+    df = spark.createDataFrame([("en", 'two\n"lines"', "a", 3), ("de", "ü, x", "b", None)], "lang string, body string, name string, n int")
+    (df.write.options(header=True, escape='"') if format == "csv" else df.write).format(format).save(path)
+    got = read_documents(spark, path, format, id="name", text="body", keep=("lang", "n int"))
+    assert got.dtypes == [("doc_id", "string"), ("text", "string"), ("lang", "string"), ("n", "int")]
+    assert sorted(map(tuple, got.collect())) == [("a", 'two\n"lines"', "en", 3), ("b", "ü, x", "de", None)]
+    assert read_documents(spark, path, format, id="name", text="body").columns == ["doc_id", "text"]

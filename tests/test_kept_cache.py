@@ -1,0 +1,86 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from ticketveil.operators import reuse as C
+from ticketveil.plans import stored
+from ticketveil.sources import expire_cache, merge_cache, read_cache
+
+DAY = 86_400_000_000
+START = 19_700 * DAY
+SCHEMA = "key string, response string, ts timestamp, id long"
+
+
+def responses(spark, rows):
+    df = spark.createDataFrame(rows, "key string, response string, at long, response_id long")
+    return df.select("key", "response", F.timestamp_micros("at").alias("ts"), "response_id")
+
+
+def rows_of(seed, n, low, high):
+    rng = random.Random(seed)
+    return [
+        (f"k{rng.randrange(60)}", rng.choice(["", "an error", *"abcdef"]) + f" {seed} {i}", rng.randrange(low, high) // 10**9 * 10**9, seed * n + i)
+        for i in range(n)
+    ]
+
+
+def at_once(spark, rows, now):
+    return {tuple(r) for r in C.cache_expire(C.cache_admit(responses(spark, rows)), now).collect()}
+
+
+def kept(spark, path, now):
+    return [tuple(r) for r in read_cache(spark, path, now).collect()]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_days_in_sequence(spark, tmp_path, shared_dir, seed):
+    """Runs over several days with late responses, each run made twice, equal all at once."""
+    path, seen = str(tmp_path / "cache"), []
+    for i in range(5):
+        now = START + (i + 1) * DAY - DAY // 3
+        new = rows_of(seed * 10 + i, 120, now - DAY - DAY // 2, now)
+        seen += new
+        for _ in range(2):
+            store = (lambda t: stored(t, "admitted", shared_dir)) if seed == 1 else None
+            merge_cache(responses(spark, new), path, now, store=store)
+            got = kept(spark, path, now)
+            assert len(got) == len({k for k, *_ in got}) and set(got) == at_once(spark, seen, now)
+    days = {p.name for p in (tmp_path / "cache").iterdir() if p.name.startswith("day=")}
+    assert len(days) <= 3
+
+
+def test_only_touched_days_are_written(spark, tmp_path):
+    path, now = str(tmp_path / "cache"), START + DAY // 2
+    merge_cache(responses(spark, [("a", "x", now - DAY + 10**9, 1), ("b", "x", now - 10**9, 2)]), path, now)
+    before = {p.name: [f.name for f in p.glob("part-*")] for p in (tmp_path / "cache").glob("day=*")}
+    assert len(before) == 2
+    assert len(merge_cache(responses(spark, [("c", "x", now, 3)]), path, now)) == 1
+    after = {p.name: [f.name for f in p.glob("part-*")] for p in (tmp_path / "cache").glob("day=*")}
+    assert [d for d in before if before[d] != after[d]] == [max(before)]
+    # the last entry of a day moves to another one
+    merge_cache(responses(spark, [("a", "y", now + 1, 4)]), path, now)
+    assert {p.name for p in (tmp_path / "cache").glob("day=*")} == {max(before)}
+    assert {k for k, *_ in kept(spark, path, now)} == {"a", "b", "c"}
+    # late and unfit responses change nothing
+    assert merge_cache(responses(spark, [("a", "z", now - 5, 5), ("b", "failed", now + 9, 6)]), path, now) == []
+    assert expire_cache(spark, path, now) == [] and len(expire_cache(spark, path, now + 3 * DAY)) == 1
+    assert kept(spark, path, now + 3 * DAY) == []
+
+
+def test_nothing_kept_and_nothing_new(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    assert read_cache(spark, path, START).collect() == []
+    assert merge_cache(responses(spark, []), path, START) == []
+    assert merge_cache(responses(spark, [("a", "x", START, 1)] * 3), path, START) == ["2023-12-09"]
+    assert len(kept(spark, path, START)) == 1
+
+
+def test_responses_are_not_sorted_to_find_the_newest(spark):
+    df = responses(spark, rows_of(3, 50, START, START + DAY)).unionAll(responses(spark, [("n", "x", None, 1), ("n", "y", None, 2)]))
+    got = {r.key: r.response for r in C.cache_admit(df).collect()}
+    assert got["n"] == "y"
+    plan = C.newest_admitted(df)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    first = plan[plan.rindex("max(struct") :]
+    assert "max(response" not in first

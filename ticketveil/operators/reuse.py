@@ -26,15 +26,26 @@ def cache_key(text: Column, audit_type: Column, model: Column) -> Column:
     return F.md5(F.concat_ws("_", F.substring(text, 1, KEY_CHARS), audit_type, model))
 
 
+def newest_admitted(responses: DataFrame, id: str = "response_id") -> DataFrame:
+    """``(key, response, ts, id)``: newest response per key, of equal times the greatest id, that is not empty and
+    reports no error.
+
+    Keys, times and ids alone are aggregated. A response is then fetched by them, without sorting: it moves through one
+    shuffle, dealt by key, time and id, so a hot key is spread. Rows that repeat all three are one."""
+    admitted = responses.filter((F.col("response") != "") & ~contains_any(F.lower("response"), NOT_CACHED)).select(
+        "key", "response", "ts", F.col(id).alias("id")
+    )
+    newest = admitted.groupBy("key").agg(F.max(F.struct("ts", "id")).alias("n")).select(
+        F.col("key").alias("k"), F.col("n.ts").alias("t"), F.col("n.id").alias("i")
+    )
+    same = (F.col("key") == F.col("k")) & F.col("ts").eqNullSafe(F.col("t")) & F.col("id").eqNullSafe(F.col("i"))
+    found = admitted.join(newest.hint("shuffle_hash"), same, "left_semi")
+    return found.dropDuplicates(["key", "ts", "id"])
+
+
 def cache_admit(responses: DataFrame, id: str = "response_id") -> DataFrame:
     """``(key, response, ts)``: newest response per key that is not empty and reports no error."""
-    lowered = F.lower("response")
-    return (
-        responses.filter((F.col("response") != "") & ~contains_any(lowered, NOT_CACHED))
-        .groupBy("key")
-        .agg(F.max(F.struct("ts", id, "response")).alias("newest"))
-        .select("key", "newest.response", "newest.ts")
-    )
+    return newest_admitted(responses, id).select("key", "response", "ts")
 
 
 def cache_lookup(requests: DataFrame, cache: DataFrame, now_micros: int | Column) -> DataFrame:

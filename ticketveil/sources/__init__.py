@@ -1,5 +1,6 @@
 """Reading and writing the tables of the engine."""
 
+from .cache import expire_cache, merge_cache, read_cache
 from .tables import (
     append_history,
     read_documents,
@@ -12,6 +13,9 @@ from .tables import (
 
 __all__ = [
     "append_history",
+    "expire_cache",
+    "merge_cache",
+    "read_cache",
     "read_documents",
     "read_history",
     "spread",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,19 +17,27 @@ def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def read_documents(
-    spark: SparkSession, path: str, format: str = "parquet", id: str = "doc_id", text: str = "text"
+    spark: SparkSession,
+    path: str,
+    format: str = "parquet",
+    id: str = "doc_id",
+    text: str = "text",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """``(doc_id, text, ...)``. For ``text`` each file is one document, named by its path; ``csv``
-    and ``json`` hold both columns, read as strings without inference."""
+    and ``json`` hold both columns and those of ``keep`` (each a name, or a name and a type), read without inference,
+    as strings unless a type is given. The columns of a csv file are told by its header, in any order."""
     if format == "text":
         return spark.read.text(path, wholetext=True).select(
             F.input_file_name().alias("doc_id"), F.col("value").alias("text")
         )
     if format in ("csv", "json"):
-        reader = spark.read.schema(f"`{id}` string, `{text}` string")
+        wanted = {id: "string", text: "string"} | {c.split()[0]: " ".join(c.split()[1:]) or "string" for c in keep}
         if format == "csv":
-            reader = reader.options(header=True, multiLine=True, escape='"')
-        df = reader.format(format).load(path)
+            read = spark.read.options(header=True, multiLine=True, escape='"').csv(path)
+            df = read.select(*(F.col(f"`{c}`").cast(kind).alias(c) for c, kind in wanted.items()))
+        else:
+            df = spark.read.schema(", ".join(f"`{c}` {kind}" for c, kind in wanted.items())).json(path)
     else:
         df = spark.read.format(format).load(path)
     if id != "doc_id":
@@ -41,17 +51,28 @@ def write_redacted(redacted: DataFrame, path: str, partition_by: tuple[str, ...]
     flat.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
-def append_history(history: DataFrame, path: str) -> None:
-    """Append history rows. The header line goes into every part file."""
-    history.select(*HISTORY_COLUMNS).write.mode("append").option("header", True).csv(path)
+def append_history(history: DataFrame, path: str, run: str) -> None:
+    """Add the history rows of a run. A run that is repeated, by a retry or after a failure, takes the place of its rows.
+
+    Each run is a partition of the table; the header line goes into every part file."""
+    if not re.fullmatch(r"[\w.-]+", run, re.ASCII):
+        raise ValueError("a run is named by letters, digits, dots, dashes and underscores")
+    rows = history.select(*HISTORY_COLUMNS).withColumn("run", F.lit(run))
+    if rows.isEmpty():  # no row would leave the partition as it is
+        rows.drop("run").write.mode("overwrite").option("header", True).csv(f"{path}/run={run}")
+        return
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run")
+    writer.option("header", True).csv(path)
 
 
-def read_history(spark: SparkSession, path: str, timestamp: str = "timestamp") -> DataFrame:
-    """The rows that ``append_history`` wrote; empty texts stay empty. ``timestamp`` is the type of that column."""
+def read_history(spark: SparkSession, path: str, timestamp: str = "timestamp", run: bool = False) -> DataFrame:
+    """The rows that ``append_history`` wrote; empty texts stay empty. ``timestamp`` is the type of that column; with
+    ``run`` there is one more that names the run."""
     whole = ("pass", "fail", "na", "answered", "applicable")
     kinds = {"timestamp": timestamp} | {c: "int" for c in whole}
-    schema = ", ".join(f"`{c}` {kinds.get(c, 'string')}" for c in HISTORY_COLUMNS)
-    return spark.read.schema(schema).options(header=True, nullValue="\x00", emptyValue="").csv(path)
+    schema = ", ".join(f"`{c}` {kinds.get(c, 'string')}" for c in (*HISTORY_COLUMNS, "run"))
+    rows = spark.read.schema(schema).options(header=True, nullValue="\x00", emptyValue="").csv(path)
+    return rows if run else rows.drop("run")
 
 
 def write_bundle(bundle: DataFrame, path: str) -> None:
