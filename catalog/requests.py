@@ -11,6 +11,7 @@ from ticketveil.functions.times import epoch_micros
 from ticketveil.operators import monitor as M
 from ticketveil.operators import prompts as O
 from ticketveil.operators import reuse as C
+from ticketveil.plans import stored
 from ticketveil.sources import merge_cache, read_cache
 
 from . import derived as D
@@ -182,6 +183,10 @@ EVENT_LIMITS = {"view": (1, 3000), "click": (2, 5000)}
 DAY_LIMITS = {"1-URGENT": (2, 20000), "2-HIGH": (3, 9000)}
 
 
+def _instants(spark):
+    return lambda df: stored(df, "instants", D.new_folder(spark, "instants"))
+
+
 def requests_sql(mapping: dict[str, str], source: str) -> str:
     return f"requests AS (SELECT {D.columns(mapping)} FROM {source})"
 
@@ -217,22 +222,22 @@ def breaches_sql(mapping, source, limits) -> str:
 
 add(
     "p8_window_usage",
-    lambda spark, d: O.window_usage(D.derive(spark, d, "events", REQUESTS), EVENT_LIMITS),
+    lambda spark, d: O.window_usage(D.derive(spark, d, "events", REQUESTS), EVENT_LIMITS, store=_instants(spark)),
     usage_sql(REQUESTS, "events", EVENT_LIMITS),
 )
 add(
     "p8_window_usage_daily",
-    lambda spark, d: O.window_usage(D.derive(spark, d, "orders", DAILY), DAY_LIMITS),
+    lambda spark, d: O.window_usage(D.derive(spark, d, "orders", DAILY), DAY_LIMITS, store=_instants(spark)),
     usage_sql(DAILY, "orders", DAY_LIMITS),
 )
 add(
     "p9_limit_breaches",
-    lambda spark, d: O.limit_breaches(D.derive(spark, d, "events", REQUESTS), EVENT_LIMITS),
+    lambda spark, d: O.limit_breaches(D.derive(spark, d, "events", REQUESTS), EVENT_LIMITS, store=_instants(spark)),
     breaches_sql(REQUESTS, "events", EVENT_LIMITS),
 )
 add(
     "p9_limit_breaches_daily",
-    lambda spark, d: O.limit_breaches(D.derive(spark, d, "orders", DAILY), DAY_LIMITS),
+    lambda spark, d: O.limit_breaches(D.derive(spark, d, "orders", DAILY), DAY_LIMITS, store=_instants(spark)),
     breaches_sql(DAILY, "orders", DAY_LIMITS),
 )
 

@@ -10,6 +10,7 @@ from ticketveil.operators import monitor as M
 from ticketveil.operators import prompts as O
 from ticketveil.operators import reuse as C
 from ticketveil.operators import tickets as K
+from ticketveil.plans import stored
 
 START = datetime(2024, 1, 1)
 
@@ -56,7 +57,7 @@ def test_limit_breaches(requests):
 
 
 @pytest.mark.parametrize("kind", ["dense", "sparse", "string"])
-def test_limit_breaches_of_a_crowded_instant(spark, kind):
+def test_limit_breaches_of_a_crowded_instant(spark, shared_dir, kind):
     """One instant has most rows and is split, whatever the ids are; no window holds it whole."""
     rng = random.Random(3)
     ids = rng.sample(range(10**15), 400) if kind == "sparse" else rng.sample(range(400), 400)
@@ -70,10 +71,23 @@ def test_limit_breaches_of_a_crowded_instant(spark, kind):
         prior = [r for r in rows if r[2] >= ts - timedelta(seconds=60) and (r[2], r[0]) < (ts, i)]
         expected[i] = (len(prior), sum(r[3] for r in prior))
     assert got == expected
-    base = df.select("request_id", "model", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "tokens", O._place(df, "request_id").alias("place"))
-    sizes = O._with_parts(base, 20).groupBy("at", "part").count()
-    # strings cluster where their bytes do; still no part has most of the instant
-    assert sizes.agg(F.max("count")).first()[0] <= (100 if kind == "string" else 60)
+    base = df.select("request_id", "model", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "tokens")
+    crowded = base.groupBy("model", "at").count().filter("count > 20")
+    sizes = O._with_parts(base, crowded.drop("count"), 20).filter("part is not null").groupBy("at", "part").count()
+    assert sizes.count() == 15 and sizes.agg(F.max("count")).first()[0] <= 21
+    stored_too = O.limit_breaches(df, {"hot": (0, 1)}, rows_per_part=20, store=lambda t: stored(t, "instants", shared_dir))
+    assert {r.request_id: (r.prior_requests, r.prior_tokens) for r in stored_too.collect()} == expected
+
+
+def test_ids_with_a_common_beginning(spark):
+    """200,000 string ids at one instant: no range has more than twice its share."""
+    df = spark.range(200_000).selectExpr("format_string('request-%06d', id) AS request_id", "'hot' AS model", "0L AS at", "1L AS tokens")
+    crowded = df.select("model", "at").distinct()
+    sizes = [r["count"] for r in O._with_parts(df, crowded, 10_000).groupBy("part").count().collect()]
+    assert sum(sizes) == 200_000 and max(sizes) <= 20_000
+    requests = df.withColumn("ts", F.timestamp_micros("at"))
+    found = O.limit_breaches(requests, {"hot": (199_990, 10**9)}, rows_per_part=10_000)
+    assert sorted((r.request_id, r.prior_requests) for r in found.collect()) == [(f"request-{i}", i) for i in range(199_990, 200_000)]
 
 
 def test_longest_gaps(spark):

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import prompts as P
 from ..functions.times import epoch_micros, from_micros
@@ -13,8 +14,12 @@ Limits = dict | DataFrame | None
 WINDOW_MICROS = 60_000_000
 #: Length of the buckets that time is cut into, a part of the window.
 BUCKET_MICROS = 100_000
-#: Requests of one instant that are ordered together; an instant with more is split by its range of ids.
+#: Requests of one instant that are ordered together, about; an instant with more is split into ranges of ids.
 ROWS_PER_PART = 100_000
+#: Ids that are drawn for each such range, to find where the ranges end.
+DRAWN = 64
+#: Steps that find the range of an id among up to 2^24 of them.
+STEPS = 25
 
 
 def build_prompts(
@@ -156,9 +161,13 @@ def window_usage(
     model: str = "model",
     ts: str = "ts",
     tokens: str = "tokens",
+    store: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Usage in the trailing 60 seconds (both ends included) at every instant with a request."""
-    used, rpm, tpm = _limited(_trailing(_instants(requests, model, ts, tokens), 0), limits)
+    """Usage in the trailing 60 seconds (both ends included) at every instant with a request.
+
+    ``store`` (such as ``plans.stored`` with its folder) writes the sums per instant, which are read twice."""
+    instants = _instants(requests, model, ts, tokens)
+    used, rpm, tpm = _limited(_trailing(store(instants) if store else instants, 0), limits)
     return used.select(
         "model",
         from_micros(requests, ts, F.col("at")).alias("ts"),
@@ -173,32 +182,47 @@ def window_usage(
 def _slot(model: str = "model", at: str = "at", part: str = "part") -> Column:
     """One key for model, instant and id range. As one column it is what Spark partitions by;
     with three it may settle for model and instant, and gather a hot instant in one task."""
-    return F.concat_ws("|", F.col(part).cast("string"), F.col(at).cast("string"), F.col(model))
+    parts = (F.coalesce(F.col(part), F.lit(0)).cast("string"), F.col(at).cast("string"), F.col(model))
+    return F.concat_ws("|", *parts)
 
 
-def _place(requests: DataFrame, id: str) -> Column:
-    """A number in the order of the ids: whole numbers themselves, strings by their first seven bytes."""
-    if isinstance(requests.schema[id].dataType, T.StringType):
-        first = F.hex(F.substring(F.col(id).cast("binary"), 1, 7))
-        return F.conv(F.rpad(first, 14, "0"), 16, 10).cast("decimal(38,0)")
-    return F.col(id).cast("decimal(38,0)")
+def _ends(base: DataFrame, crowded: DataFrame, rows_per_part: int) -> DataFrame:
+    """``(model, at, ends)`` of crowded instants: ids that cut them into ranges of about ``rows_per_part`` requests.
 
-
-def _with_parts(base: DataFrame, rows_per_part: int) -> DataFrame:
-    """Adds ``part``. An instant of a model with more than ``rows_per_part`` requests is cut into equal ranges
-    between its own least and largest id, however sparse the ids are; all other instants are one part.
-    Only crowded instants are joined, and there is at most one for each ``rows_per_part`` requests."""
-    wide = F.col("n") > rows_per_part
-    crowded = base.groupBy("model", "at").agg(
-        F.count(F.lit(1)).alias("n"), F.min("place").alias("low"), F.max("place").alias("high")
-    )
-    crowded = crowded.filter(wide).select(
-        "model", "at", "low", (F.ceil(F.col("n") / rows_per_part) / (F.col("high") - F.col("low") + 1)).alias("scale")
-    )
-    part = F.floor((F.col("place") - F.col("low")).cast("double") * F.col("scale").cast("double"))
-    return base.join(crowded, ["model", "at"], "left").select(
-        "request_id", "model", "at", "tokens", F.coalesce(part, F.lit(0)).cast("long").alias("part")
+    They come from about ``DRAWN`` ids for each range, drawn by a hash, so the same ones are drawn each time, however the ids
+    are spread and whatever they begin with."""
+    one_of = max(1, rows_per_part // DRAWN)
+    drawn = base.filter(F.pmod(F.xxhash64("request_id"), F.lit(one_of)) == 0)
+    ids = drawn.join(crowded, ["model", "at"], "left_semi").groupBy("model", "at").agg(
+        F.sort_array(F.collect_list("request_id")).alias("ids")
     )
+    each = max(1, rows_per_part // one_of)
+    places = F.sequence(F.lit(each), F.size("ids") - 1, F.lit(each))
+    ends = F.transform(F.when(F.size("ids") > each, places).otherwise(F.array().cast("array<int>")), lambda i: F.get("ids", i))
+    return ids.select("model", "at", F.array_distinct(ends).alias("ends"))
+
+
+def _range_of(id: Column, ends: Column) -> Column:
+    """How many of the sorted ``ends`` are not greater than ``id``, by halving."""
+    start = F.struct(F.lit(0).alias("low"), F.size(ends).alias("high"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        within = s["low"] < s["high"]
+        up = within & F.coalesce(F.get(ends, middle) <= id, F.lit(False))
+        return F.struct(
+            F.when(up, middle + 1).otherwise(s["low"]).alias("low"),
+            F.when(within & ~up, middle).otherwise(s["high"]).alias("high"),
+        )
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, halve, lambda s: s["low"])
+
+
+def _with_parts(base: DataFrame, crowded: DataFrame, rows_per_part: int) -> DataFrame:
+    """Adds ``part``, the range of ids; null at instants that are not crowded."""
+    joined = base.join(_ends(base, crowded, rows_per_part), ["model", "at"], "left")
+    part = F.when(F.col("ends").isNotNull(), _range_of(F.col("request_id"), F.col("ends")))
+    return joined.select(*base.columns, part.alias("part"))
 
 
 def limit_breaches(
@@ -209,46 +233,44 @@ def limit_breaches(
     ts: str = "ts",
     tokens: str = "tokens",
     rows_per_part: int = ROWS_PER_PART,
+    store: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Requests that would not fit into the requests or tokens per minute of their model.
 
     What counts are the requests of the 60 seconds before: those of earlier instants, and those
     of the same instant with a smaller id, a whole number or a string. An instant may hold very many requests,
     so they are ordered within ranges of ids, on top of the totals of the ranges before.
+
+    ``store`` (such as ``plans.stored`` with its folder) writes the sums per instant. Where they show no crowded one, the
+    requests are then read twice: for the sums and for the result.
     """
-    base = _with_parts(
-        requests.select(
-            F.col(id).alias("request_id"),
-            F.col(model).alias("model"),
-            epoch_micros(requests, ts).alias("at"),
-            F.col(tokens).alias("tokens"),
-            _place(requests, id).alias("place"),
-        ),
-        rows_per_part,
-    )
-    ranges = base.groupBy("model", "at", "part").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens")
-    )
-    instants = ranges.groupBy("model", "at").agg(
-        F.sum("n").alias("n"), F.sum("tokens").alias("tokens")
+    base = requests.select(
+        F.col(id).alias("request_id"),
+        F.col(model).alias("model"),
+        epoch_micros(requests, ts).alias("at"),
+        F.col(tokens).alias("tokens"),
     )
-    prior = _trailing(instants, -1).select("model", "at", "used_requests", "used_tokens")
-    earlier = Window.partitionBy("model", "at").orderBy("part").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    before = (
-        ranges.withColumn("n0", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-        .withColumn("t0", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)))
-        .join(prior, ["model", "at"])
-        .select(
-            _slot().alias("slot"),
-            (F.col("n0") + F.col("used_requests")).alias("n_before"),
-            (F.col("t0") + F.col("used_tokens")).alias("t_before"),
+    instants = _instants(requests, model, ts, tokens)
+    instants = store(instants) if store else instants
+    crowded = instants.filter(F.col("n") > rows_per_part).select("model", "at")
+    before = _trailing(instants, -1).select("model", "at", "used_requests", "used_tokens")
+    if store and crowded.isEmpty():
+        base = base.withColumn("part", F.lit(None).cast("int"))
+        before = before.select("*", *(F.lit(None).cast(k).alias(c) for c, k in (("part", "int"), ("n0", "long"), ("t0", "long"))))
+    else:
+        base = _with_parts(base, crowded, rows_per_part)
+        ranges = base.filter("part is not null").groupBy("model", "at", "part").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens")
         )
+        earlier = Window.partitionBy("model", "at").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        sums = ranges.select("model", "at", "part", F.sum("n").over(earlier).alias("n0"), F.sum("tokens").over(earlier).alias("t0"))
+        before = before.join(sums, ["model", "at"], "left")
+    before = before.select(
+        _slot().alias("slot"),
+        (F.coalesce("n0", F.lit(0)) + F.col("used_requests")).alias("n_before"),
+        (F.coalesce("t0", F.lit(0)) + F.col("used_tokens")).alias("t_before"),
     )
-    inside = Window.partitionBy("slot").orderBy("request_id").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    inside = Window.partitionBy("slot").orderBy("request_id").rowsBetween(Window.unboundedPreceding, -1)
     found = (
         base.withColumn("slot", _slot())
         .withColumn("n1", F.count(F.lit(1)).over(inside))
