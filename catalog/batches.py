@@ -8,6 +8,7 @@ from ticketveil.functions.text import strip
 from ticketveil.operators import batch as O
 from ticketveil.operators import documents as P
 from ticketveil.plans import batch_files as plan_batch_files
+from ticketveil.plans.batch import STAT_KEYS
 from ticketveil.sources import read_documents, write_bundle, write_ordered
 
 from . import derived as D
@@ -101,13 +102,14 @@ add(
 )
 add(
     "s5_conversation_export_parts",
-    lambda spark, d: P.conversation_export(
-        D.derive_more(spark, d, "conversations", *TURNS_OF), turns_per_part=2
-    ).drop("export"),
+    lambda spark, d: P.conversation_export(D.derive_more(spark, d, "conversations", *TURNS_OF), turns_per_part=2),
     S.with_(
         [TURNS_SQL],
         "SELECT conv_id, floor(turn / 2)::BIGINT AS part, count(*)::INTEGER AS n_turns, "
-        "coalesce(sum(length(text)), 0)::BIGINT AS text_length FROM turns GROUP BY ALL",
+        "coalesce(sum(length(text)), 0)::BIGINT AS text_length, "
+        "to_json({'conversation': list({'role': role, 'content': text} ORDER BY turn), "
+        "'original_text_length': coalesce(sum(length(text)), 0)::BIGINT})::VARCHAR AS export FROM turns "
+        "GROUP BY conv_id, floor(turn / 2)",
     ),
 )
 
@@ -269,19 +271,19 @@ add(
 
 # --- documents and reports to a batch ---------------------------------------------------------
 
-DOCS = {
-    "filename": D.FILES["filename"],
-    "text": f"case when o_orderstatus = 'P' then ' ' else {D.TICKET} end",
-    "processing_time": D.FILES["processing_time"],
-}
+DOCS = {"filename": D.FILES["filename"], "text": D.TICKET, "processing_time": D.FILES["processing_time"]}
+# documents without any text, and without a report
+BLANK_DOCS = {**DOCS, "filename": f"'BLANK' || {D.s(D.K)}", "text": "'  ' || chr(10)"}
 REPORTS_OF = {"filename": D.FILES["filename"], "audit_report": D.REPORT}
 FRACTION = "([0-9]+)/([0-9]+)"
+DETAILS = [k for k in STAT_KEYS if k != "ip_redacted"]
 
 
 def batch_files(spark, d):
-    docs = D.derive_wide(spark, d, "orders", DOCS)
-    reports = D.derive_wide(spark, d, "orders", REPORTS_OF)
-    return plan_batch_files(docs, reports).drop("redaction_details")
+    docs = D.derive_wide(spark, d, "orders", DOCS).unionByName(D.derive(spark, d, "orders", BLANK_DOCS))
+    found = plan_batch_files(docs, D.derive_wide(spark, d, "orders", REPORTS_OF))
+    details = (F.col("redaction_details")[k].alias(k) for k in DETAILS)
+    return found.select("*", *details).drop("redaction_details")
 
 
 add(
@@ -289,7 +291,7 @@ add(
     batch_files,
     S.with_(
         [
-            f"docs AS (SELECT {D.columns(DOCS)} FROM orders)",
+            f"docs AS ({D.more_sql('orders', DOCS, BLANK_DOCS)})",
             f"reports AS (SELECT {D.columns(REPORTS_OF)}, audit_report AS report FROM orders)",
             "corpus AS (SELECT filename AS doc_id, filename AS kind, text AS t FROM docs)",
             *NORMALIZED,
@@ -299,8 +301,9 @@ add(
         f"CASE WHEN {S.strip('text')} = '' THEN '' ELSE t END AS redacted_text, "
         f"CASE WHEN {S.strip('text')} = '' THEN 0 ELSE total_redactions END::BIGINT AS redaction_count, "
         f"CASE WHEN {S.strip('text')} = '' THEN '{P.NO_TEXT}' ELSE '' END AS error_message, processing_time, "
-        f"strlen(text) AS file_size, audit_report, coalesce({ratio(last_hit(FRACTION), FRACTION, repr('Score not available'))}, "
-        f"{last_hit('[0-9]+%')}, 'Score not available') AS audit_score "
-        "FROM docs d JOIN done ON done.doc_id = d.filename JOIN reports r ON r.filename = d.filename",
+        f"strlen(text) AS file_size, coalesce(audit_report, '') AS audit_report, CASE WHEN audit_report IS NULL THEN '' ELSE "
+        f"coalesce({ratio(last_hit(FRACTION), FRACTION, repr('Score not available'))}, "
+        f"{last_hit('[0-9]+%')}, 'Score not available') END AS audit_score, {', '.join(DETAILS)} "
+        "FROM docs d JOIN done ON done.doc_id = d.filename LEFT JOIN reports r ON r.filename = d.filename",
     ),
 )

@@ -86,7 +86,8 @@ def conversation_export(
                     *([F.lit(now).alias("timestamp")] if now else []),
                     messages.alias("conversation"),
                     F.col("text_length").alias("original_text_length"),
-                )
+                ),
+                {"ignoreNullFields": "false"},  # a turn without a text keeps its content, null
             ).alias("export"),
         )
     )
