@@ -77,3 +77,13 @@ PHRASES = (
 )
 TECHNICAL_MARKS = ("vm", "srv", "app", "db", "fw", "sw", "rtr", "ws", "inc", "gewig")
 BUSINESS_ENDINGS = ("ing", "tion", "ment", "ness", "ity", "ics", "ogy")
+
+# (value, label): a line break goes between them, in this order; plain regular expressions.
+VALUE_LABELS = (
+    (r"High|Medium|Low|Critical", "Responsible party:"),
+    (r"Presidio|Delaware North[^:]*", "Urgency:"),
+    (r"\p{Nd}+\s*-\s*(?:High|Medium|Low|Critical)", "Assignment group:"),
+    (r"MSC Network Engineer|[A-Z][a-z]+ [A-Z][a-z]+", "Customer Assignment Group:"),
+    (r"true|false", "Service Offering:"),
+    (r"Network Services|[A-Z][a-z]+ [A-Z][a-z]+", "Category:"),
+)

@@ -358,12 +358,11 @@ def fold_replace(spark, d):
     """Numbers of more than three digits become their position, others stay."""
     pattern = "[0-9]+"
     text = let(
-        R.find_all(F.col("text"), pattern),
-        lambda hits: R.fold_replace(
-            F.split("text", pattern, -1),
-            hits,
+        R.split_at(F.col("text"), pattern),
+        lambda turns: R.fold_replace(
+            turns,
             lambda hit, i: F.when(
-                F.length(hit) > 3, F.concat(F.lit("<"), i.cast("string"), F.lit(">"))
+                F.length(hit) > 3, F.concat(F.lit("<"), F.floor(i / 2).cast("string"), F.lit(">"))
             ).otherwise(hit),
         ),
     )

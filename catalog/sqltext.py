@@ -186,8 +186,8 @@ def break_before_labels(x: str) -> str:
 
 
 def break_value_label(x: str) -> str:
-    for value, label, _ in P.VALUE_LABEL_RULES:
-        value = value.replace(P.SPACE, SPACE)
+    for value, label in X.VALUE_LABELS:
+        value = value.replace(r"\s", SPACE)
         x = f"regexp_replace({x}, {q(rf'({value}){SPACE}+({P.any_of([label])})')}, '\\1\n\\2', 'g')"
     return x
 

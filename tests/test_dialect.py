@@ -4,8 +4,10 @@ import random
 import re
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
+from catalog import expected as X
 from ticketveil.functions import lines as L
 from ticketveil.functions import patterns as P
 from ticketveil.functions import redaction as R
@@ -67,5 +69,31 @@ def test_pieces_and_hits(spark):
     sample = texts(PARTS["phone"], 5)
     df = spark.createDataFrame([(t,) for t in sample], "text string")
     t = F.col("text")
-    bad = df.filter(F.size(F.split(t, P.PHONE, -1)) != F.size(R.find_phones(t)) + 1)
+    bad = df.filter(F.size(F.split(t, P.PHONE, -1)) != F.size(R.find_all(t, P.PHONE)) + 1)
     assert bad.count() == 0
+    # in turn, with one search or, where the text holds the mark, with two
+    for u in (t, F.concat(t, F.lit(f" {P.MARK} 555-123-4567{P.MARK}"))):
+        turns = R.split_at(u, P.PHONE)
+        same = F.concat_ws("", turns) == u
+        same = same & (R.matches_of(turns) == R.find_all(u, P.PHONE)) & (F.size(turns) % 2 == 1)
+        assert df.filter(~same).count() == 0
+
+
+def test_breaks_between_values_and_labels(spark):
+    """The rules, which look at the text before a label, against the plain patterns."""
+    parts = [
+        "High", "Medium", "xLow", "2", "9", "-", " - ", " ", "  ", "\n", "\xa0", "Presidio", "Delaware North", "Companies", ":",
+        "Responsible party:", "Urgency:", "Urgency: ", "Assignment group:", "Customer Assignment Group:", "Service Offering:",
+        "Category:", " Category:", "MSC Network Engineer", "Network Services", "Abc Def", "Abc", " Def", "aBc", "true", "untrue", "false", "é",
+    ]
+    sample = [t for seed in range(20, 24) for t in texts(parts, seed)]
+    df = spark.createDataFrame([(t,) for t in sample], "text string")
+    got = {r.text: r.out for r in df.select("text", L.break_value_label(F.col("text")).alias("out")).collect()}
+    changed = 0
+    for t in sample:
+        expected = t
+        for value, label in X.VALUE_LABELS:
+            expected = regex.sub(rf"({value})\s+({label})", r"\1" + "\n" + r"\2", expected)
+        changed += expected != t
+        assert got[t] == expected, repr(t)
+    assert changed > 100

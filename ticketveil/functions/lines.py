@@ -6,6 +6,8 @@ exploded and nothing is shuffled.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,25 +99,81 @@ def break_before_labels(text: Column) -> Column:
     return _rewrite(text, ":", pattern, "\n$1")
 
 
+def _tail(before: Column) -> Column:
+    """The text after the last colon."""
+    return F.substring_index(before, ":", -1)
+
+
+def _ends_with_any(text: Column, words) -> Column:
+    return reduce(lambda a, b: a | b, (text.endswith(w) for w in words))
+
+
+def _ends_with_rating(text: Column) -> Column:
+    """A number, a dash and a rating, with or without white space around the dash."""
+    spaces = F.lit(P.SPACES)
+    found = F.lit(False)
+    for word in P.RATINGS:
+        left = F.rtrim(F.substr(text, F.lit(1), F.length(text) - len(word)), spaces)
+        number = F.rtrim(F.substr(left, F.lit(1), F.length(left) - 1), spaces)
+        found = found | (text.endswith(word) & left.endswith("-") & F.right(number, F.lit(1)).rlike(P.DIGIT))
+    return found
+
+
+def _ends_with_pair(text: Column) -> Column:
+    """Two capitalised words with one space between them."""
+    return F.substring_index(text, " ", -2).rlike(r"[A-Z][a-z]+ [A-Z][a-z]+\z")
+
+
+#: Whether the text before a label, without white space at its end, ends with a value of that kind.
+_VALUE_ENDS = {
+    "rating": lambda t: _ends_with_any(t, P.RATINGS),
+    "company": lambda t: t.endswith(P.CLOSED_VALUE),
+    "numbered rating": _ends_with_rating,
+    "engineer or pair": lambda t: t.endswith(P.ENGINEER) | _ends_with_pair(t),
+    "truth": lambda t: _ends_with_any(t, P.TRUTHS),
+    "network or pair": lambda t: t.endswith(P.NETWORK) | _ends_with_pair(t),
+}
+
+
+def _break_before(text: Column, label: str, kind: str, open_value: Column | None) -> Column:
+    """The white space before ``label`` becomes a line break where a value of that kind stands before it.
+
+    Labels are rare, so the text is cut at them and each piece is judged by its end. All values end with something else than
+    white space but the open one, which takes up to the next colon whatever there is, so the last space alone is its own."""
+
+    def broken(piece: Column, i: Column, n: Column) -> Column:
+        bare = F.rtrim(piece, F.lit(P.SPACES))
+        whole = F.when(_VALUE_ENDS[kind](bare), F.concat(bare, F.lit("\n"))).otherwise(piece)
+        if kind == "company":
+            tail = _tail(piece)
+            opened = tail.contains(P.OPEN_VALUE)
+            if open_value is not None:
+                opened = opened | (open_value & (i == 0) & ~piece.contains(":"))
+            cut = F.concat(F.substr(piece, F.lit(1), F.length(piece) - 1), F.lit("\n"))
+            whole = F.when(opened, cut).otherwise(whole)
+        # the last piece has no label behind it
+        return F.when((i < n - 1) & (F.length(bare) < F.length(piece)), whole).otherwise(piece)
+
+    pieces = F.split(text, P.any_of([label]), -1)
+    return F.when(
+        text.contains(label),
+        let(pieces, lambda p: F.array_join(F.transform(p, lambda piece, i: broken(piece, i, F.size(p))), label)),
+    ).otherwise(text)
+
+
 def break_value_label(text: Column, open_value: Column | None = None) -> Column:
     """Line break between some known values and the label that follows; six ordered rules.
 
     One of the values reaches up to the next colon. ``open_value`` tells, for a text that is the continuation of
     another, that this value stands in the other one after its last colon."""
 
-    def chain(t: Column) -> Column:
-        for value, label, first in P.VALUE_LABEL_RULES:
-            pattern = rf"(?=[{first}])({value}){P.SPACE}+({label})"
-            plain = _rewrite(t, label, pattern, "$1\n$2")
-            if open_value is None or label != P.OPEN_VALUE_LABEL:
-                t = plain
-            else:
-                before = P.OPEN_VALUE + " "
-                full = _rewrite(F.concat(F.lit(before), t), label, pattern, "$1\n$2")
-                t = F.when(open_value, F.substr(full, F.lit(len(before) + 1))).otherwise(plain)
-        return t
-
-    return let(text, lambda t: F.when(t.contains(":"), chain(t)).otherwise(t))
+    def chain(t: Column, rules) -> Column:
+        if not rules:
+            return t
+        (kind, label), *rest = rules
+        return let(_break_before(t, label, kind, open_value), lambda u: chain(u, rest))
+
+    return let(text, lambda t: F.when(t.contains(":"), chain(t, P.VALUE_LABEL_RULES)).otherwise(t))
 
 
 def normalize_text(text: Column) -> Column:

@@ -51,6 +51,10 @@ URL = rf"https?://{NOT_SPACE}+"
 RUN_BY = rf"(Run [Bb]y{SPACE}*:{SPACE}*)[^\n]+"
 NAME = rf"[A-Z](?<!{WORD}.)[a-z]+{SPACE}+[A-Z][a-z]+{NO_WORD_AFTER}"
 
+# Put around matches where a text is cut at them; texts hardly ever hold it.
+MARK = "\x01"
+
+
 @dataclass(frozen=True)
 class Part:
     """Pattern that every match of a rule contains and that is quick to look for."""
@@ -221,19 +225,20 @@ BREAK_WORDS = (
     "high", "medium", "low", "critical", "the", "and", "or", "but", "with", "from", "to",
 )
 
-# (value, label, first characters of a value): a line break goes between value and label, in
-# this order.
+# (kind of value, label): a line break goes between value and label, in this order.
 VALUE_LABEL_RULES = (
-    (r"High|Medium|Low|Critical", "Responsible party:", "HMLC"),
-    (r"Presidio|Delaware North[^:]*", "Urgency:", "PD"),
-    (rf"{DIGIT}+{SPACE}*-{SPACE}*(?:High|Medium|Low|Critical)", "Assignment group:", r"\p{Nd}"),
-    (r"MSC Network Engineer|[A-Z][a-z]+ [A-Z][a-z]+", "Customer Assignment Group:", "A-Z"),
-    (r"true|false", "Service Offering:", "tf"),
-    (r"Network Services|[A-Z][a-z]+ [A-Z][a-z]+", "Category:", "A-Z"),
+    ("rating", "Responsible party:"),
+    ("company", "Urgency:"),
+    ("numbered rating", "Assignment group:"),
+    ("engineer or pair", "Customer Assignment Group:"),
+    ("truth", "Service Offering:"),
+    ("network or pair", "Category:"),
 )
-
-# The value that reaches over any text up to the next colon, and its label.
-OPEN_VALUE, OPEN_VALUE_LABEL = "Delaware North", "Urgency:"
+RATINGS = ("High", "Medium", "Low", "Critical")
+TRUTHS = ("true", "false")
+ENGINEER, NETWORK = "MSC Network Engineer", "Network Services"
+# Of the two companies one is a value with all that follows it up to the next colon.
+CLOSED_VALUE, OPEN_VALUE = "Presidio", "Delaware North"
 
 CODE_TAG = r"\[/?code\]"
 BOLD_TAG = r"</?b>"

@@ -53,19 +53,25 @@ def find_phones(text: Column) -> Column:
     return find_all(text, P.PHONE, P.PHONE_PART)
 
 
-def fold_replace(
-    pieces: Column, hits: Column, decide: Callable[[Column, Column], Column]
-) -> Column:
-    """Put ``decide(hit, i)`` between the pieces; linear in the length of the text."""
-    return F.array_join(
-        F.transform(
-            pieces,
-            lambda piece, i: F.concat(
-                piece, F.coalesce(decide(F.get(hits, i), i), F.lit(""))
-            ),
-        ),
-        "",
+def split_at(text: Column, pattern: str) -> Column:
+    """Pieces and matches in turn, a piece first and last, with one search: matches are put between marks, and the text
+    is cut at the marks. A text that holds the mark itself is searched twice."""
+    marked = F.regexp_replace(text, pattern, f"{P.MARK}$0{P.MARK}")
+    twice = F.flatten(
+        F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, h: F.array(p, h))
     )
+    searched_twice = let(twice, lambda turns: F.slice(turns, F.lit(1), F.size(turns) - 1))
+    return F.when(text.contains(P.MARK), searched_twice).otherwise(F.split(marked, P.MARK, -1))
+
+
+def matches_of(turns: Column) -> Column:
+    """The matches of ``split_at``."""
+    return F.filter(turns, lambda x, i: i % 2 == 1)
+
+
+def fold_replace(turns: Column, decide: Callable[[Column, Column], Column]) -> Column:
+    """Pieces and matches put together with ``decide(match, place)`` for each match; linear in the length of the text."""
+    return F.array_join(F.transform(turns, lambda x, i: F.when(i % 2 == 1, decide(x, i)).otherwise(x)), "")
 
 
 # --- decisions on single matches -------------------------------------------------------
@@ -83,19 +89,12 @@ def is_counted_ip(hit: Column) -> Column:
     return counted
 
 
-def text_before(pieces: Column, hits: Column, i: Column, n: int = P.PHONE_CONTEXT_CHARS) -> Column:
-    """Last ``n`` characters before match ``i``. A phone match has ten characters or more, so two
+def text_before(turns: Column, i: Column, n: int = P.PHONE_CONTEXT_CHARS) -> Column:
+    """Last ``n`` characters before the match at place ``i``. A phone match has ten characters or more, so two
     matches back always reach far enough."""
     empty = F.lit("")
-    return F.right(
-        F.concat(
-            F.coalesce(F.get(hits, i - 2), empty),
-            F.coalesce(F.get(pieces, i - 1), empty),
-            F.coalesce(F.get(hits, i - 1), empty),
-            F.get(pieces, i),
-        ),
-        F.lit(n),
-    )
+    before = (F.coalesce(F.get(turns, i - k), empty) for k in (4, 3, 2))
+    return F.right(F.concat(*before, F.get(turns, i - 1)), F.lit(n))
 
 
 def is_reference_number(hit: Column, before: Column) -> Column:
@@ -141,52 +140,43 @@ def _stage(text: Column, n: Column, **more: Column) -> Column:
 
 
 def ip_stage(t: Column) -> Column:
-    def spliced(hits):
-        return fold_replace(
-            F.split(t, P.IP_ADDRESS, -1),
-            hits,
-            lambda hit, i: F.when(is_private_ip(hit), hit).when(
-                hit.isNotNull(), F.lit(P.IP_PLACEHOLDER)
-            ),
-        )
+    def shown(hit: Column, _: Column) -> Column:
+        return F.when(is_private_ip(hit), hit).otherwise(F.lit(P.IP_PLACEHOLDER))
 
-    return let(
-        find_all(t, P.IP_ADDRESS),
-        lambda hits: _stage(
-            F.when(F.size(hits) == 0, t).otherwise(spliced(hits)),
+    def spliced(turns: Column) -> Column:
+        hits = matches_of(turns)
+        return _stage(
+            fold_replace(turns, shown),
             F.size(F.filter(hits, is_counted_ip)),
             redacted=F.size(F.filter(hits, lambda hit: ~is_private_ip(hit))),
-        ),
+        )
+
+    return let(
+        split_at(t, P.IP_ADDRESS),
+        lambda turns: F.when(F.size(turns) == 1, _stage(t, F.lit(0), redacted=F.lit(0))).otherwise(spliced(turns)),
     )
 
 
 def phone_stage(t: Column) -> Column:
-    def kept(pieces, hits):
-        return F.transform(
-            hits, lambda hit, i: is_reference_number(hit, text_before(pieces, hits, i))
+    def spliced(turns: Column) -> Column:
+        keep = F.transform(
+            turns, lambda x, i: F.when(i % 2 == 1, is_reference_number(x, text_before(turns, i))).otherwise(True)
         )
-
-    def spliced(pieces, hits):
         return let(
-            kept(pieces, hits),
-            lambda keep: _stage(
-                fold_replace(
-                    pieces,
-                    hits,
-                    lambda hit, i: F.when(F.get(keep, i), hit).when(
-                        hit.isNotNull(), F.lit(P.PHONE_PLACEHOLDER)
-                    ),
-                ),
-                F.size(F.filter(keep, lambda k: ~k)),
+            keep,
+            lambda k: _stage(
+                fold_replace(turns, lambda hit, i: F.when(F.get(k, i), hit).otherwise(F.lit(P.PHONE_PLACEHOLDER))),
+                F.size(F.filter(k, lambda kept: ~kept)),
             ),
         )
 
-    return let(
-        find_phones(t),
-        lambda hits: F.when(F.size(hits) == 0, _stage(t, F.lit(0))).otherwise(
-            let(F.split(t, P.PHONE, -1), lambda pieces: spliced(pieces, hits))
+    return F.when(
+        may_match(t, P.PHONE_PART),
+        let(
+            split_at(t, P.PHONE),
+            lambda turns: F.when(F.size(turns) == 1, _stage(t, F.lit(0))).otherwise(spliced(turns)),
         ),
-    )
+    ).otherwise(_stage(t, F.lit(0)))
 
 
 def name_stage(t: Column, terms: PreserveTerms = DEFAULT_TERMS, kept: Column | None = None) -> Column:
@@ -196,20 +186,22 @@ def name_stage(t: Column, terms: PreserveTerms = DEFAULT_TERMS, kept: Column | N
         own = preserve_term(hit, terms)
         return own if kept is None else own | F.coalesce(F.array_contains(kept, hit), F.lit(False))
 
-    def spliced(hits):
-        shown = F.transform(hits, lambda hit: F.when(stays(hit), hit).otherwise(short_name(hit)))
+    def spliced(turns):
+        shown = F.transform(
+            turns, lambda x, i: F.when((i % 2 == 0) | stays(x), x).otherwise(short_name(x))
+        )
         # A shortened name ends with a full stop, a name itself cannot.
         return let(
             shown,
             lambda new: _stage(
-                fold_replace(F.split(t, P.NAME, -1), new, lambda name, i: name),
-                F.size(F.filter(new, lambda name: name.endswith("."))),
+                F.array_join(new, ""),
+                F.size(F.filter(new, lambda x, i: (i % 2 == 1) & x.endswith("."))),
             ),
         )
 
     return let(
-        find_all(t, P.NAME),
-        lambda hits: F.when(F.size(hits) == 0, _stage(t, F.lit(0))).otherwise(spliced(hits)),
+        split_at(t, P.NAME),
+        lambda turns: F.when(F.size(turns) == 1, _stage(t, F.lit(0))).otherwise(spliced(turns)),
     )
 
 

@@ -16,17 +16,18 @@ from ..functions.redaction import (
     MAX_TERMS,
     PreserveTerms,
     find_all,
-    find_phones,
     first_word,
     is_private_ip,
     is_reference_number,
+    matches_of,
     names_seen,
     preserve_term,
     redact,
     second_word,
+    split_at,
     text_before,
 )
-from ..functions.text import let
+from ..functions.text import let, may_match
 from .rows import inline_rows
 
 
@@ -136,20 +137,20 @@ def find_pii(
             ),
         )
 
-    phones = let(
-        find_phones(t),
-        lambda hits: let(
-            F.when(F.size(hits) > 0, F.split(t, P.PHONE, -1)),
-            lambda pieces: mentions(
-                "phone_numbers",
-                hits,
-                lambda hit, i: is_reference_number(hit, text_before(pieces, hits, i)),
+    def phones(turns):
+        found = F.transform(
+            turns,
+            lambda hit, i: F.struct(
+                F.lit("phone_numbers").alias("kind"),
+                hit.alias("match"),
+                ((i % 2 == 1) & is_reference_number(hit, text_before(turns, i))).alias("kept"),
             ),
-        ),
-    )
+        )
+        return matches_of(found)
+
     per_kind = [
         mentions("ip_addresses", find_all(t, P.IP_ADDRESS), lambda hit, i: is_private_ip(hit)),
-        phones,
+        F.when(may_match(t, P.PHONE_PART), let(split_at(t, P.PHONE), phones)).otherwise(F.array()),
         mentions("names_truncated", find_all(t, P.NAME), lambda hit, i: preserve_term(hit, terms)),
     ]
     for kind, (pattern, _, hint) in P.PLAIN_RULES.items():
