@@ -1,3 +1,7 @@
+import time
+
+import pytest
+
 from ticketveil.llm import html as H
 
 ARTICLE = "<article><h1>A title</h1><p><b>First <i>para</i>&amp;graph&nbsp;here.<br><p>Second\n  one with <a href='x'>a link</a>.</p><p>End.</p></article>"
@@ -96,3 +100,23 @@ def test_article_within_a_named_part():
     assert text(f"<body><article><p>{PROSE * 3}</p></article><div class='promo'>{ARTICLE}</div></body>") == (PROSE * 3).strip()
     assert text(f"<body><div class='comments'>{ARTICLE}</div></body>") == ""
     assert text("<div class='has-sidebar'>" * 5000 + ARTICLE) == MAIN
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<script" * 150_000, "<p x=\"" * 180_000, "</div>" * 180_000, "<div>" * 90_000 + "</p>" * 180_000, "<!" * 500_000, "<title " * 150_000, "<a href='" * 120_000],
+    ids=["raw", "quotes", "ends", "deep ends", "declarations", "titles", "single quotes"],
+)
+def test_broken_markup_takes_linear_time(page):
+    start = time.process_time()
+    H.blocks(page)
+    H.blocks(f"<p>x</p>{page}>")
+    assert time.process_time() - start < 4  # two pages of a megabyte
+
+
+def test_parts_that_are_left_open():
+    assert text(f"{ARTICLE}<!-- never closed <p>{PROSE}</p> and more") == MAIN
+    assert text(f"{ARTICLE}<script>var a = '<p>{PROSE}</p>' and more") == MAIN
+    assert text(f"{ARTICLE}<!-- closed --> <!-- open") == MAIN
+    assert [b.text for b in H.blocks("a <p>b</p> c < d <!-- e")] == ["a", "b", "c < d"]
+    assert [b.text for b in H.blocks("a <div b")] == ["a <div b"]

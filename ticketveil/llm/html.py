@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -87,6 +88,29 @@ def _other_part(tag: str, attributes: str, in_main: bool) -> bool | Part:
     return Part(not plain, any(not REPLY_NAMES.isdisjoint(words) for words in plain))
 
 
+def _tokens(html: str) -> Iterator[re.Match]:
+    """Tags, comments and elements whose content is no text. All end with the last ``>`` at the latest, but for those that
+    are left open, so nothing beyond is searched for an end that is not there."""
+    last, end = html.rfind(">") + 1, len(html)
+    for token in _TOKEN.finditer(html, 0, last):
+        if token.end() < last or not _left_open(token):
+            yield token
+        else:
+            yield _TOKEN.match(html, token.start(), end)
+
+
+def _left_open(token: re.Match) -> bool:
+    if token[1]:
+        return not re.search(rf"</{token[1]}\s*>\Z", token[0], re.I)
+    return token[0].startswith("<!--") and not token[0].endswith("-->")
+
+
+def _without_comment(html: str, at: int) -> str:
+    """What follows the last tag, up to a comment that is left open."""
+    rest = html[at:]
+    return rest if (start := rest.find("<!--")) < 0 else rest[:start]
+
+
 def blocks(html: str) -> list[Block]:
     """Text blocks in page order. A tag that is not inline ends a block; character references are decoded and white
     space becomes one space. An end tag closes the nearest open element of its name, if there is one.
@@ -99,6 +123,7 @@ def blocks(html: str) -> list[Block]:
     within: list[tuple[Part | None, Part | None]] = []  # for each block the named part and outermost article around it
     # open element, not the article by its tag, named part, outermost article
     stack: list[tuple[str, bool, Part | None, Part | None]] = []
+    opened: Counter[str] = Counter()  # elements of the stack, by tag
     named_parts: list[Part] = []
     parts: list[str] = []
     linked = depth = at = 0
@@ -122,7 +147,7 @@ def blocks(html: str) -> list[Block]:
         parts.clear()
         linked = 0
 
-    for token in _TOKEN.finditer(html):
+    for token in _tokens(html):
         text(html[at : token.start()])
         at = token.end()
         tag = token[3]
@@ -140,10 +165,11 @@ def blocks(html: str) -> list[Block]:
             continue
         aside = False
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if opened[tag]:
+                while stack:
+                    opened[stack[-1][0]] -= 1
+                    if stack.pop()[0] == tag:
+                        break
             depth = 0
             continue
         other, named, main = stack[-1][1:] if stack else (False, None, None)
@@ -157,7 +183,8 @@ def blocks(html: str) -> list[Block]:
         else:
             part = found if isinstance(found, Part) else named
             stack.append((tag, other or found is True, part, main or (Part() if tag in MAIN else None)))
-    text(html[at:])
+            opened[tag] += 1
+    text(_without_comment(html, at))
     flush()
     total = 0
     for block, (named, main) in zip(out, within):
