@@ -56,3 +56,16 @@ def test_every_line_common_in_a_long_text(spark):
     df = spark.createDataFrame([(i, long) for i in range(12)] + [(99, "other")], "doc_id long, text string")
     got = {r.doc_id: (r.n_dropped, hashlib.sha256(r.kept.encode()).hexdigest()) for r in drop_common_lines(df).collect()}
     assert got[3] == (5001, hashlib.sha256(b"").hexdigest()) and got[99][0] == 0
+
+
+def test_columns_named_like_those_within(spark):
+    names = ("kept", "n_lines", "n_dropped", "__row", "__also", "__gone", "c0", "keys")
+    rows = [(i, "same line\nown" + str(i), *[f"{c}{i}" for c in names]) for i in range(12)]
+    for own in (names, (*(c.upper() for c in names),)):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in own))
+        out = dedup_lines(docs)
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert r.text == f"own{r.doc_id}" and tuple(r)[2:] == tuple(f"{c}{r.doc_id}" for c in names)
+        added = drop_common_lines(docs)
+        assert added.columns[-3:] == ["n_lines", "n_dropped", "kept"] and added.filter("n_dropped = 1").count() == 12

@@ -39,13 +39,16 @@ def drop_common_lines(
     A line whose key has at least ``min_length`` code points and is found in at least ``threshold`` rows
     of ``docs`` is dropped wherever it stands; the others stay in order, joined by a line feed.
     Null and empty texts are one empty line. Each row is a document, repeated rows too. Columns that
-    are named like the new ones are replaced.
+    are named like the new ones (in any case) are replaced.
 
     Lines are counted and joined by 128 bits of hash of their key, rows by 128 bits of hash of all
     their columns; rows that are equal in all of them may share that. Only the last join, by row,
     moves texts. The hashes are stored once, so that texts are normalised once.
     """
-    plain = docs.select(*(c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")))
+    columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "kept")]
+    # within, columns have names that none of the others has
+    plain = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)))
+    text = f"c{columns.index(text)}"
     keyed = F.transform(
         _lines(text),
         lambda line: _let(
@@ -76,12 +79,12 @@ def drop_common_lines(
     joined = numbered.join(dropped, ["__row", "__also"], "left")
     return joined.select(
         *plain.columns,
-        F.size(_lines(text)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.size(_lines(text)).cast("long").alias("__lines"),
+        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__dropped"),
         F.when(F.col("__gone").isNull(), F.coalesce(F.col(text), F.lit("")))
         .otherwise(_let(_lines(text), lambda lines: F.array_join(_without(lines, F.col("__gone")), "\n")))
-        .alias("kept"),
-    )
+        .alias("__kept"),
+    ).toDF(*columns, "n_lines", "n_dropped", "kept")
 
 
 def _row_id(docs: DataFrame) -> tuple[Column, Column]:
@@ -99,10 +102,13 @@ def _without(lines: Column, gone: Column) -> Column:
 def dedup_lines(docs: DataFrame, text: str = "text", threshold: int = 10, min_length: int = 1) -> DataFrame:
     """``docs`` with the common lines taken out of the text, same columns. A document that had text and
     has only blanks left is dropped; documents without a common line stay as they are."""
-    found = drop_common_lines(docs, text, threshold, min_length)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    found = drop_common_lines(docs.toDF(*names), names[docs.columns.index(text)], threshold, min_length)
     changed = F.col("n_dropped") > 0
     out = found.filter(~changed | (F.btrim(F.col("kept"), F.lit(BLANK)) != ""))
+    new = {text: F.col("kept")}
     if "n_chars" in docs.columns:
-        counted = F.length("kept").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(changed, counted).otherwise(F.col("n_chars")))
-    return out.withColumn(text, F.when(changed, F.col("kept")).otherwise(F.col(text))).select(*docs.columns)
+        new["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return out.select(
+        *(F.when(changed, new[c]).otherwise(F.col(n)).alias(n) if c in new else F.col(n) for n, c in zip(names, docs.columns))
+    ).toDF(*docs.columns)
