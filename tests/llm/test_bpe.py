@@ -54,3 +54,15 @@ def test_encode_then_decode(spark):
     out = bpe.decode(encoded, PATH)
     assert out.columns[-1] == "decoded"
     assert all(bytes(r.decoded) == (r.text or "").encode() for r in out.collect())
+
+
+def test_memory_is_bounded_by_bytes(monkeypatch):
+    ranks = bpe.read_ranks(PATH)
+    monkeypatch.setattr(bpe, "MEMORY", 20_000)
+    own, fresh = (bpe.Tokenizer(ranks, bpe.model_bytes(ranks), P.PATTERN) for _ in range(2))
+    for i in range(400):
+        text = f"word{i} " + "x" * (i * 7) + f" {i}"
+        assert own.encode(text) == fresh.encode(text)
+        fresh.known.clear()
+        assert sum(len(s) + len(b) for s, b in own.known.items()) <= own.held <= 20_000 + 3000
+        assert max(map(len, own.known)) <= bpe.LONGEST

@@ -18,8 +18,9 @@ from .common import utf8
 
 #: Largest vocabulary file that is broadcast, in bytes.
 MAX_VOCABULARY = 64 << 20
-#: Distinct text segments whose ids a worker remembers before it starts anew.
-MEMORY = 200_000
+#: Bytes of text segments and their ids that a worker remembers before it starts anew; what one of them takes
+#: besides its own, and the characters of the longest that is remembered.
+MEMORY, ENTRY, LONGEST = 96 << 20, 200, 256
 #: A space that is neither the first white space of a run nor the one before a visible character.
 _INNER_SPACE = regex.compile(r"\s \s|\s \Z")
 
@@ -84,6 +85,7 @@ class Tokenizer:
         self.rank_of = [0, *(rank for _, rank in tokens)]
         self.token_of = {rank: token for token, rank in tokens}
         self.known: dict[str, bytes] = {}
+        self.held = 0  # bytes in ``known``
 
     def _merge(self, token: str) -> list[int]:
         """A whole token of the vocabulary is itself; all else is merged by the model."""
@@ -96,9 +98,12 @@ class Tokenizer:
     def _segment(self, segment: str) -> bytes:
         ids = [i for token in self.pattern.findall(segment) for i in self._merge(token)]
         packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self.known) >= MEMORY:
-            self.known.clear()
-        self.known[segment] = packed
+        if len(segment) <= LONGEST:  # long ones hardly recur
+            if self.held >= MEMORY:
+                self.known.clear()
+                self.held = 0
+            self.known[segment] = packed
+            self.held += 4 * len(segment) + len(packed) + ENTRY
         return packed
 
     def encode(self, text: str) -> bytes:
