@@ -128,3 +128,9 @@ def test_bars_can_be_reached():
         assert T.bars(toxic, clean, 100_000)[0] <= toxic
     assert T.bars(3000, 1000, 100_000)[0] < 64 > T.bars(3000, 700, 100_000)[0]
     assert T.bars(50, 0, 1) == T.bars(0, 50, 1) == T.bars(0, 0, 0) == []
+
+
+def test_stage_keeps_columns_named_like_its_own(spark):
+    docs = spark.createDataFrame([(i, prose(i, 20), 0.9, i) for i in range(20)], "doc_id long, text string, score double, c0 long")
+    out = T.reject_toxic(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert out.columns == docs.columns and {(r.score, r.c0 == r.doc_id) for r in out.collect()} == {(0.9, True)}

@@ -22,8 +22,6 @@ MAX_TOXIC, MAX_CLEAN = 3_000, 9_000
 MAX_CLEAN_SHARE, MIN_ROWS, WEAKEST = 0.06, 3, 0.05
 #: Rows whose SimHashes differ in at most so many of 64 bits are copies and count once; unrelated ones differ in about 32.
 COPY_BITS = 10
-#: Largest lexicon, the most frequent terms first; bounds what the driver holds.
-MAX_TERMS = 20_000
 #: Lengths of word beginnings, in bytes.
 STEMS = (4, 5, 6)
 
@@ -233,7 +231,8 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     # the sample has a fixed bound, so it may be broadcast
     rows = texts.join(F.broadcast(sample.select(F.col(id).alias("id"), "y")), "id").select("id", "t", "y")
     kind = docs.schema[id].dataType.simpleString()
-    rows = rows.select("id", "t", F.col("y").cast("int")).dropDuplicates(["id"])
+    # of several texts of an id the least one is taken, so that the model is the same each time
+    rows = rows.groupBy("id").agg(F.min(F.struct("t", F.col("y").cast("int").alias("y"))).alias("r")).select("id", "r.t", "r.y")
     rows = stored(rows.mapInArrow(_prints, f"id {kind}, t binary, y int, fp long"))
     prints = np.array([(r.fp, r.y) for r in rows.select("fp", "y").collect()], np.int64).reshape(-1, 2)
     group, y = copies(prints[:, 0].astype(np.uint64)), prints[:, 1]
@@ -257,8 +256,7 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     least = F.array(*map(F.lit, bars(all_toxic, all_clean, counts.count()))).cast("array<int>")
     found = (
         counts.filter(F.col("toxic") >= F.get(least, F.col("clean").cast("int")))
-        .orderBy(F.desc("toxic"), "term")
-        .limit(MAX_TERMS)
+        .select("term")
         .collect()
     )
     lexicon = sorted(bytes(r.term) for r in found)
@@ -300,5 +298,8 @@ def score(docs: DataFrame, model: tuple, id: str = "doc_id", text: str = "text")
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score below 0.5, with the same columns."""
-    return score(docs, learn(docs, labels, id, text), id, text).filter("score < 0.5").select(*docs.columns)
+    """The rows of ``docs`` that score below 0.5, with the same columns, whatever their names."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own_id, own_text = (names[docs.columns.index(c)] for c in (id, text))
+    scored = score(docs.toDF(*names), learn(docs, labels, id, text), own_id, own_text)
+    return scored.filter("score < 0.5").select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)))
