@@ -122,3 +122,13 @@ def test_odd_rows(spark):
 
 def test_digest_of_no_items(spark):
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_items_without_an_id(spark):
+    """They count like others, under an empty id."""
+    passage = prose(77, 12)
+    docs = spark.createDataFrame([(1, f"x {passage} y")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, passage), (5, passage), (None, None)], "item_id long, text string")
+    row = D.contamination(docs, items).first()
+    assert (row.n_hit, row["items"]) == (12, ["", "5"])
+    assert D.decontaminate(docs, items, max_coverage=0.9).first().text == "x  y"

@@ -124,3 +124,11 @@ def test_brute_force_over_lines(spark):
         texts.append("".join(w + rng.choice([" ", " ", " ", "\n", "\n# ", "\n\n" if rng.random() < 0.2 else " "]) for w in words))
     for i, got in scanned(spark, texts).items():
         assert got == brute_runs(texts[i]), texts[i]
+
+
+def test_phrases_that_begin_with_a_digit(spark):
+    phrases = (("0bsd license", "0bsd"), ("3 clause bsd", "bsd-3"), ("mit", "mit"))
+    texts = ["the 0BSD License, 10bsd license", "3-clause BSD x 13 clause bsd", "MIT summit", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string")
+    got = {r.doc_id: (r.n_base, r["base"]) for r in L.base(rows, phrases).collect()}
+    assert got == {0: (1, ["0bsd"]), 1: (1, ["bsd-3"]), 2: (1, ["mit"]), 3: (0, [])}

@@ -68,3 +68,10 @@ def test_written(spark, tmp_path):
     S.write_shards(docs, str(tmp_path / "out"), shards=4)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 50 and {r.shard for r in back.select("shard").distinct().collect()} == {0, 1, 2, 3}
+
+
+def test_written_without_an_id(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a", 7, 8), (None, "b", 7, 8)], "doc_id long, text string, shard int, slot int")
+    S.write_shards(docs, str(tmp_path / "shards"), shards=2)
+    rows = spark.read.parquet(str(tmp_path / "shards")).collect()
+    assert {(r.doc_id, r.text) for r in rows} == {(1, "a"), (None, "b")} and {r.shard for r in rows} <= {0, 1}

@@ -134,7 +134,7 @@ def _blocks(items: DataFrame, id: str, text: str, window: int, block_words: int)
     """Items in blocks of bounded size, read row by row; an item longer than a block is cut into
     pieces that overlap by a window less one word, so that no window is lost."""
     block, size = [], 0
-    for name, content in items.select(F.col(id).cast("string"), utf8(text)).toLocalIterator():
+    for name, content in items.select(F.coalesce(F.col(id).cast("string"), F.lit("")), utf8(text)).toLocalIterator():
         tokens = words(bytes(content))
         step = max(1, block_words - window + 1)
         for at in range(0, max(1, len(tokens) - window + 1), step):
@@ -239,7 +239,7 @@ def contamination(
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one
     window. ``spans`` are merged ranges of hit words, ``items`` the ids of the items with windows
-    there, sorted as strings. Null and empty texts have no words; repeated rows are judged each;
+    there, sorted as strings; an item without an id has an empty one. Null and empty texts have no words; repeated rows are judged each;
     without items nothing is hit. Other columns are not read.
     """
     blocks = _broadcast(items, item_id, item_text, window, block_words)

@@ -46,9 +46,10 @@ def _let(value: Column, body) -> Column:
 
 def _phrase(phrase: str) -> str:
     """The phrase as whole words, A-Z in either case, with any separators. What stands before it is tested after
-    its first letter, so that a search stops at few places."""
+    its first character, so that a search stops at few places."""
     spelled = GAP.join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in phrase.split())
-    first, rest = spelled[:4], spelled[4:]
+    first = f"[{phrase[0]}{phrase[0].upper()}]" if phrase[0].isalpha() else phrase[0]
+    rest = spelled[len(first) :]
     return f"{first}(?<![^{_OTHER}]{first}){rest}(?![^{_OTHER}])"
 
 

@@ -165,6 +165,8 @@ def _numbered(rows: DataFrame, parts: int) -> DataFrame:
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24, id: str = "doc_id", text: str = "text") -> None:
     """Writes ``docs`` with their shard and slot, a folder per shard. Ids have to be unique here, as a row finds
-    its shard by its id."""
-    placed = assign_shards(docs, shards, id, text).select(id, "shard", "slot")
-    docs.join(placed, id).write.partitionBy("shard").parquet(path)
+    its shard by its id; one row may be without. Columns named ``shard`` and ``slot`` are replaced."""
+    placed = assign_shards(docs, shards, id, text).select(F.col(id).alias("__placed"), "shard", "slot")
+    plain = docs.drop("shard", "slot")
+    joined = plain.join(placed, F.col(id).eqNullSafe(F.col("__placed"))).drop("__placed")
+    joined.write.partitionBy("shard").parquet(path)
