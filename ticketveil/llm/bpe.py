@@ -20,7 +20,7 @@ from .common import utf8
 MAX_VOCABULARY = 64 << 20
 #: Bytes of text segments and their ids that a worker remembers before it starts anew; what one of them takes
 #: besides its own, and the characters of the longest that is remembered.
-MEMORY, ENTRY, LONGEST = 96 << 20, 200, 256
+MEMORY, ENTRY, LONGEST = 40 << 20, 200, 256
 #: A space that is neither the first white space of a run nor the one before a visible character.
 _INNER_SPACE = regex.compile(r"\s \s|\s \Z")
 
