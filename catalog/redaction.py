@@ -13,7 +13,7 @@ from ticketveil.operators import redaction as O
 from ticketveil.operators.assemble import joined_in_order
 from ticketveil.operators.documents import assemble_pages
 from ticketveil.plans import redact_page_parts, redact_pages, stored
-from ticketveil.sources import write_redacted
+from ticketveil.sources import keep_groups, kept_groups, write_redacted
 
 from . import derived as D
 from . import sqltext as S
@@ -259,6 +259,18 @@ add(
 )
 
 
+def kept_rollup(spark, d):
+    """Totals of three runs, the second one made twice, from the groups that each has left."""
+    stats, path = O.redaction_stats(D.spread_table(spark, d, "documents"), keep=("lang", "source")), D.new_folder(spark, "totals")
+    third = F.pmod("doc_id", F.lit(3))
+    for run in (0, 1, 1, 2):
+        keep_groups(O.redaction_groups(stats.filter(third == run), "lang", "source"), path, f"run-{run}")
+    return O.rollup_redaction_groups(kept_groups(spark, path), "lang", "source")
+
+
+add("r15_kept_rollup", kept_rollup, ORACLES["r15_redaction_rollup"])
+
+
 def rollup_by_kind(spark, d):
     stats = O.redaction_stats(D.corpus(spark, d), keep=("kind",))
     return O.redaction_rollup(stats, "kind")

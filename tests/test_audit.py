@@ -132,3 +132,19 @@ def test_common_issues(spark):
     ]
     fewer = rows + [("success", "ok", "", 0, 0.0)]
     assert B.common_issues(batch(spark, fewer)).count() == 0
+
+
+def test_kept_groups(spark, tmp_path):
+    """Totals after three runs, one of them repeated and one empty, are those of all rows at once."""
+    from ticketveil.sources import keep_groups, kept_groups
+
+    rows = [("pq"[i % 2], f"m{i % 3}", f"f{i % 50}.pdf", i % 5, i % 3, 1, i % 5 + i % 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "provider string, model string, file string, pass int, fail int, na int, answered int")
+    path = str(tmp_path / "totals")
+    for run, low in (("a", 0), ("b", 50), ("b", 100), ("c", 200), ("d", 1000)):
+        part = spark.createDataFrame(rows[low : {"a": 100, "b": 200}.get(run, 300)], df.schema)
+        keep_groups(O.audit_groups(part, "provider", "model", files=True), path, run)
+    got = O.rollup_audit_groups(kept_groups(spark, path), "provider", "model").collect()
+    want = O.audit_rollup(df, "provider", "model").collect()
+    assert sorted(map(repr, (r[:-1] for r in got))) == sorted(map(repr, (tuple(r) for r in want)))
+    assert {r.files for r in got if r.provider is None} == {50}

@@ -158,6 +158,16 @@ def find_pii(
     return inline_rows(df, [id], F.concat(*per_kind), "kind")
 
 
+def redaction_groups(stats: DataFrame, *by: str) -> DataFrame:
+    """One row of sums per group. Groups of several runs are groups again, so they can be kept (``sources.keep_groups``)
+    and added to."""
+    return stats.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("documents"),
+        F.count_if(F.col("total_redactions") == 0).alias("clean_documents"),
+        *(F.sum(k).alias(k) for k in STATS),
+    )
+
+
 def redaction_rollup(stats: DataFrame, *by: str) -> DataFrame:
     """Sums per kind, documents without a hit and their share, for every prefix of ``by``.
 
@@ -165,11 +175,11 @@ def redaction_rollup(stats: DataFrame, *by: str) -> DataFrame:
     a rollup over documents would handle each of them once per subtotal. Only partial sums are
     shuffled, so a source that holds most of the documents costs no more than a small one.
     """
-    groups = stats.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("documents"),
-        F.count_if(F.col("total_redactions") == 0).alias("clean_documents"),
-        *(F.sum(k).alias(k) for k in STATS),
-    )
+    return rollup_redaction_groups(redaction_groups(stats, *by), *by)
+
+
+def rollup_redaction_groups(groups: DataFrame, *by: str) -> DataFrame:
+    """``redaction_rollup`` from ``redaction_groups``, of one run or of many."""
     total = {k: F.sum(k) for k in ("documents", *STATS, "clean_documents")}
     other = sum((total[k] for k in P.OTHER_KINDS[1:]), total[P.OTHER_KINDS[0]])
     return groups.rollup(*by).agg(

@@ -3,6 +3,8 @@
 from .cache import expire_cache, merge_cache, read_cache
 from .tables import (
     append_history,
+    keep_groups,
+    kept_groups,
     read_documents,
     read_history,
     spread,
@@ -14,6 +16,8 @@ from .tables import (
 __all__ = [
     "append_history",
     "expire_cache",
+    "keep_groups",
+    "kept_groups",
     "merge_cache",
     "read_cache",
     "read_documents",

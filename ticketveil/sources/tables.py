@@ -51,18 +51,33 @@ def write_redacted(redacted: DataFrame, path: str, partition_by: tuple[str, ...]
     flat.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
-def append_history(history: DataFrame, path: str, run: str) -> None:
-    """Add the history rows of a run. A run that is repeated, by a retry or after a failure, takes the place of its rows.
-
-    Each run is a partition of the table; the header line goes into every part file."""
+def _replace_run(rows: DataFrame, path: str, run: str, format: str, **options) -> None:
+    """Write the partition of a run, in place of what it has."""
     if not re.fullmatch(r"[\w.-]+", run, re.ASCII):
         raise ValueError("a run is named by letters, digits, dots, dashes and underscores")
-    rows = history.select(*HISTORY_COLUMNS).withColumn("run", F.lit(run))
     if rows.isEmpty():  # no row would leave the partition as it is
-        rows.drop("run").write.mode("overwrite").option("header", True).csv(f"{path}/run={run}")
+        rows.write.mode("overwrite").options(**options).format(format).save(f"{path}/run={run}")
         return
-    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run")
-    writer.option("header", True).csv(path)
+    writer = rows.withColumn("run", F.lit(run)).write.mode("overwrite").partitionBy("run")
+    writer.options(partitionOverwriteMode="dynamic", **options).format(format).save(path)
+
+
+def keep_groups(groups: DataFrame, path: str, run: str) -> None:
+    """Keep the groups (``audit_groups``, ``redaction_groups``) of a run, so that totals need not read earlier rows again.
+    A run that is repeated takes the place of its groups."""
+    _replace_run(groups, path, run, "parquet")
+
+
+def kept_groups(spark: SparkSession, path: str) -> DataFrame:
+    """The groups of all runs, with the columns that ``keep_groups`` was given: a group has a row for each run."""
+    return spark.read.option("basePath", path).parquet(path).drop("run")
+
+
+def append_history(history: DataFrame, path: str, run: str) -> None:
+    """Add the history rows of a run. A run that is repeated, by a retry or after a failure, takes the place of its rows.
+
+    Each run is a partition of the table; the header line goes into every part file."""
+    _replace_run(history.select(*HISTORY_COLUMNS), path, run, "csv", header=True)
 
 
 def read_history(spark: SparkSession, path: str, timestamp: str = "timestamp", run: bool = False) -> DataFrame:
