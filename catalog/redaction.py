@@ -174,7 +174,7 @@ def _store(spark, name):
 
 def normalized_parts(spark, d):
     """The corpus cut into pieces at any character."""
-    pieces = T.cut_text(D.corpus(spark, d), PIECE_CHARS)
+    pieces = _store(spark, "pieces")(T.cut_text(D.corpus(spark, d), PIECE_CHARS))
     return whole(T.normalize_parts(pieces, store=_store(spark, "joined")), "text")
 
 
@@ -212,7 +212,8 @@ def _whole_with_counts(parts):
 
 def redacted_parts(spark, d):
     """The corpus cut into pieces at any character, redacted piece by piece."""
-    return _whole_with_counts(_store(spark, "parts")(T.redact_parts(T.cut_text(D.corpus(spark, d), PIECE_CHARS))))
+    pieces = _store(spark, "pieces")(T.cut_text(D.corpus(spark, d), PIECE_CHARS))
+    return _whole_with_counts(_store(spark, "parts")(T.redact_parts(pieces)))
 
 
 add(

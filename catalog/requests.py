@@ -183,8 +183,8 @@ EVENT_LIMITS = {"view": (1, 3000), "click": (2, 5000)}
 DAY_LIMITS = {"1-URGENT": (2, 20000), "2-HIGH": (3, 9000)}
 
 
-def _instants(spark):
-    return lambda df: stored(df, "instants", D.new_folder(spark, "instants"))
+def _store(spark, name):
+    return lambda df: stored(df, name, D.new_folder(spark, name))
 
 
 def requests_sql(mapping: dict[str, str], source: str) -> str:
@@ -222,22 +222,22 @@ def breaches_sql(mapping, source, limits) -> str:
 
 add(
     "p8_window_usage",
-    lambda spark, d: O.window_usage(D.derive(spark, d, "events", REQUESTS), EVENT_LIMITS, store=_instants(spark)),
+    lambda spark, d: O.window_usage(D.derive(spark, d, "events", REQUESTS), EVENT_LIMITS, store=_store(spark, "instants")),
     usage_sql(REQUESTS, "events", EVENT_LIMITS),
 )
 add(
     "p8_window_usage_daily",
-    lambda spark, d: O.window_usage(D.derive(spark, d, "orders", DAILY), DAY_LIMITS, store=_instants(spark)),
+    lambda spark, d: O.window_usage(D.derive(spark, d, "orders", DAILY), DAY_LIMITS, store=_store(spark, "instants")),
     usage_sql(DAILY, "orders", DAY_LIMITS),
 )
 add(
     "p9_limit_breaches",
-    lambda spark, d: O.limit_breaches(D.derive(spark, d, "events", REQUESTS), EVENT_LIMITS, store=_instants(spark)),
+    lambda spark, d: O.limit_breaches(D.derive(spark, d, "events", REQUESTS), EVENT_LIMITS, store=_store(spark, "instants")),
     breaches_sql(REQUESTS, "events", EVENT_LIMITS),
 )
 add(
     "p9_limit_breaches_daily",
-    lambda spark, d: O.limit_breaches(D.derive(spark, d, "orders", DAILY), DAY_LIMITS, store=_instants(spark)),
+    lambda spark, d: O.limit_breaches(D.derive(spark, d, "orders", DAILY), DAY_LIMITS, store=_store(spark, "instants")),
     breaches_sql(DAILY, "orders", DAY_LIMITS),
 )
 
@@ -325,7 +325,7 @@ def kept_cache(spark, d):
     for days in (2, 1, 0, 0):
         come = before >= days * DAY_MICROS if days else F.lit(True)
         run = found.filter(come & (before < (days + 1) * DAY_MICROS if days < 2 else F.lit(True)))
-        merge_cache(run, path, KEPT_NOW_MICROS - days * DAY_MICROS, "id")
+        merge_cache(run, path, KEPT_NOW_MICROS - days * DAY_MICROS, "id", store=_store(spark, "admitted"))
     return read_cache(spark, path, KEPT_NOW_MICROS, "timestamp_ntz")
 
 

@@ -7,8 +7,8 @@ from . import patterns as P
 # Before a line that opens an output line whatever stands before it: a label, or the line after an empty one. It does
 # not begin with the end of a line-break tag.
 LINE_CUT = (
-    rf"(?<=\n)(?={P.INLINE_SPACE}*(?![/>])(?:{P.LABEL_LINE[1:]}))"
-    rf"|(?<=\n\n)(?={P.INLINE_SPACE}*[^/>\n{P.SPACE_SET}])"
+    rf"(?<=\n)(?:(?={P.INLINE_SPACE}*(?![/>])(?:{P.LABEL_LINE[1:]}))"
+    rf"|(?<=\n\n)(?={P.INLINE_SPACE}*[^/>\n{P.SPACE_SET}]))"
 )
 
 # After a line feed that no rule of redaction reaches over, before a letter. The line ends with a punctuation mark or a
@@ -16,6 +16,6 @@ LINE_CUT = (
 # characters are letters, marks and single spaces, which the stages before the phone numbers leave as they are, so
 # the context of a number in the next line holds no mark of a reference number.
 REDACTION_CUT = (
-    r"(?<=[.!?;,]\n|[ ][a-z]{1,14}\n)"
-    r"(?<=[\p{L}.,'!?; ]{16}\n)(?<![ ]{2}[^\n]{0,14}\n)(?=\p{L})"
+    r"(?<=\n)(?=\p{L})(?<=[.!?;,]\n|[ ][a-z]{1,14}\n)"
+    r"(?<=[\p{L}.,'!?; ]{16}\n)(?<![ ]{2}[^\n]{0,14}\n)"
 )
