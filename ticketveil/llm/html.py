@@ -206,59 +206,58 @@ def blocks(html: str) -> list[Block]:
     return out
 
 
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "other", "place")
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "tag")
 
-# The labelled table: for a block its words and link density, those of the blocks before and after, whether it is
-# within a part that is not the article, its place (1 in the article, -1 outside of it, 0 if the page marks none),
-# and whether it is article text.
+# The labelled pages: words and link density of the blocks of a page in their order, and whether a block is article text
+# (1) or not (0); 3 and -1 are the same where only tags tell it. 2 is a list of links within the article's mark: not article text.
 LABELLED = (
-    (40, 0.0, 35, 0.0, 50, 0.0, 0, 1, 1),
-    (1, 0.0, 80, 0.0, 60, 0.0, 0, 1, 1),
-    (3, 0.0, 1, 0.0, 2, 0.0, 0, 1, 1),
-    (9, 0.0, 8, 0.0, 70, 0.0, 0, 1, 1),
-    (120, 0.1, 60, 0.0, 30, 0.0, 0, 1, 1),
-    (12, 0.9, 60, 0.0, 30, 0.0, 0, 1, 1),
-    (2, 1.0, 2, 1.0, 2, 1.0, 0, 1, 1),
-    (300, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1),
-    (1, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1),
-    (8, 0.0, 30, 0.0, 40, 0.0, 1, 1, 0),
-    (60, 0.0, 30, 0.0, 40, 0.0, 1, 1, 0),
-    (1, 1.0, 1, 1.0, 1, 1.0, 1, 1, 0),
-    (25, 0.0, 80, 0.0, 0, 0.0, 1, 1, 0),
-    (1, 1.0, 1, 1.0, 1, 1.0, 1, -1, 0),
-    (2, 1.0, 0, 0.0, 1, 1.0, 1, -1, 0),
-    (9, 0.0, 1, 1.0, 8, 0.0, 1, -1, 0),
-    (45, 0.0, 1, 1.0, 8, 0.0, 1, -1, 0),
-    (15, 0.0, 60, 0.0, 0, 0.0, 1, -1, 0),
-    (10, 0.0, 60, 0.0, 0, 0.0, 0, -1, 0),
-    (3, 1.0, 1, 1.0, 1, 1.0, 0, -1, 0),
-    (40, 0.0, 60, 0.0, 20, 0.0, 0, -1, 0),
-    (80, 0.2, 10, 0.0, 0, 0.0, 0, -1, 0),
-    (60, 0.0, 50, 0.0, 45, 0.0, 0, 0, 1),
-    (25, 0.0, 40, 0.0, 30, 0.0, 0, 0, 1),
-    (18, 0.1, 40, 0.0, 35, 0.0, 0, 0, 1),
-    (30, 0.0, 2, 1.0, 40, 0.0, 0, 0, 1),
-    (35, 0.0, 40, 0.0, 2, 1.0, 0, 0, 1),
-    (5, 0.0, 45, 0.0, 60, 0.0, 0, 0, 1),
-    (7, 0.0, 30, 0.0, 30, 0.0, 0, 0, 1),
-    (200, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1),
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0),
-    (2, 1.0, 1, 1.0, 3, 1.0, 0, 0, 0),
-    (2, 1.0, 0, 0.0, 40, 0.0, 0, 0, 0),
-    (3, 1.0, 0, 0.0, 120, 0.0, 0, 0, 0),
-    (1, 1.0, 60, 0.0, 0, 0.0, 0, 0, 0),
-    (6, 1.0, 50, 0.0, 45, 0.0, 0, 0, 0),
-    (6, 0.8, 2, 1.0, 2, 1.0, 0, 0, 0),
-    (30, 0.7, 5, 1.0, 4, 0.5, 0, 0, 0),
-    (50, 0.9, 40, 0.0, 4, 0.5, 0, 0, 0),
-    (4, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0),
-    (3, 0.0, 2, 1.0, 0, 0.0, 0, 0, 0),
-    (5, 0.0, 4, 0.0, 0, 0.0, 0, 0, 0),
-    (10, 0.5, 3, 1.0, 3, 1.0, 0, 0, 0),
-    (12, 0.0, 2, 1.0, 3, 1.0, 1, 0, 0),
-    (70, 0.0, 40, 0.0, 30, 0.0, 1, 0, 0),
-    (20, 0.0, 60, 0.0, 0, 0.0, 1, 0, 0),
-)
+    # menu, advert, title, paragraphs, legal line
+    ((1, 1.0, 0), (1, 1.0, 0), (1, 1.0, 0), (8, 0.0, 0), (7, 0.0, 1), (40, 0.0, 1), (3, 0.0, 1), (25, 0.0, 1), (120, 0.1, 1), (9, 0.0, 1), (60, 0.0, 1), (12, 0.0, 0)),
+    # menu, title that is a link, links within, other articles
+    ((2, 1.0, 0), (1, 1.0, 0), (3, 1.0, 0), (6, 1.0, 1), (55, 0.0, 1), (30, 0.3, 1), (2, 1.0, 1), (80, 0.0, 1), (14, 0.0, 1), (3, 1.0, 0), (5, 1.0, 0), (4, 1.0, 0), (9, 0.0, 0)),
+    # title right after the menu, a paragraph of links, readers' words
+    ((1, 1.0, 0), (1, 1.0, 0), (5, 0.0, 1), (90, 0.0, 1), (12, 0.9, 1), (35, 0.0, 1), (200, 0.0, 1), (2, 0.0, 1), (2, 0.0, -1), (25, 0.0, -1), (60, 0.0, -1), (1, 1.0, 0), (1, 1.0, 0)),
+    # a short article
+    ((9, 0.0, -1), (1, 1.0, 0), (15, 0.0, 0), (4, 0.0, 1), (8, 0.0, 1), (6, 0.35, 1), (5, 0.0, 1), (1, 0.0, 1), (10, 0.0, 0)),
+    # text and nothing else
+    ((300, 0.0, 1),),
+    ((60, 0.0, 1), (50, 0.0, 1), (45, 0.0, 1)),
+    # notice, advert between paragraphs, promotion
+    ((30, 0.0, -1), (1, 1.0, 0), (2, 1.0, 0), (7, 0.0, 1), (70, 0.0, 1), (12, 0.0, -1), (45, 0.0, 1), (50, 0.0, -1), (1, 1.0, 0), (6, 1.0, 1), (150, 0.0, 1), (20, 0.0, 1), (16, 0.0, 0)),
+    # an overview of links
+    ((1, 1.0, 0), (1, 1.0, 0), (10, 0.5, 0), (6, 0.8, 0), (30, 0.7, 0), (50, 0.9, 0), (4, 0.5, 0), (2, 0.0, 0)),
+    # lists and cells of a table
+    ((1, 1.0, 0), (14, 0.0, 0), (6, 0.0, 1), (22, 0.0, 1), (3, 0.0, 1), (4, 0.0, 1), (2, 0.0, 1), (5, 0.0, 1), (1, 0.0, 1), (2, 0.0, 1), (40, 0.4, 1), (11, 0.0, 0), (1, 1.0, 0)),
+    # nothing after the text
+    ((3, 1.0, 0), (8, 0.0, 1), (55, 0.0, 1), (35, 0.25, 1), (65, 0.0, 1)),
+    # slogan, menu, form
+    ((4, 0.0, -1), (1, 1.0, 0), (1, 1.0, 0), (2, 0.0, -1), (1, 0.0, -1), (9, 0.0, 1), (75, 0.0, 1), (28, 0.2, 1), (110, 0.0, 1), (3, 0.0, -1), (2, 0.0, -1), (15, 0.0, 0)),
+    # paragraphs of one word
+    ((1, 1.0, 0), (31, 0.0, 1), (1, 0.0, 1), (31, 0.0, 1), (1, 0.0, 1), (90, 0.0, 1), (1, 0.0, 1), (12, 0.0, 1), (9, 0.0, 1), (1, 0.0, 1), (200, 0.0, 1), (14, 0.0, 0)),
+    # little text
+    ((1, 1.0, 0), (2, 0.0, 3), (5, 0.0, 3), (6, 0.35, 3), (1, 0.0, 3)),
+    ((1, 1.0, 0), (2, 1.0, 3), (4, 0.0, 3), (7, 0.3, 3), (2, 0.0, 3)),
+    ((3, 1.0, 0), (3, 1.0, 3), (8, 0.0, 3), (20, 0.3, 3), (3, 0.0, 3)),
+    ((10, 0.0, 3),),
+    ((1, 0.0, 3),),
+    # contents at the article's beginning, links at its end
+    ((1, 1.0, 0), (7, 0.0, 1), (2, 1.0, 2), (3, 1.0, 2), (2, 1.0, 2), (4, 1.0, 2), (48, 0.0, 1), (33, 0.0, 1), (5, 0.0, 1), (4, 1.0, 2), (6, 1.0, 2), (9, 0.9, 2), (8, 0.0, 0)),
+    ((2, 1.0, 0), (10, 1.0, 1), (95, 0.0, 1), (18, 0.0, 1), (1, 1.0, 2), (3, 1.0, 2), (2, 1.0, 2), (13, 0.0, 0)),
+)
+
+
+def labelled_rows() -> list[tuple]:
+    """The features and label of each block of the labelled pages, once as on a page whose tags mark the article and once
+    as on a page without such tags."""
+    rows = []
+    for page in LABELLED:
+        shape = [(0, 0.0), *((words, density) for words, density, _ in page), (0, 0.0)]
+        for i, (_, _, label) in enumerate(page):
+            sizes = (*shape[i + 1], *shape[i], *shape[i + 2])
+            rows.append((*sizes, 1 if label > 0 else -1, label % 2 if label > 0 else 0))
+            if label in (0, 1):
+                rows.append((*sizes, 0, label))
+    return rows
 
 
 def _gini(y: np.ndarray) -> float:
@@ -286,9 +285,11 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int):
 
 
 @lru_cache
-def tree(depth: int = 8):
-    """The tree of the labelled table."""
-    table = np.array(LABELLED, float)
+def tree(depth: int = 8, tags: bool = True):
+    """The tree of the labelled pages; without ``tags`` sizes and densities alone, from the pages whose tags tell nothing."""
+    table = np.array(labelled_rows(), float)
+    if not tags:
+        table = table[table[:, -2] == 0]
     return grow(table[:, :-1], table[:, -1], depth)
 
 
@@ -299,17 +300,20 @@ def _judge(node, row: tuple) -> bool:
     return node
 
 
+def features(found: list[Block]) -> list[tuple]:
+    """A row of ``FEATURES`` for each block. ``tag`` is 1 within article or main, -1 in a part that is not the article,
+    and outside of article and main if they have most of the other words; else 0."""
+    plain = sum(b.words for b in found if not b.other)
+    marked = 2 * sum(b.words for b in found if b.main and not b.other) > plain
+    shape = [(0, 0.0), *((b.words, b.linked / b.words) for b in found), (0, 0.0)]
+    tags = (-1 if b.other else 1 if b.main else -int(marked) for b in found)
+    return [(*shape[i + 1], *shape[i], *shape[i + 2], tag) for i, tag in enumerate(tags)]
+
+
 def main_text(html: str, node) -> str:
     """The blocks that the tree takes for the article, joined by an empty line."""
     found = blocks(html)
-    marked = any(b.main and not b.other for b in found)
-    shape = [(0, 0.0), *((b.words, b.linked / b.words) for b in found), (0, 0.0)]
-    kept = []
-    for i, b in enumerate(found):
-        place = 0 if not marked else 1 if b.main else -1
-        if _judge(node, (*shape[i + 1], *shape[i], *shape[i + 2], int(b.other), place)):
-            kept.append(b.text)
-    return "\n\n".join(kept)
+    return "\n\n".join(b.text for b, row in zip(found, features(found)) if _judge(node, row))
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
