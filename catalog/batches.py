@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ticketveil.functions.text import strip
 from ticketveil.operators import batch as O
 from ticketveil.operators import documents as P
+from ticketveil.operators import issues as I
 from ticketveil.plans import batch_files as plan_batch_files
+from ticketveil.plans import stored
 from ticketveil.plans.batch import STAT_KEYS
 from ticketveil.sources import read_documents, write_bundle, write_ordered
 
@@ -171,6 +173,48 @@ add(
 )
 
 
+# reports out of documents, and phrases out of benchmark items, which documents quote: words, and pieces that begin and
+# end within words
+DOC_REPORTS = {
+    "status": "case when doc_id % 11 = 10 then 'error' else 'success' end",
+    "audit_report": "case cast(doc_id % 8 as int) when 0 then '❌ fail: ' || text when 1 then '**Answer:** No, ' || text when 2 then 'not ' || text "
+    "when 3 then text || ' ✅' when 4 then text || ' not' when 5 then '❌ no issues ' || text when 6 then text "
+    "else '❌ ' || substr(text, 1, 200) end",
+}
+ITEM_PHRASES = (
+    {"position": "item_id", "issue": "'item ' || cast(item_id as string)", "phrase": "split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3)"},
+    {"position": "item_id", "issue": "'item ' || cast(item_id as string)", "phrase": "substr(text, 20, 14)"},
+    {"position": "1000000 + item_id % 7", "issue": "'common ' || cast(item_id % 7 as string)", "phrase": "split_part(text, ' ', 5)"},
+    {"position": "-1 - item_id % 3", "issue": "'short ' || cast(item_id % 3 as string)", "phrase": "lower(substr(text, 1, 3))"},
+)
+_DOC_REPORTS = f"files AS (SELECT {D.columns(DOC_REPORTS)} FROM documents)"
+
+
+def issue_table(spark, d):
+    files = D.derive_wide(spark, d, "documents", DOC_REPORTS)
+    issues = D.derive_more(spark, d, "benchmark", *ITEM_PHRASES)
+    return I.issue_counts(files, issues, lambda df: stored(df, "issues", D.new_folder(spark, "issues")))
+
+
+_LOW = "lower(phrase)"
+add(
+    "b3_issue_table",
+    issue_table,
+    S.with_(
+        [
+            _DOC_REPORTS,
+            f"phrases AS (SELECT DISTINCT position, issue, {_LOW} AS phrase FROM ({D.more_sql('benchmark', *ITEM_PHRASES)}) WHERE phrase <> '')",
+            "good AS (SELECT audit_report, lower(audit_report) AS low, row_number() OVER () AS report FROM files WHERE status = 'success' AND audit_report <> '')",
+            "marked AS (SELECT report, low, contains(audit_report, '❌') OR contains(low, '**answer:** no') OR contains(low, '**answer: no') AS failing "
+            "FROM good WHERE NOT contains(audit_report, '✅') AND NOT contains(low, 'no issues') AND NOT contains(low, 'no problems'))",
+            "hits AS (SELECT DISTINCT position, issue, report FROM marked JOIN phrases ON contains(low, phrase) AND (failing OR contains(low, 'no ' || phrase) "
+            "OR contains(low, 'not ' || phrase) OR contains(low, phrase || ' not')))",
+        ],
+        "SELECT position, issue, count(*) AS reports, (SELECT count(*) FROM good) AS n FROM hits GROUP BY position, issue",
+    ),
+)
+
+
 def detailed_files(spark, d):
     details = F.create_map(
         F.lit("ip_addresses"), (F.col("redaction_count") % 3).cast("int"),
