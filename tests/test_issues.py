@@ -56,7 +56,7 @@ def test_reports_by_hand(spark, shared_dir, seed):
     rng = random.Random(seed)
     files = reports(seed, 300)
     files += files[:50] * 3 + [("x", "success", None), ("y", None, "❌ time")]
-    table = PHRASES + [(9, "one", "a"), (9, "one", "Ed FI"), (10, "none", "zzzzzzz"), (11, "wide", "𝒳y"), (12, "e", ""), (12, "e", None), (9, "one", "a")]
+    table = PHRASES + [(9, "one", "a"), (9, "one", "Ed FI"), (10, "none", "zzzzzzz"), (11, "wide", "𝒳y"), (12, "e", ""), (12, "e", None), (12, "e", "  "), (13, "gaps", " a "), (14, "two", "not  no"), (14, "two", " fields client"), (9, "one", "a")]
     table += [(20 + i, f"n{i}", " ".join(rng.choices(WORDS, k=rng.randrange(1, 4)))[rng.randrange(2) :]) for i in range(60)]
     check(spark, files, table)
     check(spark, files, table, lambda df: stored(df, "issues", shared_dir))

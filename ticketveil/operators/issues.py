@@ -1,8 +1,8 @@
 """Common issues with a table of issue phrases of any size.
 
-``batch.common_issues`` tests five groups of phrases inside each report. Here the phrases are rows. Each is found by the
-rarest of its short pieces: pieces of reports are joined with them, and a phrase is tested only in the reports that have its
-piece. Reports and phrases are never paired otherwise.
+``batch.common_issues`` tests five groups of phrases inside each report. Here the phrases are rows. Each is found by its
+rarest part between spaces: the part is looked up in the words of all reports (each different word once, by a short piece
+of it), and a phrase is tested only in reports that have a word with that part. Reports and phrases are never paired otherwise.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from ..functions.audit import FAIL_MARK, PASS_MARK
 from ..functions.text import contains_any
 from .batch import REPORT_FROM_PERCENT, TOP_ISSUES, _judged
 
-#: Characters of a piece. A shorter phrase is a piece by itself.
-PIECE = 5
+#: Characters of a piece. A shorter part of a phrase is a piece by itself.
+PIECE = 4
 
 
 def _pieces(text: Column, n: int) -> Column:
@@ -30,14 +30,29 @@ def _pieces(text: Column, n: int) -> Column:
     )
 
 
-def _pieces_of(text: Column, lengths: list[int]) -> Column:
-    return F.flatten(F.array(*(_pieces(text, n) for n in lengths)))
+def _words(text: Column) -> Column:
+    """The different words of a text, empty ones left out. Spaces alone divide them."""
+    return F.filter(F.array_distinct(F.split(text, " ")), lambda w: w != "")
+
+
+def _parts_in_words(parts: DataFrame, words: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``(part, word, number)``: the words (with the number of reports that have them) that contain a part."""
+    least = F.least(F.length("part"), F.lit(PIECE))
+    lengths = parts.agg(F.sort_array(F.collect_set(least))).first()[0] or [PIECE]  # at most PIECE numbers
+    own = F.element_at(F.array(*(_pieces(F.col("part"), n) for n in lengths)), F.array_position(F.lit(lengths), least).cast("int"))
+    wanted = parts.select("part", F.explode(own).alias("piece"))
+    all_pieces = F.flatten(F.array(*(_pieces(F.col("word"), n) for n in lengths)))
+    had = words.select("word", "number", F.explode(all_pieces).alias("piece"))
+    had = keep(had.join(wanted.select("piece").distinct(), "piece", "left_semi"))
+    many = had.groupBy("piece").agg(F.count(F.lit(1)).alias("many"))
+    rarest = wanted.join(many, "piece").groupBy("part").agg(F.min(F.struct("many", "piece"))["piece"].alias("piece"))
+    return had.join(rarest, "piece").filter(F.contains("word", "part")).select("part", "word", "number")
 
 
 def issue_phrases(issues: DataFrame) -> DataFrame:
-    """``(position, issue, phrase)`` as they are looked for: in lower case, each once; null and empty ones left out."""
+    """``(position, issue, phrase)`` as they are looked for: in lower case, each once; null ones and those of spaces only are left out."""
     lowered = issues.select(F.col("position").cast("long"), "issue", F.lower("phrase").alias("phrase"))
-    return lowered.filter(F.length("phrase") > 0).distinct()
+    return lowered.filter(F.trim("phrase") != "").distinct()
 
 
 def issue_counts(files: DataFrame, issues: DataFrame, store: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -45,9 +60,9 @@ def issue_counts(files: DataFrame, issues: DataFrame, store: Callable[[DataFrame
     failure, for each issue of ``issues (position, issue, phrase)`` with at least one. The rules are those of
     ``batch.common_issues``; a phrase may begin and end within a word.
 
-    Equal reports are one row with a number of copies. Their text moves through one shuffle, and only that of
-    reports that can count at all; everything else is hashes. ``store`` (such as ``plans.stored`` with its folder) writes
-    what several steps read; adaptive execution can then split a piece that very many reports have. An empty table of files or
+    Equal reports are one row with a number of copies. Only texts of reports that can count at all move, to find
+    equal ones and to be joined with their phrases; all else is words and 128-bit hashes. ``store`` (such as ``plans.stored`` with its folder) writes
+    what several steps read; adaptive execution can then split a word that very many reports have. An empty table of files or
     issues gives no rows.
     """
     keep = store or (lambda df: df)
@@ -58,27 +73,21 @@ def issue_counts(files: DataFrame, issues: DataFrame, store: Callable[[DataFrame
     clear = F.col("audit_report").contains(PASS_MARK) | contains_any(low, ("no issues", "no problems"))
     marked = failing | contains_any(low, ("no ", "not ", " not"))
     open_reports = judged.filter(~clear & marked).select(
-        F.sha2("audit_report", 256).alias("key"), low.alias("low"), failing.alias("failing")
+        F.unhex(F.md5("audit_report")).alias("key"), low.alias("low"), failing.alias("failing")
     )
     copies = open_reports.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
     texts = keep(open_reports.dropDuplicates(["key"]))
-
-    # which lengths of pieces there are: at most PIECE numbers
-    found = phrases.agg(F.sort_array(F.collect_set(F.least(F.length("phrase"), F.lit(PIECE))))).first()[0]
-    lengths = found or [PIECE]
-    of_phrase = F.element_at(
-        F.array(*(_pieces(F.col("phrase"), n) for n in lengths)),
-        F.array_position(F.lit(lengths), F.least(F.length("phrase"), F.lit(PIECE))).cast("int"),
-    )
-    wanted = phrases.select("phrase").distinct().select("phrase", F.explode(of_phrase).alias("piece"))
-    had = texts.select("key", F.explode(_pieces_of(F.col("low"), lengths)).alias("piece"))
-    had = keep(had.join(wanted.select("piece").distinct(), "piece", "left_semi"))
-    number = had.groupBy("piece").agg(F.count(F.lit(1)).alias("number"))
-    rarest = wanted.join(number, "piece", "left").groupBy("phrase").agg(
-        F.min(F.struct(F.coalesce("number", F.lit(0)), "piece"))["piece"].alias("piece")
+    had = texts.select("key", F.explode(_words(F.col("low"))).alias("word"))
+    words = keep(had.groupBy("word").agg(F.count(F.lit(1)).alias("number")))
+    of_phrases = keep(phrases.select("phrase").distinct().select("phrase", F.explode(_words(F.col("phrase"))).alias("part")))
+    within = keep(_parts_in_words(of_phrases.select("part").distinct(), words, keep))
+    number = within.groupBy("part").agg(F.sum("number").alias("number"))
+    # a part that no word has keeps its phrase out
+    rarest = of_phrases.join(number, "part", "left").groupBy("phrase").agg(
+        F.min(F.struct(F.coalesce("number", F.lit(0)), "part"))["part"].alias("part")
     )
-    chosen = rarest.join(phrases, "phrase").select("piece", "phrase", "position")
-    candidates = had.join(chosen, "piece").groupBy("key", "position").agg(F.collect_set("phrase").alias("phrases"))
+    chosen = keep(rarest.join(within, "part").join(phrases, "phrase").select("word", "phrase", "position"))
+    candidates = had.join(chosen, "word").groupBy("key", "position").agg(F.collect_set("phrase").alias("phrases"))
 
     def mentioned(p: Column) -> Column:
         signs = (F.concat(F.lit("no "), p), F.concat(F.lit("not "), p), F.concat(p, F.lit(" not")))
