@@ -20,14 +20,18 @@ from .batch import REPORT_FROM_PERCENT, TOP_ISSUES, _judged
 PIECE = 4
 
 
+#: Up to this length of a word its pieces are cut out of it; beyond, out of the array of its characters, in linear time.
+SHORT = 64
+
+
 def _pieces(text: Column, n: int) -> Column:
     """Hashes of the different runs of ``n`` characters."""
-    chars = F.split(text, "")
-    starts = F.when(F.size(chars) >= n, F.sequence(F.lit(1), F.size(chars) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    # the characters are an array of their own, so each piece is found without going over the text again
-    return F.element_at(
-        F.transform(F.array(chars), lambda a: F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(a, i, n), ""))))), 1
+    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    short = F.transform(starts, lambda i: F.xxhash64(F.substring(text, i, F.lit(n))))
+    long = F.element_at(
+        F.transform(F.array(F.split(text, "")), lambda a: F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(a, i, n), "")))), 1
     )
+    return F.array_distinct(F.when(F.length(text) <= SHORT, short).otherwise(long))
 
 
 def _words(text: Column) -> Column:
@@ -43,9 +47,8 @@ def _parts_in_words(parts: DataFrame, words: DataFrame, keep: Callable[[DataFram
     wanted = parts.select("part", F.explode(own).alias("piece"))
     all_pieces = F.flatten(F.array(*(_pieces(F.col("word"), n) for n in lengths)))
     had = words.select("word", "number", F.explode(all_pieces).alias("piece"))
-    had = keep(had.join(wanted.select("piece").distinct(), "piece", "left_semi"))
-    many = had.groupBy("piece").agg(F.count(F.lit(1)).alias("many"))
-    rarest = wanted.join(many, "piece").groupBy("part").agg(F.min(F.struct("many", "piece"))["piece"].alias("piece"))
+    many = had.join(wanted.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count(F.lit(1)).alias("many"))
+    rarest = keep(wanted.join(many, "piece").groupBy("part").agg(F.min(F.struct("many", "piece"))["piece"].alias("piece")))
     return had.join(rarest, "piece").filter(F.contains("word", "part")).select("part", "word", "number")
 
 
