@@ -39,17 +39,26 @@ def _words(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(text, " ")), lambda w: w != "")
 
 
-def _parts_in_words(parts: DataFrame, words: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``(part, word, number)``: the words (with the number of reports that have them) that contain a part."""
+def _words_of_phrases(phrases: DataFrame, words: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``(phrase, word)``: the words that contain the phrase's rarest part, by the number of reports that have the
+    rarest piece of it."""
+    of_phrases = keep(phrases.select("phrase").distinct().select("phrase", F.explode(_words(F.col("phrase"))).alias("part")))
     least = F.least(F.length("part"), F.lit(PIECE))
-    lengths = parts.agg(F.sort_array(F.collect_set(least))).first()[0] or [PIECE]  # at most PIECE numbers
+    lengths = of_phrases.agg(F.sort_array(F.collect_set(least))).first()[0] or [PIECE]  # at most PIECE numbers
     own = F.element_at(F.array(*(_pieces(F.col("part"), n) for n in lengths)), F.array_position(F.lit(lengths), least).cast("int"))
-    wanted = parts.select("part", F.explode(own).alias("piece"))
+    wanted = keep(of_phrases.select("part").distinct().select("part", F.explode(own).alias("piece")))
     all_pieces = F.flatten(F.array(*(_pieces(F.col("word"), n) for n in lengths)))
     had = words.select("word", "number", F.explode(all_pieces).alias("piece"))
-    many = had.join(wanted.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count(F.lit(1)).alias("many"))
-    rarest = keep(wanted.join(many, "piece").groupBy("part").agg(F.min(F.struct("many", "piece"))["piece"].alias("piece")))
-    return had.join(rarest, "piece").filter(F.contains("word", "part")).select("part", "word", "number")
+    number = had.join(wanted.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.sum("number").alias("number"))
+    # a piece that no word has keeps its phrase out
+    of_part = wanted.join(number, "piece", "left").groupBy("part").agg(F.min(F.struct(F.coalesce("number", F.lit(0)).alias("number"), "piece")).alias("least"))
+    rarest = keep(
+        of_phrases.join(of_part, "part")
+        .groupBy("phrase")
+        .agg(F.min(F.struct("least", "part")).alias("r"))
+        .select("phrase", "r.part", "r.least.piece")
+    )
+    return had.join(rarest, "piece").filter(F.contains("word", "part")).select("phrase", "word")
 
 
 def issue_phrases(issues: DataFrame) -> DataFrame:
@@ -82,14 +91,7 @@ def issue_counts(files: DataFrame, issues: DataFrame, store: Callable[[DataFrame
     texts = keep(open_reports.dropDuplicates(["key"]))
     had = texts.select("key", F.explode(_words(F.col("low"))).alias("word"))
     words = keep(had.groupBy("word").agg(F.count(F.lit(1)).alias("number")))
-    of_phrases = keep(phrases.select("phrase").distinct().select("phrase", F.explode(_words(F.col("phrase"))).alias("part")))
-    within = keep(_parts_in_words(of_phrases.select("part").distinct(), words, keep))
-    number = within.groupBy("part").agg(F.sum("number").alias("number"))
-    # a part that no word has keeps its phrase out
-    rarest = of_phrases.join(number, "part", "left").groupBy("phrase").agg(
-        F.min(F.struct(F.coalesce("number", F.lit(0)), "part"))["part"].alias("part")
-    )
-    chosen = keep(rarest.join(within, "part").join(phrases, "phrase").select("word", "phrase", "position"))
+    chosen = keep(_words_of_phrases(phrases, words, keep).join(phrases, "phrase").select("word", "phrase", "position"))
     candidates = had.join(chosen, "word").groupBy("key", "position").agg(F.collect_set("phrase").alias("phrases"))
 
     def mentioned(p: Column) -> Column:
