@@ -80,3 +80,39 @@ def test_probes_at_few_effective_dimensions():
         lists = V._nearest(x, index.centres)
         a, b = np.nonzero(x @ x.T >= 0.95)
         assert index.probes(x, lists)[a, lists[b]].mean() > 0.999, rank
+
+
+def families(n, dims, seed):
+    """Families along a line each: differences that all lie in one direction."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    while len(rows) < n:
+        centre, way = rng.normal(size=(2, dims))
+        centre, way = centre / np.linalg.norm(centre), way / np.linalg.norm(way)
+        rows += [(centre + t * way).astype(np.float32) for t in rng.uniform(-0.6, 0.6, size=25)]
+    return np.array(rows[:n])
+
+
+def whole(x, threshold):
+    """(number of links, least index reachable) of each row."""
+    unit = V._unit(x.astype(float))
+    linked = unit @ unit.T >= threshold
+    np.fill_diagonal(linked, False)
+    least = np.arange(len(x))
+    while True:
+        lower = np.minimum(least, np.where(linked, least[None, :], len(x)).min(1))
+        if (lower == least).all():
+            return linked.sum(1), least
+        least = lower
+
+
+def test_line_families_of_many_dimensions(spark):
+    x = families(5000, 64, 8)
+    links, least = whole(x, 0.95)
+    assert links.sum() > 20_000
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    got = run(spark, rows, exact=True)
+    assert [(r[1], r[2]) for r in got] == list(zip(links.tolist(), least.tolist()))
+    found = np.array([r[1] for r in run(spark, rows)])
+    print("recall by the margin", found.sum() / links.sum())
+    assert (found <= links).all() and found.sum() > 0.95 * links.sum()
