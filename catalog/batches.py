@@ -162,7 +162,7 @@ add(
 def legacy_files(spark, d):
     """Files whose reports have no full question list, so that issues are not hidden by passes."""
     short = {**D.FILES, "audit_report": D.OTHER_REPORT.replace("% 8", "% 4 + 4")}
-    return D.derive(spark, d, "orders", short)
+    return D.derive_wide(spark, d, "orders", short)
 
 
 _SHORT = D.columns({**D.FILES, "audit_report": D.OTHER_REPORT.replace("% 8", "% 4 + 4")})
@@ -324,7 +324,7 @@ DETAILS = [k for k in STAT_KEYS if k != "ip_redacted"]
 
 
 def batch_files(spark, d):
-    docs = D.derive_wide(spark, d, "orders", DOCS).unionByName(D.derive(spark, d, "orders", BLANK_DOCS))
+    docs = D.derive_wide(spark, d, "orders", DOCS).unionByName(D.derive_wide(spark, d, "orders", BLANK_DOCS))
     found = plan_batch_files(docs, D.derive_wide(spark, d, "orders", REPORTS_OF))
     details = (F.col("redaction_details")[k].alias(k) for k in DETAILS)
     return found.select("*", *details).drop("redaction_details")

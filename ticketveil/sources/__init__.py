@@ -8,6 +8,7 @@ from .tables import (
     read_documents,
     read_history,
     spread,
+    spread_rows,
     write_bundle,
     write_ordered,
     write_redacted,
@@ -23,6 +24,7 @@ __all__ = [
     "read_documents",
     "read_history",
     "spread",
+    "spread_rows",
     "write_bundle",
     "write_ordered",
     "write_redacted",
