@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ticketveil.functions import audit as A
 from ticketveil.operators import audit as O
+from ticketveil.plans import stored
 from ticketveil.sources import append_history, keep_groups, kept_groups, read_history
 
 from . import derived as D
@@ -216,7 +217,7 @@ add("a9_audit_history", history, S.with_([BASE, *HISTORY], "SELECT * FROM histor
 
 def history_round_trip(spark, d):
     """The history appended in two runs, the second one once more after a part of it, and read again."""
-    rows, path = history(spark, d), D.new_folder(spark, "history")
+    rows, path = stored(history(spark, d), "rows", D.new_folder(spark, "rows")), D.new_folder(spark, "history")
     half = F.pmod(F.xxhash64("file"), F.lit(2))
     append_history(rows.filter(half == 0), path, "run-0")
     append_history(rows.filter((half == 1) & (F.col("pass") > 5)), path, "run-1")
