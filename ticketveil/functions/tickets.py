@@ -12,6 +12,7 @@ from .text import let, line_array, strip
 INCIDENT = r"INC[0-9]{7,8}"
 NOT_FOUND = "Not Found"
 FIELD_LABEL = r"^([A-Za-z][A-Za-z0-9 #/()-]*):"
+LABEL_TEXT = r"^[A-Za-z][A-Za-z0-9 #/()-]*\z"
 UPDATE_HEAD = r"(?md)^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2} - [^\n]+"
 FIRST_ACCESS = r"First Access(?:: true| verified)"
 PENDING_CODES = (
@@ -35,22 +36,30 @@ def incident_number(text: Column) -> Column:
 
 
 def fields(text: Column) -> Column:
-    """``array<(line_no, field, value)>`` of the ``Label: value`` lines, label in lower case."""
+    """``array<(line_no, field, value)>`` of the ``Label: value`` lines, label in lower case.
+
+    A label holds no colon, so it is the text before the first one; only that is tested against the pattern."""
 
     def parse(line: Column, i: Column) -> Column:
-        return let(
-            strip(line),
-            lambda s: let(
-                F.regexp_extract(s, FIELD_LABEL, 1),
-                lambda label: F.struct(
-                    i.alias("line_no"),
-                    F.lower(strip(label)).alias("field"),
-                    strip(F.substr(s, F.length(label) + 2)).alias("value"),
+        return F.when(
+            line.contains(":"),
+            let(
+                strip(line),
+                lambda s: let(
+                    F.substring_index(s, ":", 1),
+                    lambda label: F.when(
+                        label.rlike(LABEL_TEXT),
+                        F.struct(
+                            i.alias("line_no"),
+                            F.lower(strip(label)).alias("field"),
+                            strip(F.substr(s, F.length(label) + 2)).alias("value"),
+                        ),
+                    ),
                 ),
             ),
         )
 
-    return F.filter(F.transform(line_array(text), parse), lambda f: f["field"] != "")
+    return F.filter(F.transform(line_array(text), parse), lambda f: f.isNotNull())
 
 
 def values_of(all_fields: Column, *names: str) -> Column:
