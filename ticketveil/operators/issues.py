@@ -87,12 +87,13 @@ def issue_counts(files: DataFrame, issues: DataFrame, store: Callable[[DataFrame
     open_reports = judged.filter(~clear & marked).select(
         F.unhex(F.md5("audit_report")).alias("key"), low.alias("low"), failing.alias("failing")
     )
-    copies = open_reports.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
-    texts = keep(open_reports.dropDuplicates(["key"]))
-    had = texts.select("key", F.explode(_words(F.col("low"))).alias("word"))
+    equal = open_reports.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("low").alias("low"), F.first("failing").alias("failing"))
+    # numbers are shorter in each row of a word, but only those that are written stay the same
+    texts = keep(equal.withColumn("id", F.monotonically_increasing_id()).drop("key") if store else equal.withColumnRenamed("key", "id"))
+    had = texts.select("id", F.explode(_words(F.col("low"))).alias("word"))
     words = keep(had.groupBy("word").agg(F.count(F.lit(1)).alias("number")))
     chosen = keep(_words_of_phrases(phrases, words, keep).join(phrases, "phrase").select("word", "phrase", "position"))
-    candidates = had.join(chosen, "word").groupBy("key", "position").agg(F.collect_set("phrase").alias("phrases"))
+    candidates = had.join(chosen, "word").groupBy("id", "position").agg(F.collect_set("phrase").alias("phrases"))
 
     def mentioned(p: Column) -> Column:
         signs = (F.concat(F.lit("no "), p), F.concat(F.lit("not "), p), F.concat(p, F.lit(" not")))
@@ -101,8 +102,8 @@ def issue_counts(files: DataFrame, issues: DataFrame, store: Callable[[DataFrame
             near = near | F.contains(F.col("low"), sign)
         return F.contains(F.col("low"), p) & (F.col("failing") | near)
 
-    hits = candidates.join(texts, "key").filter(F.exists("phrases", mentioned)).select("key", "position")
-    counts = hits.join(copies, "key").groupBy("position").agg(F.sum("copies").alias("reports"))
+    hits = candidates.join(texts, "id").filter(F.exists("phrases", mentioned))
+    counts = hits.groupBy("position").agg(F.sum("copies").alias("reports"))
     names = phrases.groupBy("position").agg(F.min("issue").alias("issue"))
     total = judged.agg(F.count(F.lit(1)).alias("n"))
     return counts.join(names, "position").select("position", "issue", "reports", total.scalar().alias("n"))
