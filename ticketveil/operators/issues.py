@@ -92,8 +92,8 @@ def issue_counts(files: DataFrame, issues: DataFrame, store: Callable[[DataFrame
     texts = keep(equal.withColumn("id", F.monotonically_increasing_id()).drop("key") if store else equal.withColumnRenamed("key", "id"))
     had = texts.select("id", F.explode(_words(F.col("low"))).alias("word"))
     words = keep(had.groupBy("word").agg(F.count(F.lit(1)).alias("number")))
-    chosen = keep(_words_of_phrases(phrases, words, keep).join(phrases, "phrase").select("word", "phrase", "position"))
-    candidates = had.join(chosen, "word").groupBy("id", "position").agg(F.collect_set("phrase").alias("phrases"))
+    chosen = keep(_words_of_phrases(phrases, words, keep).select("word", "phrase"))
+    candidates = had.join(chosen, "word").select("id", "phrase").distinct()
 
     def mentioned(p: Column) -> Column:
         signs = (F.concat(F.lit("no "), p), F.concat(F.lit("not "), p), F.concat(p, F.lit(" not")))
@@ -102,8 +102,10 @@ def issue_counts(files: DataFrame, issues: DataFrame, store: Callable[[DataFrame
             near = near | F.contains(F.col("low"), sign)
         return F.contains(F.col("low"), p) & (F.col("failing") | near)
 
-    hits = candidates.join(texts, "id").filter(F.exists("phrases", mentioned))
-    counts = hits.groupBy("position").agg(F.sum("copies").alias("reports"))
+    # a phrase of several issues is tested once
+    hits = candidates.join(texts, "id").filter(mentioned(F.col("phrase"))).select("id", "copies", "phrase")
+    per_issue = hits.join(phrases.select("phrase", "position").distinct(), "phrase").select("id", "copies", "position").distinct()
+    counts = per_issue.groupBy("position").agg(F.sum("copies").alias("reports"))
     names = phrases.groupBy("position").agg(F.min("issue").alias("issue"))
     total = judged.agg(F.count(F.lit(1)).alias("n"))
     return counts.join(names, "position").select("position", "issue", "reports", total.scalar().alias("n"))
