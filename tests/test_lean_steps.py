@@ -10,6 +10,7 @@ from ticketveil.functions import patterns as P
 from ticketveil.functions import redaction as R
 from ticketveil.functions import tickets as K
 from ticketveil.functions.text import line_array, strip
+from ticketveil.operators import issues as I
 from ticketveil.operators import parts as O
 
 PIECES = [
@@ -84,3 +85,19 @@ def test_history_is_parsed_once(spark, data_dir, monkeypatch):
     monkeypatch.setattr(audits, "append_history", lambda rows, *to: (read.extend(rows.inputFiles()), append(rows, *to)))
     assert audits.history_round_trip(spark, data_dir).count() > 0
     assert read and all("/rows-" in f for f in read)
+
+
+def test_a_phrase_of_many_issues_is_looked_up_once(spark, tmp_path):
+    """Equal reports are counted where they are found, and words have their phrases without the issues."""
+    kept = []
+
+    def store(df):
+        kept.append(df.columns)
+        df.write.parquet(f"{tmp_path}/{len(kept)}")
+        return spark.read.parquet(f"{tmp_path}/{len(kept)}")
+
+    files = spark.createDataFrame([("success", "❌ time worked lost")] * 3 + [("success", "not owner set"), ("success", "owner set")], "status string, audit_report string")
+    issues = spark.createDataFrame([(i, f"i{i}", p) for i in range(4) for p in ("Time worked", "owner", "lost")], "position int, issue string, phrase string")
+    found = {r.position: (r.issue, r.reports, r.n) for r in I.issue_counts(files, issues, store).collect()}
+    assert found == {i: (f"i{i}", 4, 5) for i in range(4)}
+    assert {"id", "copies", "low", "failing"} in map(set, kept) and ["word", "phrase"] in kept

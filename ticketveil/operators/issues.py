@@ -73,7 +73,7 @@ def issue_counts(files: DataFrame, issues: DataFrame, store: Callable[[DataFrame
     ``batch.common_issues``; a phrase may begin and end within a word.
 
     Equal reports are one row with a number of copies. Only texts of reports that can count at all move, to find
-    equal ones and to be joined with their phrases; all else is words and 128-bit hashes. ``store`` (such as ``plans.stored`` with its folder) writes
+    equal ones and to be joined with their phrases; all else is words, phrases and numbers of reports (without ``store`` 128-bit hashes). ``store`` (such as ``plans.stored`` with its folder) writes
     what several steps read; adaptive execution can then split a word that very many reports have. An empty table of files or
     issues gives no rows.
     """
